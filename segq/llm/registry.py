@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segq.llm import decontaminate, exact_dedup, html_text, line_dedup, mixing, token_files, toxicity
+from segq.llm import decontaminate, exact_dedup, html_text, line_dedup, mixing, ngram_join, token_files, toxicity
 from segq.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_html_text(spark, sf_dir):
     return html_text.html_text(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
