@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segq.llm import decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, token_files, toxicity
+from segq.llm import decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, suffix_dedup, token_files, toxicity
 from segq.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_lattice_lm(spark, sf_dir):
     return lattice_lm.lattice_lm(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
