@@ -15,9 +15,10 @@ document with a smaller id; strings are judged on the input.
    of the others form one shard per origin.  Each shard's suffixes are
    sorted; the shards' transforms are then merged by iterative interleave
    refinement: each round splits the merged order by the preceding symbol and
-   follows the LF mapping, so after k rounds suffixes are ordered by their
-   first k symbols.  Where a round parts two neighbours their common prefix
-   is known; what SPAN rounds leave together is a repeated interval.  The
+   follows the LF mapping (two symbols a round), so after k rounds suffixes
+   are ordered by their first 2 k symbols.  Where a round parts two
+   neighbours their common prefix is known; what SPAN / 2 rounds leave
+   together is a repeated interval.  The
    suffixes of different shards are never sorted again.
 4. Each interval's smallest id decides; removals go back to their documents.
 
@@ -61,22 +62,36 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_order(text: np.ndarray, shard: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffix order inside each shard by prefix doubling.  ``text`` has the
-    symbols with a terminator (-1) after each string; terminators are distinct
-    and sort by place."""
+    """Suffix order inside each shard by prefix doubling from eight symbols;
+    only suffixes that still tie are sorted again.  ``text`` has the symbols
+    plus one, and 0 after each string; these terminators are distinct and sort
+    by place."""
     n = len(text)
-    symbol = text.astype(np.int64) + len(ends)
-    symbol[ends] = np.arange(len(ends))
-    _, rank = np.unique(shard.astype(np.int64) * (len(ends) + 300) + symbol, return_inverse=True)
-    rank, h = rank.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while rank[order[-1]] < n - 1 if n else False:
-        ahead = np.concatenate([rank[h:], np.zeros(min(h, n), np.int64)])
-        key = rank * n + ahead
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    left = np.empty(n, np.int64)  # symbols to the terminator
+    left[:] = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)
+    padded = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.uint64)
+    head = np.zeros(n, np.uint64)
+    for i in range(7):
+        head = head << np.uint64(9) | np.where(left > i, padded[i : n + i], 0).astype(np.uint64)
+    order = np.lexsort((head, shard))
+    key, owner = head[order], shard[order]
+    short = left[order] < 7  # these hold their terminator and are told apart by place, as the sort is stable
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | short[1:]])
+    rank = np.empty(n, np.int64)
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rank[order] = group
+    h = 7
+    tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    while len(tied):
+        rows = order[tied]
+        key = rank[rows] * n + rank[np.minimum(rows + h, n - 1)]
+        by = np.argsort(key, kind="stable")
+        key, rows = key[by], rows[by]
+        order[tied] = rows
+        head = rank[rows]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[rows] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
     return order
 
@@ -89,29 +104,31 @@ def merged_intervals(strings: list[bytes], shard: np.ndarray, depth: int = SPAN)
     lens = np.array([len(s) for s in strings])
     starts = np.concatenate([[0], np.cumsum(lens + 1)])
     n, ends = int(starts[-1]), starts[1:] - 1
-    text = np.full(n, -1, np.int16)
+    text = np.zeros(n, np.uint16)
     inside = np.ones(n, bool)
     inside[ends] = False
-    text[inside] = np.frombuffer(b"".join(strings), np.uint8)
-    owner = np.repeat(shard, lens + 1)
-    order = shard_order(text, owner, ends)  # rows of the shards' transforms, one shard after another
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    order = shard_order(text, np.repeat(shard, lens + 1), ends)  # rows of the shards' transforms, one shard after another
     row_of = np.empty(n, np.int32)
     row_of[order] = np.arange(n, dtype=np.int32)
-    first = np.zeros(n, bool)
-    first[starts[:-1]] = True
-    at_first = first[order]
-    bwt = np.where(at_first, 0, text[order - 1] + 1).astype(np.uint16)  # 0 stands before a string
-    lf = row_of[order - 1]
-    dollars = row_of[ends]  # rows of the terminators, in shard order
-    place = np.arange(n, dtype=np.int32)
-    block = np.zeros(n, np.int32)
-    for _ in range(depth):
-        symbol = bwt[place]
-        by_symbol = np.argsort(symbol, kind="stable")[len(dollars) :]
+    one, two = order - 1, order - 2
+    at = order - np.repeat(starts[:-1], lens + 1)[order]  # place inside the string
+    # A round takes two symbols (bytes only, as rows at a string's start drop
+    # out); the last two rows of a string enter anew, each a block of its own.
+    symbol_of = np.where(at >= 2, ((text[two] - 1) << 8) | ((text[one] - 1) & 0xFF), 0).astype(np.uint16)
+    lf = row_of[two]
+    starts_string = at < 2
+    base = row_of[np.concatenate([ends, ends[lens > 0] - 1])]
+    place, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    for _ in range(depth // 2):
+        going = ~starts_string[place]
+        place, block = place[going], block[going]
+        symbol = symbol_of[place]
+        by_symbol = np.argsort(symbol, kind="stable")
         symbol, before = symbol[by_symbol], block[by_symbol]
-        place = np.concatenate([dollars, lf[place[by_symbol]]])
-        parted = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])]) if len(symbol) else np.zeros(0, bool)
-        block = np.concatenate([np.arange(len(dollars)), len(dollars) - 1 + np.cumsum(parted)]).astype(np.int32)
+        place = np.concatenate([base, lf[place[by_symbol]]])
+        parted = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
+        block = np.concatenate([np.arange(len(base) + 1)[: len(base) + (len(symbol) > 0)], len(base) + np.cumsum(parted)]).astype(np.int32)
     return order[place], block
 
 
@@ -250,9 +267,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             open_ = open_[by_shard]
             owners, begins = window_owners([strings[i] for i in open_], shard[by_shard], smallest[open_], span)
             at[open_] = begins[:-1]
-            for i, b in zip(open_.tolist(), begins[:-1].tolist()):
-                part = owners[b : b + windows[i]]
-                least[i], most[i] = part.min(), part.max()
+            edges = np.stack([begins[:-1], begins[:-1] + windows[open_]], 1).ravel()
+            least[open_] = np.minimum.reduceat(owners, edges)[::2]
+            most[open_] = np.maximum.reduceat(owners, edges)[::2]
         whole = most[string] < doc
         out = [(row[whole], start[whole], windows[string[whole]])]
         for i in np.flatnonzero(~whole & (least[string] < doc)).tolist():
