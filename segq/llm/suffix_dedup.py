@@ -50,7 +50,7 @@ def anchors(data: bytes, span: int = SPAN) -> np.ndarray:
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
         grams = mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(words[8:]))
-    return sliding_min(grams, span - GRAM + 1)
+    return mix(sliding_min(grams, span - GRAM + 1))  # mixed again, as minima are small
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +97,10 @@ def shard_order(text: np.ndarray, shard: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def merged_intervals(strings: list[bytes], shard: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the concatenation, interval) of each suffix, in merged order
-    after ``depth`` rounds; suffixes share an interval if their first
-    ``depth`` symbols are equal and no string ends in them.  A string of
-    length m takes m + 1 places.  ``shard`` must not decrease."""
+    """(place in the concatenation, interval) of the suffixes whose first
+    ``depth`` symbols, no string's end among them, occur more than once, in
+    merged order; those that share an interval share the symbols.  A string
+    of length m takes m + 1 places.  ``shard`` must not decrease."""
     lens = np.array([len(s) for s in strings])
     starts = np.concatenate([[0], np.cumsum(lens + 1)])
     n, ends = int(starts[-1]), starts[1:] - 1
@@ -113,22 +113,25 @@ def merged_intervals(strings: list[bytes], shard: np.ndarray, depth: int = SPAN)
     row_of[order] = np.arange(n, dtype=np.int32)
     one, two = order - 1, order - 2
     at = order - np.repeat(starts[:-1], lens + 1)[order]  # place inside the string
-    # A round takes two symbols (bytes only, as rows at a string's start drop
-    # out); the last two rows of a string enter anew, each a block of its own.
+    # A round takes two symbols.  Rows at a string's start have no predecessor;
+    # a row alone in its block stays alone, as do its predecessors, and leaves.
     symbol_of = np.where(at >= 2, ((text[two] - 1) << 8) | ((text[one] - 1) & 0xFF), 0).astype(np.uint16)
-    lf = row_of[two]
-    starts_string = at < 2
-    base = row_of[np.concatenate([ends, ends[lens > 0] - 1])]
+    lf, goes_on = row_of[two], at >= 2
     place, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for _ in range(depth // 2):
-        going = ~starts_string[place]
+        going = goes_on[place]
         place, block = place[going], block[going]
         symbol = symbol_of[place]
         by_symbol = np.argsort(symbol, kind="stable")
         symbol, before = symbol[by_symbol], block[by_symbol]
-        place = np.concatenate([base, lf[place[by_symbol]]])
-        parted = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        block = np.concatenate([np.arange(len(base) + 1)[: len(base) + (len(symbol) > 0)], len(base) + np.cumsum(parted)]).astype(np.int32)
+        place = lf[place[by_symbol]]
+        if not len(place):
+            break
+        edges = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1]), [True]]))
+        sizes = np.diff(edges)
+        many = sizes > 1
+        place = place[np.repeat(many, sizes)]
+        block = np.repeat(np.arange(int(many.sum()), dtype=np.int32), sizes[many])
     return order[place], block
 
 
@@ -137,11 +140,10 @@ def window_owners(strings: list[bytes], shard: np.ndarray, smallest: np.ndarray,
     hold the window starting at each place (a string's own id included)."""
     lens = np.array([len(s) for s in strings])
     places, block = merged_intervals(strings, shard, span)
-    ids = np.repeat(smallest, lens + 1)[places]
-    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    least = np.minimum.reduceat(ids, edges)
-    out = np.empty(len(places), np.int64)
-    out[places] = np.repeat(least, np.diff(np.concatenate([edges, [len(block)]])))
+    out = np.repeat(smallest, lens + 1)
+    if len(places):
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        out[places] = np.repeat(np.minimum.reduceat(out[places], edges), np.diff(np.concatenate([edges, [len(block)]])))
     return out, np.concatenate([[0], np.cumsum(lens + 1)])
 
 
