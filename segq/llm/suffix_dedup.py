@@ -40,7 +40,7 @@ from segq.llm import counting
 from segq.llm.common import drop, release, text_of, tune, written
 from segq.llm.hashing import mix, sliding_min
 
-SPAN, GRAM, CHUNK_BYTES, NO_ID = 50, 16, 8 << 20, -(1 << 63)
+SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, NO_ID = 50, 16, 12 << 20, 2 << 20, -(1 << 63)
 
 
 def anchors(data: bytes, span: int = SPAN) -> np.ndarray:
@@ -167,10 +167,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept (the remaining bytes)."""
     spark = docs.sparkSession
     tune(spark)
-    bits = counting.bucket_bits(spark)
+    bits = counting.bucket_bits(spark)  # of counting
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).cast("bigint"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), doc.alias("doc"), F.xxhash64(doc, text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
 
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(16, -(-total // (4 << 20)))
+    deal = min(20, max(bits, (total // BUCKET_BYTES).bit_length()))  # bits of the shards' buckets: their size stays as the corpus grows
+
     def counted_blocks(batches):
         held, size = [], 0
 
@@ -216,7 +220,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keys = low[begin]
                 again = np.flatnonzero(counted.value.repeated(keys)) if len(keys) else begin
                 for s, e, key in zip(begin[again].tolist(), end[again].tolist(), keys[again].tolist()):
-                    strings, rows = held.setdefault(key >> (64 - bits), ({}, []))
+                    strings, rows = held.setdefault(key >> (64 - deal), ({}, []))
                     piece = data[s : e + span - 1]
                     known = strings.get(piece)
                     if known is None:
@@ -233,8 +237,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held:
             yield pd.DataFrame(flush())
 
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(16, -(-total // (4 << 20)))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Removed windows of one bucket: (row, first window, windows)."""
