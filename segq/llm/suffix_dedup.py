@@ -28,7 +28,9 @@ one another; equal texts under different ids leave the smallest id whole; an
 empty table gives no rows.
 """
 
+import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -73,7 +75,8 @@ def shard_order(text: np.ndarray, shard: np.ndarray, ends: np.ndarray) -> np.nda
     head = np.zeros(n, np.uint64)
     for i in range(7):
         head = head << np.uint64(9) | np.where(left > i, padded[i : n + i], 0).astype(np.uint64)
-    order = np.lexsort((head, shard))
+    order = np.argsort(head, kind="stable")
+    order = order[np.argsort(shard[order].astype(np.uint16) if n and shard[-1] < 1 << 16 else shard[order], kind="stable")]
     key, owner = head[order], shard[order]
     short = left[order] < 7  # these hold their terminator and are told apart by place, as the sort is stable
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | short[1:]])
@@ -154,12 +157,22 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+@functools.cache
+def _packer():
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.cache
+def _unpacker():
+    return zstandard.ZstdDecompressor()
+
+
 def _blob(a, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, kind).tobytes())
+    return _packer().compress(np.ascontiguousarray(a, kind).tobytes())
 
 
 def _array(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(blob)), kind)
+    return np.frombuffer(_unpacker().decompress(bytes(blob)), kind)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -206,10 +219,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def flush():
             for bucket, (strings, rows) in held.items():
                 names = list(strings)
+                rows = np.frombuffer(rows, np.int64).reshape(-1, 4)
                 yield {
-                    "bucket": bucket, "chunk": (TaskContext.get().partitionId() << 24) + chunk, "strings": zstandard.ZstdCompressor(level=1).compress(b"".join(names)),
+                    "bucket": bucket, "chunk": (TaskContext.get().partitionId() << 24) + chunk, "strings": _packer().compress(b"".join(names)),
                     "lens": _blob([len(s) for s in names], "<u4"), "keys": _blob([strings[s][1] for s in names], "<u8"), "smallest": _blob([strings[s][2] for s in names], "<i8"),
-                    "row": _blob([r[0] for r in rows], "<i8"), "doc": _blob([r[1] for r in rows], "<i8"), "start": _blob([r[2] for r in rows], "<u4"), "string": _blob([r[3] for r in rows], "<u4"),
+                    "row": _blob(rows[:, 0], "<i8"), "doc": _blob(rows[:, 1], "<i8"), "start": _blob(rows[:, 2], "<u4"), "string": _blob(rows[:, 3], "<u4"),
                 }
 
         for pdf in batches:
@@ -220,7 +234,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keys = low[begin]
                 again = np.flatnonzero(counted.value.repeated(keys)) if len(keys) else begin
                 for s, e, key in zip(begin[again].tolist(), end[again].tolist(), keys[again].tolist()):
-                    strings, rows = held.setdefault(key >> (64 - deal), ({}, []))
+                    mine = held.get(key >> (64 - deal))
+                    if mine is None:
+                        mine = held[key >> (64 - deal)] = ({}, array("q"))
+                    strings, rows = mine
                     piece = data[s : e + span - 1]
                     known = strings.get(piece)
                     if known is None:
@@ -228,7 +245,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         size += len(piece)
                     elif doc < known[2]:
                         known[2] = doc
-                    rows.append((row, doc, s, known[0]))
+                    rows.extend((row, doc, s, known[0]))
                     size += 24
                 if size >= CHUNK_BYTES:
                     yield pd.DataFrame(flush())
@@ -243,7 +260,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         number: dict[bytes, int] = {}
         keys, smallest, origin, occurrences = [], [], [], []
         for part in pdf.sort_values("chunk").itertuples():
-            raw, lens = zstandard.ZstdDecompressor().decompress(bytes(part.strings)), _array(part.lens, "<u4").tolist()
+            raw, lens = _unpacker().decompress(bytes(part.strings)), _array(part.lens, "<u4").tolist()
             at, mine = 0, []
             for size, key, least in zip(lens, _array(part.keys, "<u8").tolist(), _array(part.smallest, "<i8").tolist()):
                 piece = raw[at : at + size]
@@ -276,11 +293,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             most[open_] = np.maximum.reduceat(owners, edges)[::2]
         whole = most[string] < doc
         out = [(row[whole], start[whole], windows[string[whole]])]
-        for i in np.flatnonzero(~whole & (least[string] < doc)).tolist():
-            gone = owners[at[string[i]] : at[string[i]] + windows[string[i]]] < doc[i]
-            begin, end = runs(gone)
-            keep = gone[begin]
-            out.append((np.full(int(keep.sum()), row[i]), start[i] + begin[keep], (end - begin)[keep]))
+        part = np.flatnonzero(~whole & (least[string] < doc))
+        if len(part):
+            size = windows[string[part]]
+            begin = np.concatenate([[0], np.cumsum(size)])
+            which = np.repeat(np.arange(len(part)), size)
+            inside = np.arange(int(begin[-1])) - begin[which]
+            gone = owners[at[string[part]][which] + inside] < doc[part][which]
+            head = np.flatnonzero(gone & ((inside == 0) | ~np.concatenate([[False], gone[:-1]])))
+            tail = np.flatnonzero(gone & ((inside == size[which] - 1) | ~np.concatenate([gone[1:], [False]])))
+            out.append((row[part][which[head]], start[part][which[head]] + inside[head], tail - head + 1))
         row, first, n = (np.concatenate(x) for x in zip(*out))
         target = row % groups
         order = np.argsort(target, kind="stable")
