@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     rows = written(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("text_sha256")), "digests")
-    found = rows.agg(F.expr(f"approx_top_k(text_sha256, {top}, {counters})").alias("t"), F.count("*").alias("n")).first()
+    found = rows.agg(F.expr(f"approx_top_k(text_sha256, {min(top, counters)}, {counters})").alias("t"), F.count("*").alias("n")).first()
     schema = "text_sha256 string"
     candidates = spark.createDataFrame([(x["item"],) for x in found["t"] or [] if x["count"] * counters >= found["n"]], schema)
     verified = (
