@@ -6,9 +6,11 @@ score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>): the factors learn pairs,
 such as an insult with a group mention, that additive weights miss.
 
 Learning takes labelled rows only, at most ``MAX_ROWS`` of them in order of a
-hash of the id (a documented bound: 60,000 rows), and collects only their
-hashed terms.  Places that occur in fewer than ``MIN_DF`` of these rows are
-left out, and of the others the ``PLACES`` most informative (chi-square) stay.
+hash of the id (a documented bound: 24,000 rows, small enough to broadcast
+their ids and labels).  Their terms are hashed and counted on the executors.
+Places that occur in fewer than ``MIN_DF`` of these rows are left out, and of
+the others the ``PLACES`` most informative (chi-square) stay; only those reach
+the driver, which fits the model.
 Scoring is one pandas UDF over whole texts with the model broadcast (under
 1 MB); documents are never shuffled but for the join with the labels.
 
@@ -19,15 +21,16 @@ looks at labels, lang, source or ids.
 """
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segq.llm.common import crc_mod, text_of, tune
+from segq.llm.common import crc_mod, drop, text_of, tune, written
 
-BITS, MAX_ROWS, MIN_DF, PLACES, FACTORS, THRESHOLD, SEED = 20, 60_000, 4, 4096, 4, 0.7, 7
+BITS, MAX_ROWS, MIN_DF, PLACES, FACTORS, THRESHOLD, SEED = 20, 24_000, 4, 4096, 4, 0.7, 7
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 5)
 
@@ -42,8 +45,6 @@ def terms(text: str | None) -> list[bytes]:
 
 def places(text: str | None) -> np.ndarray:
     """Sorted distinct hashed places of a text's terms."""
-    import zlib
-
     mask = (1 << BITS) - 1
     found = {zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask for t in terms(text)}
     return np.fromiter(sorted(found), np.int64, len(found))
@@ -64,24 +65,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(raw, -40, 40))))
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have each place, and how many of them have label 1."""
+    none, size = [np.zeros(0, np.int64)], 1 << BITS
+    return np.bincount(np.concatenate(rows or none), minlength=size), np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or none), minlength=size)
+
+
+def informative(df: np.ndarray, both: np.ndarray, n: int, pos: int) -> np.ndarray:
     """Places with enough rows, by the chi-square of place and label."""
-    n, pos = len(y), int(y.sum())
-    size = 1 << BITS
-    df = np.bincount(np.concatenate(rows), minlength=size).astype(float)
-    both = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or [np.zeros(0, np.int64)]), minlength=size).astype(float)
     keep = np.flatnonzero(df >= MIN_DF)
-    expect = df[keep] * pos / n
-    chi = (both[keep] - expect) ** 2 * n * n / np.maximum(1e-9, df[keep] * (n - df[keep]) * pos * (n - pos) / n)
+    df, both = df[keep].astype(float), both[keep].astype(float)
+    chi = (both - df * pos / n) ** 2 / np.maximum(1e-9, df * (n - df) * pos * (n - pos))
     return np.sort(keep[np.argsort(-chi, kind="stable")[:PLACES]])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 2e-4, seed: int = SEED) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray | None = None, epochs: int = 12, batch: int = 256, rate: float = 0.03, decay: float = 2e-4, seed: int = SEED) -> Model:
     """Mini-batch Adam on the logistic loss of the factorization machine."""
     rng = np.random.default_rng(seed)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.int64), 40.0 if len(y) and y.all() else -40.0, np.zeros(0), np.zeros((0, FACTORS)))
-    known = informative(rows, y)
+    known = informative(*counts(rows, y), len(y), int(y.sum())) if known is None else known
     at = [np.searchsorted(known, r[np.isin(r, known, assume_unique=True)]) for r in rows]
     lens, flat = np.array([len(a) for a in at]), np.concatenate(at)
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
@@ -111,8 +114,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 25
     return Model(known, float(bias), theta[:, 0], theta[:, 1:])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms of the bounded sample of labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+    """Fit on the bounded sample of labelled rows that are not held out."""
+    spark = docs.sparkSession
+    tune(spark)
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     marks = marks.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "_y").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
@@ -120,16 +125,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([places(t).astype("<i4").tobytes() for t in texts])
 
-    found = texts.join(marks, "_id").select("_id", "_y", F.pandas_udf(hashed, "binary")("_text").alias("p")).toPandas()
-
-    found = found.sort_values(["_id", "_y", "p"], kind="stable")
-    return [np.frombuffer(p, "<i4").astype(np.int64) for p in found["p"]], found["_y"].to_numpy(np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    tune(docs.sparkSession)
-    rows, y = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
-    return fit(rows, y)
+    sample = written(texts.join(F.broadcast(marks), "_id").select("_id", "_y", F.pandas_udf(hashed, "binary")("_text").alias("p")), "toxicity-sample")
+
+    def counted(batches):
+        total, n, pos = None, 0, 0
+        for pdf in batches:
+            y = pdf["_y"].to_numpy()
+            n, pos = n + len(y), pos + int(y.sum())
+            part = np.stack(counts([np.frombuffer(p, "<i4") for p in pdf["p"]], y))
+            total = part if total is None else total + part
+        if n:
+            yield pd.DataFrame({"n": [n], "pos": [pos], "total": [zlib.compress(total.astype("<i4").tobytes(), 1)]})
+
+    total, n, pos = np.zeros((2, 1 << BITS), np.int64), 0, 0
+    for row in sample.coalesce(4).mapInPandas(counted, "n long, pos long, total binary").toLocalIterator():
+        n, pos = n + row.n, pos + row.pos
+        total += np.frombuffer(zlib.decompress(bytes(row.total)), "<i4").reshape(2, -1)
+    if not 0 < pos < n:
+        return fit([], np.array([1] * (pos > 0)))
+    known = informative(*total, n, pos)
+    shared = spark.sparkContext.broadcast(known)
+
+    def slots(rows: pd.Series) -> pd.Series:
+        found = (np.frombuffer(p, "<i4") for p in rows)
+        return pd.Series([p[np.isin(p, shared.value, assume_unique=True)].astype("<i4").tobytes() for p in found])
+
+    found = sample.select("_id", "_y", F.pandas_udf(slots, "binary")("p").alias("p")).toPandas().sort_values(["_id", "_y", "p"], kind="stable")
+    drop(sample)
+    return fit([np.frombuffer(p, "<i4").astype(np.int64) for p in found["p"]], found["_y"].to_numpy(np.int64), known)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
