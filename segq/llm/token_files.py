@@ -26,6 +26,7 @@ empty table gives no file and no rows.  Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import io
 import os
 import struct
@@ -136,6 +137,12 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+@functools.cache
+def encoder_of(path: str) -> "Encoder":
+    """One encoder for each worker process and vocabulary."""
+    return Encoder(path)
+
+
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -145,6 +152,56 @@ def load_tokenizer(path: str):
     return tok
 
 
+class Encoder:
+    """Encodes texts with the tokenizers library, each distinct piece of a
+    task once.  A text is cut before every space that a character other than
+    white space follows: the byte-level pre-tokenizer always cuts there too,
+    and merges never cross its cuts, so the ids of the pieces in a row are the
+    ids of the text.  Pieces are kept as packed ids (about 150 bytes each), for
+    later tasks of the same worker too, and emptied at ``most`` pieces."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.tok, self.most, self.known = load_tokenizer(path), most, {}
+        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+
+    def pieces(self, text: str) -> list[str]:
+        """The pieces; all but the first lack the space they begin with."""
+        parts = text.split(" ")
+        if "  " in text or " \n" in text or any(not p or p[0].isspace() for p in parts[1:]):
+            out = parts[:1]
+            for p in parts[1:]:
+                if p and not p[0].isspace():
+                    out.append(p)
+                else:
+                    out[-1] += " " + p
+            return out
+        return parts
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode unknown pieces joined by their spaces; offsets part them."""
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            code = self.tok.encode(" " + " ".join(part), add_special_tokens=False)
+            ids, starts, w = np.array(code.ids, self.kind).tobytes(), np.array(code.offsets)[:, 0], self.width
+            begins = np.cumsum([0] + [len(p) + 1 for p in part])
+            edges = (np.searchsorted(starts, begins) * w).tolist()
+            edges[-1] = len(ids)
+            for p, lo, hi in zip(part, edges, edges[1:]):
+                self.known[p] = ids[lo:hi]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, parts = self.known, [self.pieces(t) for t in texts]
+        self._learn(list({p for part in parts for p in part[1:] if p not in known}))
+        firsts = self.tok.encode_batch_fast([part[0] for part in parts], add_special_tokens=False)
+        out = []
+        for part, first in zip(parts, firsts):
+            out.append(np.frombuffer(np.array(first.ids, self.kind).tobytes() + b"".join([known[p] for p in part[1:]]), self.kind))
+        return out
+
+
 MANIFEST = "file string, shard long, n_docs long, n_ids long"
 
 
@@ -157,22 +214,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         from pyspark import TaskContext
 
         shard, writer, out, n_docs, n_ids, name = TaskContext.get().partitionId(), None, None, 0, 0, ""
-        tok = None
+        encoder = None
         for pdf in batches:
             if pdf.empty:
                 continue
             if writer is None:
-                tok = load_tokenizer(tokenizer)
-                width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
+                encoder = encoder_of(tokenizer)
                 store, path = file_system(uri)
                 store.create_dir(path, recursive=True)
                 name = f"shard-{shard:08d}-{uuid.uuid4().hex}.tok"
                 out = store.open_output_stream(f"{path}/{name}")
-                writer = TokenFileWriter(out, width)
+                writer = TokenFileWriter(out, encoder.width)
             for part in range(0, len(pdf), 64):
                 rows = pdf.iloc[part : part + 64]
-                for doc_id, code in zip(rows["doc_id"], tok.encode_batch_fast(rows["text"].tolist(), add_special_tokens=False)):
-                    ids = np.array(code.ids + [end_id], np.uint32)
+                for doc_id, code in zip(rows["doc_id"], encoder.encode(rows["text"].tolist())):
+                    ids = np.append(code, encoder.kind.type(end_id))
                     writer.add(None if pd.isna(doc_id) else int(doc_id), ids)
                     n_docs += 1
                     n_ids += len(ids)

@@ -208,6 +208,12 @@ def test_token_files(docs, none, tmp_path):
     assert got == want and token_files.token_files(none, path).count() == 0
 
 
+def test_encoder_equals_whole_texts():
+    texts = ["", " ", "a  b\n\n c\t", "it's  we'll <|endoftext|> É1 x²\u00a0\u2003 y", "中文 mixed 123abc!?  ", "\r\n  end   "] + [r[1] or "" for r in corpus()]
+    tok = token_files.load_tokenizer(registry.tokenizer_path())
+    assert [x.tolist() for x in token_files.Encoder(registry.tokenizer_path()).encode(texts)] == [c.ids for c in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_file_reads_only_what_is_asked_and_verifies():
     out = io.BytesIO()
     writer = token_files.TokenFileWriter(out, 2, frame_ids=100)
