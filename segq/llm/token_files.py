@@ -28,7 +28,10 @@ from __future__ import annotations
 
 import functools
 import io
+import json
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
@@ -137,6 +140,33 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+#: A space that white space follows: no cut there.
+SPACE_RUN = re.compile(r" \s")
+#: ASCII punctuation that a word may end with.  The apostrophe is not in it,
+#: as some endings that begin with one are cut in another way.
+TAIL = string.punctuation.replace("'", "")
+
+
+def parts_of(piece: str) -> list[str]:
+    """Keys of the parts of a piece between which the byte-level pre-tokenizer
+    always cuts: before and after a line feed with no white space beside it
+    (the part then begins with the line feed), and between a letter or digit
+    and the punctuation that ends a line (key: a space, then the punctuation).
+    Many words with punctuation are then few words and few endings."""
+    lines = piece.split("\n")
+    if len(lines) > 1 and not all(s and not s[0].isspace() and not s[-1].isspace() for s in lines):
+        return [piece]
+    out, lead = [], ""
+    for s in lines:
+        core = s.rstrip(TAIL)
+        if len(core) < len(s) and core and core[-1].isalnum() and core[-1] < "\u0250":
+            out += [lead + core, " " + s[len(core) :]]
+        else:
+            out.append(lead + s)
+        lead = "\n"
+    return out
+
+
 @functools.cache
 def encoder_of(path: str) -> "Encoder":
     """One encoder for each worker process and vocabulary."""
@@ -157,49 +187,87 @@ class Encoder:
     task once.  A text is cut before every space that a character other than
     white space follows: the byte-level pre-tokenizer always cuts there too,
     and merges never cross its cuts, so the ids of the pieces in a row are the
-    ids of the text.  Pieces are kept as packed ids (about 150 bytes each), for
-    later tasks of the same worker too, and emptied at ``most`` pieces."""
+    ids of the text.  New pieces are cut once more (``parts_of``).  Pieces are
+    kept as packed ids (about 150 bytes each), for later tasks of the same
+    worker too, and emptied at ``most`` pieces.  A vocabulary with another
+    pre-tokenizer or a normalizer encodes texts whole."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.tok, self.most, self.known = load_tokenizer(path), most, {}
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        size = self.tok.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        kind = json.loads(self.tok.to_str())
+        cut = kind["pre_tokenizer"] or {}
+        #: Whether the cuts hold: byte-level, its usual pattern, no normalizer.
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not kind["normalizer"]
+        tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
+        self.spaced = np.array([t.startswith("Ġ") for t in tokens])  # ids whose bytes begin with a space
+        self.lined = np.array([t.startswith("Ċ") for t in tokens])  # and with a line feed
 
     def pieces(self, text: str) -> list[str]:
         """The pieces; all but the first lack the space they begin with."""
         parts = text.split(" ")
-        if "  " in text or " \n" in text or any(not p or p[0].isspace() for p in parts[1:]):
-            out = parts[:1]
-            for p in parts[1:]:
-                if p and not p[0].isspace():
-                    out.append(p)
-                else:
-                    out[-1] += " " + p
-            return out
-        return parts
+        if parts[-1] and not SPACE_RUN.search(text):
+            return parts
+        out = parts[:1]
+        for p in parts[1:]:
+            if p and not p[0].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(code.ids, self.kind) for code in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode unknown pieces joined by their spaces; offsets part them."""
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            code = self.tok.encode(" " + " ".join(part), add_special_tokens=False)
-            ids, starts, w = np.array(code.ids, self.kind).tobytes(), np.array(code.offsets)[:, 0], self.width
-            begins = np.cumsum([0] + [len(p) + 1 for p in part])
-            edges = (np.searchsorted(starts, begins) * w).tolist()
-            edges[-1] = len(ids)
-            for p, lo, hi in zip(part, edges, edges[1:]):
-                self.known[p] = ids[lo:hi]
+        """Encode unknown pieces by way of their unknown parts."""
+        known, whole, made = self.known, [], []
+        for p in new:
+            if p.isalpha() or len(keys := parts_of(p)) == 1:
+                whole.append(p)
+            else:
+                made.append((p, keys))
+        parts = {k for _, keys in made for k in keys}.difference(known, whole)
+        self._learn_led(" ", whole + [k for k in parts if k[0] not in " \n"])
+        self._learn_led("\n", [k[1:] for k in parts if k[0] == "\n"])
+        tails = [k for k in parts if k[0] == " "]
+        known.update((k, x.tobytes()) for k, x in zip(tails, self._ids([k[1:] for k in tails])))
+        known.update([(p, b"".join([known[k] for k in keys])) for p, keys in made])
+
+    def _learn_led(self, lead: str, new: list[str]) -> None:
+        """Encode many pieces at once, each behind ``lead``.  A piece without
+        it has one id that begins with it, its first; those ids part the
+        pieces.  Other pieces are encoded one by one."""
+        opens, key = (self.spaced, "") if lead == " " else (self.lined, lead)
+        plain = [p for p in new if lead not in p]
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            ids = self._ids([lead + lead.join(part)])[0]
+            edges = np.flatnonzero(opens[ids])
+            if len(edges) != len(part):  # not a vocabulary of this kind
+                self._learn_each(lead, key, part)
+                continue
+            edges, data = (edges * self.width).tolist(), ids.tobytes()
+            edges.append(len(data))
+            self.known.update(zip([key + p for p in part] if key else part, map(data.__getitem__, map(slice, edges, edges[1:]))))
+        if len(plain) < len(new):
+            self._learn_each(lead, key, [p for p in new if lead in p])
+
+    def _learn_each(self, lead: str, key: str, new: list[str]) -> None:
+        self.known.update((key + p, x.tobytes()) for p, x in zip(new, self._ids([lead + p for p in new])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return self._ids(texts)
         if len(self.known) > self.most:
             self.known.clear()
-        known, parts = self.known, [self.pieces(t) for t in texts]
-        self._learn(list({p for part in parts for p in part[1:] if p not in known}))
-        firsts = self.tok.encode_batch_fast([part[0] for part in parts], add_special_tokens=False)
-        out = []
-        for part, first in zip(parts, firsts):
-            out.append(np.frombuffer(np.array(first.ids, self.kind).tobytes() + b"".join([known[p] for p in part[1:]]), self.kind))
-        return out
+        parts = [self.pieces(t) for t in texts]
+        firsts = self._ids([part.pop(0) for part in parts])
+        self._learn(list(set().union(*parts).difference(self.known)))
+        packed = self.known.__getitem__
+        return [np.frombuffer(first.tobytes() + b"".join(map(packed, part)), self.kind) for first, part in zip(firsts, parts)]
 
 
 MANIFEST = "file string, shard long, n_docs long, n_ids long"
