@@ -20,8 +20,9 @@ uses.  The manifest, a table that Spark commits, names the files of the
 attempts that succeeded, so retries and speculative tasks leave only orphans.
 
 Defined results: null text is empty and has the end id alone; a null id sorts
-first and is stored as null; repeated ids stay apart, ordered by text; an
-empty table gives no file and no rows.  Other columns are not read.
+first and is stored as null; repeated ids stay apart, ordered by
+a hash of the text, then the text; an empty table gives no file and no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -306,7 +307,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             yield pd.DataFrame({"file": [name], "shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The range's bounds are sampled to the driver: a hash in them, not texts.
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return written(ordered.mapInPandas(encode, MANIFEST), "token-manifest")
 
 
