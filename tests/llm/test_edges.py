@@ -97,13 +97,13 @@ def test_decontamination(spark, docs, none):
     assert not decontaminate.decontamination(docs, bench(spark, [])).filter("hits.contaminated").count()
 
 
-def test_ngram_join(docs, none):
-    rows = docs.collect()
+def linked_by_force(rows):
+    """Shingle sets by id, and a function from id to component."""
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     sets = {}
-    for r in rows:
-        w = words(r.text)
-        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     root = {i: i for i in sets if i is not None}
 
     def find(i):
@@ -117,12 +117,39 @@ def test_ngram_join(docs, none):
             if a < b and c and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+    return sets, find
+
+
+def test_ngram_join(docs, none):
+    rows = docs.collect()
+    sets, find = linked_by_force([(r.doc_id, r.text) for r in rows])
     got = ngram_join.ngram_join(docs).collect()
     assert len(got) == len(rows) and ngram_join.ngram_join(none).count() == 0
     for r in got:
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == (None if r.doc_id is None else find(r.doc_id))
 
 
+def test_ngram_join_of_families_in_blocks(spark, monkeypatch):
+    """Texts that share entries without all being linked: several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    asked = []
+    across = ngram_join._across
+    monkeypatch.setattr(ngram_join, "_across", lambda left, exact: asked.append(left.select("node").distinct().count()) or across(left, exact))
+    rng, rows = random.Random(7), []
+    base = [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(140)]
+    texts = [base]
+    for i in range(120):
+        words = list(rng.choice(texts))
+        for _ in range(rng.randrange(2, 8)):
+            words[rng.randrange(len(words))] = f"changed{rng.randrange(9)}"
+        texts.append(words)
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    sets, find = linked_by_force(rows)
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert asked[0] > 4
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i, _ in rows}
+
+
 def test_suffix_dedup(docs, none):
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     seen = {}
@@ -209,7 +236,7 @@ def test_token_files(docs, none, tmp_path):
 
 
 def test_encoder_equals_whole_texts():
-    texts = ["", " ", "a  b\n\n c\t", "it's  we'll <|endoftext|> É1 x²\u00a0\u2003 y", "中文 mixed 123abc!?  ", "\r\n  end   "] + [r[1] or "" for r in corpus()]
+    texts = ["", " ", "a  b\n\n c\t", "it's  we'll <|endoftext|> É1 x²\u00a0\u2003 y", "中文 mixed 123abc!?  ", "\r\n  end   ", "A.\nB, c!\n\nd?\ne's x_y__ 7), ²."] + [r[1] or "" for r in corpus()]
     tok = token_files.load_tokenizer(registry.tokenizer_path())
     assert [x.tolist() for x in token_files.Encoder(registry.tokenizer_path()).encode(texts)] == [c.ids for c in tok.encode_batch(texts, add_special_tokens=False)]
 
