@@ -37,9 +37,10 @@ def glossary_near_dup(d):
 
 @relation("term_rows")
 def glossary_merge_full_outer(d):
-    """Main and recovered rows merged by key; unseen variants are appended."""
+    """Main and recovered rows (those of low confidence) merged by key; unseen
+    variants are appended."""
     side = lambda name, test: f"(SELECT lower(ru) AS k, {d.joined_set('en', '; ')} AS {name} FROM term_rows WHERE {test} GROUP BY lower(ru))"
-    return f"SELECT coalesce(m.k, r.k) AS ru, coalesce(m.main, '') AS main, coalesce(r.recovered, '') AS recovered, m.k IS NULL AS inserted FROM {side('main', 'pos % 5 < 2')} m FULL OUTER JOIN {side('recovered', 'pos % 5 = 4')} r ON m.k = r.k"
+    return f"SELECT coalesce(m.k, r.k) AS ru, coalesce(m.main, '') AS main, coalesce(r.recovered, '') AS recovered, m.k IS NULL AS inserted FROM {side('main', "confidence <> 'low'")} m FULL OUTER JOIN {side('recovered', "confidence = 'low'")} r ON m.k = r.k"
 
 
 @relation("term_rows")
