@@ -79,7 +79,7 @@ def number_units(d):
 
 @relation("segments")
 def xml_escape(d):
-    t = "substring(source_text, 1, 200)"
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        t = f"replace({t}, '{a}', '{b}')"
+    t = "source_text"
+    for a, b in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("'\"'", "&quot;"), ("chr(39)", "&apos;")):
+        t = f"replace({t}, {a}, '{b}')"
     return f"SELECT id, {t} AS escaped FROM segments"

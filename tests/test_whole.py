@@ -33,3 +33,10 @@ def test_every_term_row_is_on_a_side_of_the_merge(spark):
     got = bound(spark, "glossary_merge_full_outer", part=(PART, rows))
     assert sorted(v for r in got for side in (r.main, r.recovered) for v in side.split("; ") if v) == sorted(r[2] for r in rows)
     assert {(r.ru, r.inserted) for r in got} == {(f"name {i}", False) for i in range(5)} | {("name x", True)}
+
+
+def test_xml_escape_takes_whole_texts(spark):
+    text = "a & b < c > d \"e\" 'f' &amp; " * 20
+    got = bound(spark, "xml_escape", documents=documents((1, text), (2, None)))
+    want = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
+    assert {r.id: r.escaped for r in got} == {1: want, 2: ""}
