@@ -14,8 +14,9 @@ inside an article element undecided blocks lean to good.
 
 Defined results: null, empty or tag-free html gives its own text as one block
 run (or the empty string); unclosed and stray tags close at the next fitting
-one; unknown character references stay as text; white space inside a block is
-one space.  Extra columns are not read.
+one, the end tag of an inline element only inside its block; a block goes on
+after an excluded inline element; unknown character references stay as text;
+white space inside a block is one space.  Extra columns are not read.
 """
 
 import html as html_lib
@@ -60,6 +61,16 @@ class Block:
         return SPACE.sub(" ", html_lib.unescape("".join(self.parts))).strip()
 
 
+def open_inline(stack: list[tuple[str, bool, bool]], name: str) -> bool:
+    """Whether an inline element of the name is open in the innermost block."""
+    for opened, _, _ in reversed(stack):
+        if opened in BLOCK:
+            return False
+        if opened == name:
+            return True
+    return False
+
+
 def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool]:
     """(text, link density, tag, inside the article, excluded) of each block,
     and whether the page has an article or main element."""
@@ -67,7 +78,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
     stack: list[tuple[str, bool, bool]] = []  # name, excludes, bounds
     out = inside = links = 0
     has_main = False
-    now = Block("", False, False)
+    now, held = Block("", False, False), None  # held: a block that an excluded inline element interrupts
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -94,9 +105,10 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
             if name not in ("script", "style", "noscript", "template"):
                 now.parts.append(" ")
             continue
-        if name not in BLOCK and name not in VOID and (closing or not NAMES.search(rest)):
-            continue
         block = name in BLOCK
+        if not block and name not in VOID:
+            if name in SKIP or not (open_inline(stack, name) or (not closing and NAMES.search(rest))):
+                continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -118,13 +130,19 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
             inside += main
             has_main |= main
         if block:
-            found.append(now)
+            found += [now] if held is None else [held, now]
+            held = None
             links = 0
             now = Block(name, inside > 0, out > 0)
         elif now.out != (out > 0):
-            found.append(now)
-            now = Block(now.tag, inside > 0, out > 0)
-    found.append(now)
+            if out:
+                held, now = now, Block(now.tag, inside > 0, True)
+            elif held is not None:
+                now, held = held, None
+            else:
+                found.append(now)
+                now = Block(now.tag, inside > 0, False)
+    found += [now] if held is None else [held, now]
     rows = []
     for b in found:
         text = b.text()

@@ -1,8 +1,9 @@
-"""Links of repeated rows."""
+"""Links of repeated rows, and text around named inline elements."""
 
+import pytest
 from test_edges import linked_by_force
 
-from segq.llm import ngram_join
+from segq.llm import html_text, ngram_join
 
 
 def test_ngram_join_of_rows_that_are_all_repeated(spark):
@@ -17,3 +18,22 @@ def test_ngram_join_of_rows_that_are_all_repeated(spark):
         table = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(3)
         got = ngram_join.ngram_join(table).collect()
         assert len(got) == times * len(rows) and {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i, _ in rows}
+
+
+P = "the cat is on the mat and it was " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><p>{P}</p><span class="share">3</span> tail <p>more</p></article>', [P, "tail", "more"]),
+        (f'<article><p>{P}<em class="ad">3 <em>4</em> 5</em>tail</p><p>more</p></article>', [P + "tail", "more"]),
+        (f'<p>{P}<small id="legal">x</small> short tail</p>', [P + " short tail"]),
+        (f'<article><p>{P}<svg class="share" />tail</p><p>more</p></article>', [P + "tail", "more"]),
+        (f'<article><span class="social"><div>a</div>b</span> tail <p>{P}</p></article>', ["tail", P]),
+        (f'<article><p>{P}<span class="share">3</p><p>more</p></article>', [P, "more"]),
+        (f'<article><p>{P}</p><div class="ad">a<span>b</span>c</div><p>more</p></article>', [P, "more"]),
+    ],
+)
+def test_inline_elements_drop_only_their_own_text(page, want):
+    assert html_text.main_text(page).split("\n") == [" ".join(x.split()) for x in want]
