@@ -40,3 +40,10 @@ def test_xml_escape_takes_whole_texts(spark):
     got = bound(spark, "xml_escape", documents=documents((1, text), (2, None)))
     want = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("'", "&apos;")
     assert {r.id: r.escaped for r in got} == {1: want, 2: ""}
+
+
+def test_consistency_term_finds_phrases_and_parts_of_words(spark):
+    turns = [(1, 0, "user", "Part of the text"), (1, 1, "assistant", "eins"), (2, 0, "user", "END OF THE DAY"), (2, 1, "assistant", "zwei"), (3, 0, "user", "of a withdrawal"), (3, 1, "assistant", "drei"), (4, 0, "user", "without"), (4, 1, "assistant", "vier")]
+    tables = {"conversations": ("conv_id long, turn int, role string, text string", turns), "part": (PART, [(1, "ring", "b", "t", 1, 1.0)]), "nation": ("n_nationkey int, n_name string", [(1, "FRANCE")])}
+    got = {r.term: (r.n_targets, r.n) for r in bound(spark, "consistency_term", **tables)}
+    assert got == {"of the": (2, 2), "the": (2, 2), "with": (2, 2)}
