@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: whole texts of 100 KB then stay under 64 MB a batch.
-ARROW_ROWS = 512
+from segq.llm import hashing
+
+#: Rows and bytes of an Arrow batch, rows of a batch of the Parquet reader, and
+#: bytes of a Parquet row group: a task then holds a few megabytes of whole
+#: texts at a time, on both sides, however long single texts are.
+ARROW_ROWS, ARROW_BYTES, SCAN_ROWS, GROUP_BYTES = 512, 8 << 20, 512, 8 << 20
 #: White space of every contract here: space and U+0009 to U+000D.
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, and
-    a folder of the warehouse where that is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where
+    that is unset, a folder of the warehouse on one machine (tests), and an
+    error on a cluster, whose machines share no local folder."""
     for conf in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if conf:
             return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     cuts the lineage.  The schema is kept, so an empty table reads back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._segq_path = path  # noqa: SLF001  for drop()
     return out
@@ -54,9 +63,36 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free(*shared) -> None:
+    """Destroy broadcasts that no later plan reads."""
+    for b in shared:
+        b.destroy()
+
+
+def slim() -> None:
+    """Give memory that this Python worker has freed back to the system; tasks
+    call it at their end, as Spark keeps workers for the tasks that follow."""
+    hashing.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the batches of scans and of Python by rows and bytes, as one text
+    may be very long."""
+    for name, value in (("execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        spark.conf.set(f"spark.sql.{name}", str(value))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,6 +18,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
+def forget() -> None:
+    """Drop the powers kept for the longest text so far."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     with np.errstate(over="ignore"):
