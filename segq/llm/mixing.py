@@ -1,34 +1,43 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Word counts are JVM expressions; text is never shuffled.  Documents are
-counted per (source, exact size).  A source's target is whole copies of all
-its documents plus a rest below its size; the rest is met by choosing how many
-documents of each size to add: an equal share of every size first, then a
-bounded-knapsack dynamic programme over what is left of the budget.  One task
-holds one source's distinct sizes (not its rows).
-
-Which documents of a size are added is seeded: a hash deals them to slots,
-slots are counted, whole slots are taken in order, and only the one slot that
-the count cuts is ranked, so no size's rows meet in one task.
+Word counts are JVM expressions.  Documents are counted per (source, exact
+size).  A source's target is whole copies of all its documents plus a rest
+below its size; the rest is met by choosing how many documents of each size to
+add: every size gives its share of the budget less ``WINDOW`` words, largest
+sizes first with what a size could not give carried on, and a bounded-knapsack
+dynamic programme over all sizes fills what is left of the budget.  It is the
+same at every size of source.  One task holds one source's distinct sizes (not
+its rows).
+
+Which documents of a size are added is seeded: those with the smallest hashes
+of (seed, id, text).  The hash up to which a size's documents are taken is
+found by counting hashes in ``2**SLOT_BITS`` slots and ranking the one slot
+that the count cuts, so no size's rows meet in one task.  A row's copies then
+follow from its own source, size and hash and a table of one row per (source,
+size), which is broadcast while it has at most ``BROADCAST_ROWS`` rows
+(counted); so texts are not shuffled.  Beyond that it is joined.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 words; an empty table gives no
-rows; rows that repeat an id are ranked apart by arrival-free hashes of
-(id, size) and share their fate when equal.  Fractions of a word cannot be
-taken, so a source's words end within one smallest step of its target.
+rows.  Rows that repeat an id (or have none) are documents of their own; rows
+that repeat id and text have one hash and share their fate, and are left out
+where they would pass the budget together.  Fractions of a word cannot be
+taken, so a source's words end at or just below its target.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segq.llm.common import text_of, written
+from segq.llm.common import drop, fresh, text_of, tune, written
 
-WEIGHTS, REPEATS, SEED, SLOTS, CAPACITY = (5, 2, 1), 3, 17, 512, 1 << 18
+WEIGHTS, REPEATS, SEED, SLOT_BITS, WINDOW, BROADCAST_ROWS = (5, 2, 1), 3, 17, 12, 1 << 16, 200_000
 
 
 def size_of(col: str = "text"):
@@ -39,105 +48,142 @@ def size_of(col: str = "text"):
 def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
     """Shares of the sum by weight; none above ``repeats`` times its size,
     the excess reshared by weight."""
-    left, out, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = {i for i in open_ if unit * weights[i] > repeats * sizes[i]}
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+    out, left, open_weight = [0.0] * len(sizes), float(sum(sizes)), float(sum(weights))
+    by_room = sorted(range(len(sizes)), key=lambda i: sizes[i] / weights[i])
+    for k, i in enumerate(by_room):  # sources fill up in this order
+        if left / open_weight * weights[i] <= repeats * sizes[i]:
+            for j in by_room[k:]:
+                out[j] = left / open_weight * weights[j]
             break
-        for i in full:
-            out[i] = float(repeats * sizes[i])
-            left -= out[i]
-        open_ -= full
+        out[i] = float(repeats * sizes[i])
+        left, open_weight = left - out[i], open_weight - weights[i]
     return out
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each size make the largest sum within ``budget``; exact.
 
-    reach[j] is the set of sums of the first j lots as bits; counts are split
-    into powers of two."""
-    lots = []
+    The set of sums of the first lots is a bit set; counts are split into
+    powers of two.  Every so many lots the set is kept, and the sets between
+    are made again on the way back, so memory is the root of all sets."""
+    lots, out = [], np.zeros(len(sizes), np.int64)
     for i, (s, c) in enumerate(zip(sizes.tolist(), counts.tolist())):
         c, part = min(c, budget // s if s else 0), 1
         while c > 0:
             lots.append((i, min(part, c), s * min(part, c)))
             c -= part
             part *= 2
-    mask, reach, now = (1 << (budget + 1)) - 1, [], 1
-    for i, n, total in lots:
-        reach.append(now)
+    budget = min(budget, sum(total for _, _, total in lots))
+    mask, step = (1 << (budget + 1)) - 1, max(1, math.isqrt(len(lots)))
+    marks, now, used = [], 1, 0
+    for _, _, total in lots:
+        if used % step == 0:
+            marks.append(now)
         now |= (now << total) & mask
+        used += 1
         if now >> budget & 1:
             break
-    at, out = now.bit_length() - 1, np.zeros(len(sizes), np.int64)
-    for (i, n, total), before in zip(reversed(lots[: len(reach)]), reversed(reach)):
-        if not before >> at & 1:
-            out[i] += n
-            at -= total
+    at = now.bit_length() - 1
+    for block in reversed(range(len(marks))):
+        part, reach = lots[block * step : min(used, (block + 1) * step)], [marks[block]]
+        for _, _, total in part[:-1]:
+            reach.append(reach[-1] | (reach[-1] << total) & mask)
+        for (i, n, total), before in zip(reversed(part), reversed(reach)):
+            if not before >> at & 1:
+                out[i] += n
+                at -= total
     return out
 
 
-def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
+def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each size to add so that words come to budget."""
-    take = np.zeros(len(sizes), np.int64)
-    total = int((sizes * counts).sum())
+    take, total = np.zeros(len(sizes), np.int64), int((sizes * counts).sum())
     if budget <= 0 or not total:
         return take
-    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
-    left = budget - int((take * sizes).sum())
-    for i in np.argsort(-sizes, kind="stable"):  # large documents first, while the rest is too much for the table
-        if left <= capacity:
-            break
-        n = min(int(counts[i] - take[i]), (left - capacity // 2) // int(sizes[i])) if sizes[i] else 0
-        if n > 0:
-            take[i] += n
-            left -= n * int(sizes[i])
-    if left > 0:
-        take = take + knapsack(sizes, counts - take, left)
+    order = np.argsort(-sizes, kind="stable")
+    share, carry = max(0, budget - window) / total, 0.0
+    for i in order.tolist():
+        want = share * float(counts[i]) * float(sizes[i]) + carry
+        if sizes[i]:
+            take[i] = min(int(counts[i]), int(want // sizes[i]))
+        carry = want - float(take[i]) * float(sizes[i])
+    take[order] += knapsack(sizes[order], (counts - take)[order], budget - int((take * sizes).sum()))
     return take
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken,
-    copies.  ``key`` is the source made safe for equi-joins (null: 'n')."""
-    spark = docs.sparkSession
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(SLOTS)).cast("int")
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), size_of(text_col).alias("size"), slot.alias("slot")), "sizes")
+def key_of(source: Column) -> Column:
+    """A source made safe for equi-joins (null: 'n')."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def hash_of(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col))
+
+
+def plan(rows: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """(key, size, source_size, target, whole, upto) for rows (key, size, h):
+    every document is taken ``whole`` times, and once more if its hash is at
+    most ``upto`` (null: never)."""
+    spark = rows.sparkSession
     ranked = [(r["key"], r["n"]) for r in rows.groupBy("key").agg(F.sum("size").alias("n")).toLocalIterator()]
     ranked.sort(key=lambda x: (x[0] == "n", x[0]))
     goal = targets([x[1] for x in ranked], [weights[i % len(weights)] for i in range(len(ranked))], repeats)
-    plan = spark.createDataFrame([(k, n, g) for (k, n), g in zip(ranked, goal)], "key string, source_size bigint, target double")
+    goals = spark.createDataFrame([(k, n, g) for (k, n), g in zip(ranked, goal)], "key string, source_size bigint, target double")
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         target, whole_size = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0])
         whole = min(repeats, int(target // whole_size)) if whole_size else 0
         rest = int(round(target - whole * whole_size)) if whole < repeats else 0
-        add = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest)
-        return pdf[["key", "size", "source_size", "target"]].assign(whole=whole, add=add)
-
-    counts = rows.groupBy("key", "size").agg(F.count("*").alias("n")).join(plan, "key")
-    lots = written(counts.groupBy("key").applyInPandas(fitted, "key string, size bigint, source_size bigint, target double, whole bigint, add bigint"), "lots")
-
-    order = Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = rows.groupBy("key", "size", "slot").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    take = F.greatest(F.lit(0), F.least(F.col("n"), F.col("add") - F.col("before"))).alias("take")
-    slots = slots.join(lots, ["key", "size"]).select("key", "size", "slot", "n", "source_size", "target", "whole", take)
-    joined = rows.join(slots, ["key", "size", "slot"])
-    cut = (F.col("take") > 0) & (F.col("take") < F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
-    plain = joined.filter(~cut).withColumn("extra", (F.col("take") > 0).cast("bigint"))
-    ranked_rows = joined.filter(cut).withColumn("extra", (rank <= F.col("take")).cast("bigint"))
-    copies = F.col("whole") + F.col("extra")
-    return plain.unionByName(ranked_rows).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken."""
-    copies = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(copies, docs[options.get("id_col", "doc_id")].eqNullSafe(copies["_id"])).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).drop("_id", "_copies", "_copy")
+        return pdf.assign(whole=whole, add=fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest))
+
+    counts = rows.groupBy("key", "size").agg(F.count("*").alias("n")).join(goals, "key")
+    schema = "key string, size bigint, n bigint, source_size bigint, target double, whole bigint, add bigint"
+    lots = written(counts.groupBy("key").applyInPandas(fitted, schema), "lots")
+
+    slot = F.shiftright("h", 64 - SLOT_BITS).alias("slot")
+    cut = lots.filter("add > 0 and add < n").select("key", "size", "add")
+    before = Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    hint = F.broadcast if few(lots) else lambda df: df  # at most one row of cut, slots and ends for each row of lots
+    slots = rows.join(hint(cut.select("key", "size")), ["key", "size"], "left_semi").groupBy("key", "size", slot).agg(F.count("*").alias("m"))
+    slots = slots.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(cut, ["key", "size"])
+    slots = slots.filter("before < add and add <= before + m").select("key", "size", "slot", (F.col("add") - F.col("before")).alias("need"))
+    inside = rows.select("key", "size", "h", slot).join(hint(slots), ["key", "size", "slot"])
+    upto_here = F.count("*").over(Window.partitionBy("key", "size", "slot").orderBy("h"))  # rows of one hash count together
+    below = F.when(F.col("slot") > -(1 << (SLOT_BITS - 1)), F.shiftleft(F.col("slot").cast("bigint"), 64 - SLOT_BITS) - 1)
+    ends = inside.withColumn("upto_here", upto_here).groupBy("key", "size", "slot").agg(F.max(F.when(F.col("upto_here") <= F.col("need"), F.col("h"))).alias("last"))
+    ends = ends.select("key", "size", F.coalesce("last", below).alias("end"))
+    upto = F.when(F.col("add") >= F.col("n"), F.lit((1 << 63) - 1)).when(F.col("add") > 0, F.col("end"))
+    out = written(lots.join(ends, ["key", "size"], "left").select("key", "size", "source_size", "target", "whole", upto.alias("upto")), "lots")
+    drop(lots)
+    return out
+
+
+def few(lots: DataFrame) -> bool:
+    """Whether one row per (source, size) may be broadcast."""
+    return lots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken,
+    copies."""
+    tune(docs.sparkSession)
+    columns = F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key_of(F.col(source_col)).alias("key"), size_of(text_col).alias("size"), hash_of(id_col, text_col, seed).alias("h")
+    rows = written(docs.select(*columns), "sizes")
+    copies = F.col("whole") + F.coalesce((F.col("h") <= F.col("upto")).cast("bigint"), F.lit(0))
+    lots = plan(rows, weights, repeats)
+    joined = rows.join(F.broadcast(lots) if few(lots) else lots, ["key", "size"])
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken."""
+    tune(docs.sparkSession)
+    mine = F.struct(key_of(F.col(source_col)).alias("key"), size_of(text_col).alias("size"), hash_of(id_col, text_col, seed).alias("h"))
+    rows = written(docs.select(mine.alias("r")).select("r.*"), "sizes")
+    lots = plan(rows, weights, repeats)
+    drop(rows)
+    a, b, c = (fresh(name, docs) for name in ("mix_row", "mix_lot", "mix_copy"))
+    side = lots.select(F.struct(*lots.columns).alias(b))
+    joined = docs.withColumn(a, mine).join(F.broadcast(side) if few(lots) else side, (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.size") == F.col(f"{b}.size")))
+    copies = F.col(f"{b}.whole") + F.coalesce((F.col(f"{a}.h") <= F.col(f"{b}.upto")).cast("bigint"), F.lit(0))
+    return joined.withColumn(c, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(a, b, c)
