@@ -19,6 +19,9 @@ the tokenizers library and writes its own file under a name no other attempt
 uses.  The manifest, a table that Spark commits, names the files of the
 attempts that succeeded, so retries and speculative tasks leave only orphans.
 
+Special strings of the vocabulary that stand in a text become their ids, as
+the library does by default; ``special_as_text`` makes them ordinary text.
+
 Defined results: null text is empty and has the end id alone; a null id sorts
 first and is stored as null; repeated ids stay apart, ordered by
 a hash of the text, then the text; an empty table gives no file and no rows.
@@ -27,7 +30,6 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import io
 import json
 import os
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segq.llm.common import new_path, text_of, tune, written
+from segq.llm.common import new_path, slim, text_of, tune, written
 
 FRAME_IDS, LEVEL, END_ID = 1 << 17, 1, 0
 #: Fixed values of the zstandard seekable format.
@@ -138,7 +140,12 @@ def file_system(uri: str):
     """pyarrow's file system for a folder that all nodes share."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    return fs.FileSystem.from_uri(uri_of(uri))
+
+
+def uri_of(folder: str) -> str:
+    """The folder's URI; a path without a scheme is one that all nodes mount."""
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
 
 
 #: A space that white space follows: no cut there.
@@ -168,18 +175,12 @@ def parts_of(piece: str) -> list[str]:
     return out
 
 
-@functools.cache
-def encoder_of(path: str) -> "Encoder":
-    """One encoder for each worker process and vocabulary."""
-    return Encoder(path)
-
-
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, special_as_text: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    tok.encode_special_tokens = special_as_text
     return tok
 
 
@@ -189,12 +190,14 @@ class Encoder:
     white space follows: the byte-level pre-tokenizer always cuts there too,
     and merges never cross its cuts, so the ids of the pieces in a row are the
     ids of the text.  New pieces are cut once more (``parts_of``).  Pieces are
-    kept as packed ids (about 150 bytes each), for later tasks of the same
-    worker too, and emptied at ``most`` pieces.  A vocabulary with another
-    pre-tokenizer or a normalizer encodes texts whole."""
-
-    def __init__(self, path: str, most: int = 1_000_000):
-        self.tok, self.most, self.known = load_tokenizer(path), most, {}
+    kept as packed ids for one task, and emptied at ``most`` bytes.  A text
+    that holds a special string, and every text of a vocabulary with another
+    pre-tokenizer or a normalizer, is encoded whole."""
+
+    def __init__(self, path: str, special_as_text: bool = False, most: int = 32 << 20):
+        self.tok, self.most, self.known, self.held = load_tokenizer(path, special_as_text), most, {}, 0
+        special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         size = self.tok.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -262,11 +265,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return self._ids(texts)
-        if len(self.known) > self.most:
+        if self.special and any(map(self.special.search, texts)):
+            whole = [self.special.search(t) is not None for t in texts]
+            special = iter(self._ids([t for t, w in zip(texts, whole) if w]))
+            plain = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
+            return [next(special if w else plain) for w in whole]
+        if not texts:
+            return []
+        if self.held > self.most:
             self.known.clear()
+            self.held = 0
         parts = [self.pieces(t) for t in texts]
         firsts = self._ids([part.pop(0) for part in parts])
-        self._learn(list(set().union(*parts).difference(self.known)))
+        new = list(set().union(*parts).difference(self.known))
+        self._learn(new)
+        self.held += 200 * len(new) + 2 * sum(map(len, new))  # bytes, as measured for a piece and its parts
         packed = self.known.__getitem__
         return [np.frombuffer(first.tobytes() + b"".join(map(packed, part)), self.kind) for first, part in zip(firsts, parts)]
 
@@ -274,10 +287,10 @@ class Encoder:
 MANIFEST = "file string, shard long, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """Write token files in ascending id order; returns the manifest table."""
     tune(docs.sparkSession)
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    uri = uri_of(folder)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -288,7 +301,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             if pdf.empty:
                 continue
             if writer is None:
-                encoder = encoder_of(tokenizer)
+                encoder = Encoder(tokenizer, special_as_text)
                 store, path = file_system(uri)
                 store.create_dir(path, recursive=True)
                 name = f"shard-{shard:08d}-{uuid.uuid4().hex}.tok"
@@ -305,6 +318,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             writer.close()
             out.close()
             yield pd.DataFrame({"file": [name], "shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids]})
+            writer = encoder = None
+            slim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     # The range's bounds are sampled to the driver: a hash in them, not texts.
@@ -315,7 +330,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    uri = uri_of(folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = manifest.select("file", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
