@@ -20,6 +20,14 @@ def test_ngram_join_of_rows_that_are_all_repeated(spark):
         assert len(got) == times * len(rows) and {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i, _ in rows}
 
 
+def test_ngram_join_of_an_id_with_two_texts(spark):
+    """An id whose two texts also stand under smaller ids joins both groups."""
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    rows = [(1, one), (2, two), (9, one), (9, two), (9, one), (4, two + " end"), (5, "other words only here now"), (None, one), (None, two)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (9, 1), (4, 1), (5, 5), (None, None)} and len(got) == len(rows)
+
+
 P = "the cat is on the mat and it was " * 3
 
 
