@@ -64,11 +64,12 @@ def test_exact_dedup_heavy_and_light_paths_agree(docs):
 
 def test_line_dedup(spark):
     page = lambda i, own: (i, "http://a.org/x", f"<nav>menu</nav><p>{own}</p><p>note</p>")
-    rows = [page(i, f"text {i}") for i in range(8)] + [(90, None, None), (91, "http://b.org", "<p>menu</p>"), (91, "http://b.org", "<p>menu</p>")]
+    rows = [page(i, f"text {i}") for i in range(8)] + [(90, None, None), (91, "http://b.org", "<p>menu</p><p>own</p>"), (92, "http://c.org", "<p>menu</p>"), (92, "http://c.org", "<p>menu</p>"), (93, "http://c.org", "<p>left</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     plain = line_dedup.line_dedup(pages).collect()
     assert {r.text for r in plain if r.host == "a.org"} == {f"text {i}" for i in range(8)}
-    assert [r.text for r in plain if r.page_id in (90, 91)] .count("menu") == 2
+    assert sorted(r.text for r in plain if r.page_id in (90, 91)) == ["", "menu\nown"]
+    assert sorted((r.page_id, r.text) for r in plain if r.host == "c.org") == [(92, ""), (92, ""), (93, "left")]
     salted = line_dedup.line_dedup(pages, broadcast_lines=-1)
     assert sorted(map(tuple, plain)) == sorted(map(tuple, salted.collect()))
     assert line_dedup.line_dedup(pages.limit(0)).count() == 0
@@ -90,8 +91,8 @@ def test_decontamination(spark, docs, none):
                     hit |= set(range(a, a + k))
                     found.add(item)
         want.setdefault((r.doc_id, r.text), (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    for size in (1 << 24, 40):  # one block, and a block an item
-        got = decontaminate.decontamination(docs, bench(spark, items), block_bytes=size).select("doc_id", "text", "hits.*").collect()
+    for size in (1 << 24, 40):  # broadcast, and joined in several parts
+        got = decontaminate.decontamination(docs, bench(spark, items), most=size).select("doc_id", "text", "hits.*").collect()
         assert all(want[r.doc_id, r.text] == tuple(r)[2:] for r in got) and len(got) == docs.count()
     assert decontaminate.decontamination(none, bench(spark, [])).count() == 0
     assert not decontaminate.decontamination(docs, bench(spark, [])).filter("hits.contaminated").count()
