@@ -1,22 +1,29 @@
 """Main text of html pages by two-pass block rules.
 
-A scanner cuts the page at block tags; script, style and the like are skipped
-whole; comments, nav, header (outside the article), footer, aside, forms and
-elements whose class or id names an advert, a notice, a menu, a share bar or a
-comment section are excluded containers.  A sole article or main element
-bounds the text.
+A scanner cuts the page at block tags, in time linear in the page; script,
+style and the like are skipped whole; comments, nav, header (outside the
+article), footer, aside, forms and elements whose class, id or role names an
+advert, a notice, a menu, a share bar or a comment section are excluded
+containers.  Inside an article or main element fewer names exclude, and an id
+only as a whole, as headings and sections carry ids of their own.  An article
+or main element bounds the text.
 
 Pass one judges each block alone: link density, length and stop-word density
-make it good, bad, or, if short, undecided.  Pass two gives undecided blocks
-the label of the nearest decided neighbours: good if those on both sides are
-good, or if the only decided one is; headings take the side that follows; and
-inside an article element undecided blocks lean to good.
-
-Defined results: null, empty or tag-free html gives its own text as one block
-run (or the empty string); unclosed and stray tags close at the next fitting
-one, the end tag of an inline element only inside its block; a block goes on
-after an excluded inline element; unknown character references stay as text;
-white space inside a block is one space.  Extra columns are not read.
+make it good, bad, or, if short or a heading, undecided.  On a page that holds
+next to none of the known stop words (another language), length and link
+density alone decide.  Inside an article link-dense blocks are undecided, not
+bad, as lists of links may be its text.  Pass two gives undecided blocks the
+label of the nearest decided neighbour (at equal distance, good if both are);
+headings take the side that follows; excluded containers are no neighbours.
+Where no neighbour is decided, blocks stay inside an article, and on a page
+without any decided block those without many links stay.
+
+Defined results: null and empty html give the empty string, html without tags
+its own text; unclosed and stray tags close at the next fitting one, the end
+tag of an inline element only inside its block; a tag that meets another "<"
+before its ">" is text; a block goes on after an excluded inline element;
+unknown character references stay as text; white space inside a block is one
+space.  Repeated rows and ids each give a row; extra columns are not read.
 """
 
 import html as html_lib
@@ -35,7 +42,7 @@ STOP_WORDS = frozenset(
     "le la les un une et est en de du des que qui dans pour par sur pas au avec ce il elle ne se sont plus "
     "el los las un una y en de del que por con para se su al lo como más o es no".split()
 )
-SKIP = frozenset("script style noscript template svg math iframe object head title select button textarea canvas video audio".split())
+SKIP = frozenset("script style noscript template svg iframe object head title select button textarea canvas video audio".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -44,10 +51,16 @@ EXCLUDE = frozenset("nav footer aside form menu dialog".split())
 BAD_NAME = re.compile(
     r"(?<![a-z])(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|masthead|header|comments?|comment-?list|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|search|pagination|pager|toolbar|widget\w*|copyright|legal|disclaimer)(?![a-z])"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Names that exclude inside an article.
+INNER_NAME = re.compile(
+    r"(?<![a-z])(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|comments?|comment-?list|disqus\w*|respond|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|pagination|pager|toolbar|widget\w*)(?![a-z])"
+)
+#: Possessive parts: a tag is tried once, up to the next "<" outside quotes.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""", re.S)
+NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ENDS = {name: re.compile(rf"</{name}(?![a-z0-9:-])[^<>]*+>?", re.I) for name in SKIP}
 SPACE = re.compile(r"\s+")
-SHORT, LONG, LINKS, LOW, HIGH = 70, 200, 0.33, 0.10, 0.20
+SHORT, LONG, LINKS, LOW, HIGH, KNOWN = 70, 200, 0.33, 0.10, 0.20, 0.03
 GOOD, BAD, OPEN = 1, 0, 2
 
 
@@ -61,12 +74,53 @@ class Block:
         return SPACE.sub(" ", html_lib.unescape("".join(self.parts))).strip()
 
 
-def open_inline(stack: list[tuple[str, bool, bool]], name: str) -> bool:
-    """Whether an inline element of the name is open in the innermost block."""
-    for opened, _, _ in reversed(stack):
-        if opened in BLOCK:
-            return False
-        if opened == name:
+class Open:
+    """Open elements: (name, excludes, bounds), with the places of each name
+    and of blocks, so that no end tag searches the stack."""
+
+    def __init__(self):
+        self.items, self.places, self.blocks, self.out, self.inside = [], {}, [], 0, 0
+
+    def push(self, name: str, bad: bool, main: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append((name, bad, main))
+        self.out += bad
+        self.inside += main
+
+    def pop(self) -> None:
+        name, bad, main = self.items.pop()
+        self.places[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        self.out -= bad
+        self.inside -= main
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of the name and what is inside it."""
+        if self.places.get(name):
+            while self.items[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def inline(self, name: str) -> bool:
+        """Whether an inline element of the name is open in the innermost block."""
+        places = self.places.get(name)
+        return bool(places) and places[-1] > (self.blocks[-1] if self.blocks else -1)
+
+    def top(self) -> str:
+        return self.items[-1][0] if self.items else ""
+
+
+def excludes(name: str, rest: str, inside: bool) -> bool:
+    """Whether the element's class, id or role names something left out."""
+    for kind, value in NAMES.findall(rest):
+        value = value.strip("\"'").lower()
+        if not inside:
+            if BAD_NAME.search(value):
+                return True
+        elif any(INNER_NAME.fullmatch(v) for v in value.split()) if kind.lower() == "id" else INNER_NAME.search(value):
             return True
     return False
 
@@ -75,9 +129,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
     """(text, link density, tag, inside the article, excluded) of each block,
     and whether the page has an article or main element."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, excludes, bounds
-    out = inside = links = 0
-    has_main = False
+    stack, endless, links, has_main = Open(), set(), 0, False
     now, held = Block("", False, False), None  # held: a block that an excluded inline element interrupts
     at, size = 0, len(page)
     while at < size:
@@ -100,48 +152,40 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
             links = 0 if closing else 1
             continue
         if not closing and name in SKIP and not rest.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
+            end = None if name in endless else ENDS[name].search(page, at)
+            if end is None:
+                endless.add(name)  # none further on either
             at = end.end() if end else (size if name in ("script", "style", "template", "textarea") else at)
             if name not in ("script", "style", "noscript", "template"):
                 now.parts.append(" ")
             continue
         block = name in BLOCK
         if not block and name not in VOID:
-            if name in SKIP or not (open_inline(stack, name) or (not closing and NAMES.search(rest))):
+            if name in SKIP or not (stack.inline(name) or (not closing and NAMES.search(rest))):
                 continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for _, bad, main in stack[i:]:
-                        out -= bad
-                        inside -= main
-                    del stack[i:]
-                    break
+            stack.close(name)
         elif name not in VOID:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:  # their end tags may be left out
-                _, bad, main = stack.pop()
-                out -= bad
-                inside -= main
-            names = " ".join(x.strip("\"'") for x in NAMES.findall(rest)).lower()
-            main = name in ("article", "main") and not out
-            bad = name in EXCLUDE or (name == "header" and not inside) or (not main and name not in ("body", "html") and bool(names and BAD_NAME.search(names)))
-            stack.append((name, bad, main))
-            out += bad
-            inside += main
+            if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack.top() == name:  # their end tags may be left out
+                stack.pop()
+            main = name in ("article", "main") and not stack.out
+            bad = name in EXCLUDE or (name == "header" and not stack.inside) or (not main and name not in ("body", "html") and excludes(name, rest, stack.inside > 0))
+            stack.push(name, bad, main)
             has_main |= main
+        out, inside = stack.out > 0, stack.inside > 0
         if block:
             found += [now] if held is None else [held, now]
             held = None
             links = 0
-            now = Block(name, inside > 0, out > 0)
-        elif now.out != (out > 0):
+            now = Block(name, inside, out)
+        elif now.out != out:
             if out:
-                held, now = now, Block(now.tag, inside > 0, True)
+                held, now = now, Block(now.tag, inside, True)
             elif held is not None:
                 now, held = held, None
             else:
                 found.append(now)
-                now = Block(now.tag, inside > 0, False)
+                now = Block(now.tag, inside, False)
     found += [now] if held is None else [held, now]
     rows = []
     for b in found:
@@ -151,44 +195,63 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
     return rows, has_main
 
 
-def first_pass(text: str, density: float, tag: str, inside: bool, out: bool, has_main: bool) -> int:
+def stop_words(text: str) -> tuple[int, int]:
+    """How many words are stop words, and how many words there are."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def heading(tag: str) -> bool:
+    return tag[:1] == "h" and tag[1:].isdigit()
+
+
+def first_pass(text: str, density: float, tag: str, inside: bool, out: bool, has_main: bool, stop: float, known: bool) -> int:
     if out or (has_main and not inside):
         return BAD
     if density > LINKS:
-        return BAD
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
-    if tag[:1] == "h" and tag[1:].isdigit():
-        return OPEN
-    if len(text) < SHORT:
+        return OPEN if inside else BAD
+    if heading(tag) or len(text) < SHORT:
         return OPEN
-    if stop >= HIGH or (stop >= LOW and len(text) >= LONG):
+    if stop >= HIGH or (len(text) >= LONG and (stop >= LOW or not known)):
         return GOOD
-    return OPEN if stop >= LOW or inside else BAD
+    return OPEN if stop >= LOW or inside or not known else BAD
 
 
 def labels(rows: list[tuple[str, float, str, bool, bool]], has_main: bool) -> list[bool]:
-    marks = [first_pass(*r, has_main) for r in rows]
+    counts = [stop_words(r[0]) for r in rows]
+    own = [c for c, r in zip(counts, rows) if not r[4]]
+    known = sum(c[0] for c in own) >= KNOWN * sum(c[1] for c in own)
+    marks = [first_pass(*r, has_main, c[0] / max(1, c[1]), known) for r, c in zip(rows, counts)]
     n = len(marks)
-    before, after, last = [None] * n, [None] * n, None
-    for i in range(n):
-        before[i] = last
-        last = marks[i] if marks[i] != OPEN else last
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = marks[i] if marks[i] != OPEN else last
+
+    def nearest(order) -> list[tuple[int, int] | None]:
+        """(place, label) of the decided neighbour before each block."""
+        out, last = [None] * n, None
+        for i in order:
+            out[i] = last
+            if marks[i] != OPEN and not rows[i][4]:
+                last = (i, marks[i])
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    decided = any(m != OPEN and not r[4] for m, r in zip(marks, rows))
     keep = []
     for i, (mark, row) in enumerate(zip(marks, rows)):
+        left, right = before[i], after[i]
         if mark != OPEN:
             keep.append(mark == GOOD)
-        elif row[3]:  # bounded by the article: only excluded containers and link lists are bad there
+        elif has_main and left is None and right is None:
             keep.append(True)
-        elif row[2][:1] == "h" and row[2][1:].isdigit():
-            keep.append(after[i] == GOOD)
+        elif not decided:
+            keep.append(row[1] <= LINKS)
+        elif heading(row[2]) and right is not None:
+            keep.append(right[1] == GOOD)
+        elif left is None or right is None:
+            keep.append((left or right)[1] == GOOD)
+        elif i - left[0] == right[0] - i:
+            keep.append(left[1] == right[1] == GOOD)
         else:
-            sides = [x for x in (before[i], after[i]) if x is not None]
-            keep.append(bool(sides) and all(x == GOOD for x in sides))
+            keep.append((left if i - left[0] < right[0] - i else right)[1] == GOOD)
     return keep
 
 
