@@ -25,7 +25,7 @@ def op3_suffix_dedup(spark, sf_dir):
 
 
 def op4_lattice_lm(spark, sf_dir):
-    return lattice_lm.lattice_lm(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return lattice_lm.lattice_lm(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), class_col="lang")
 
 
 def op5_exact_dedup(spark, sf_dir):

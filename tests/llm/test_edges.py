@@ -188,13 +188,47 @@ def test_lattice_lm_base_and_forward(docs, none):
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got) and lattice_lm.lattice_lm(none, path).count() == 0
     pieces = lattice_lm.Pieces.from_vocabulary(path)
-
+    probs = dict(zip(pieces.strings, np.exp(pieces.logs)))
+    words = [b"the", b"erting", b"\xc3\xa9t", b"a", b"the"]
+    assert np.allclose(10 ** pieces.forward(words), [spelled(probs, w) for w in words], rtol=1e-9)
+    uses = pieces.expect(words, np.array([1, 2, 3, 4, 5]))
+    for piece in (b"er", b"\xe2\x96\x81the", b"h", b"ing"):
+        with_more = dict(probs)
+        with_more[piece] *= 1 + 1e-6  # expected uses are the slope of the log likelihood by the log weight
+        slope = sum(c * (math.log(spelled(with_more, w)) - math.log(spelled(probs, w))) for w, c in zip(words, [1, 2, 3, 4, 5])) / 1e-6
+        assert math.isclose(uses[pieces.strings.index(piece)], slope, abs_tol=1e-4)
+    assert abs(float(pieces.forward([b"ab" * 9000])[0]) / 9000 - float(pieces.forward([b"ab" * 900])[0]) / 900) < 0.1
+
+
+def spelled(probs, word):
+    """Probability of a word by summing over all its segmentations."""
     def every(text):
-        return 1.0 if not text else sum(pieces.probs[text[:k]] * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces.probs)
+        return 1.0 if not text else sum(probs[text[:k]] * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in probs)
+
+    return every(lattice_lm.MARK + word)
+
 
-    for word in (b"the", b"erting", b"\xc3\xa9t"):
-        assert math.isclose(10 ** pieces.forward(word), every(lattice_lm.MARK + word), rel_tol=1e-9)
-    assert math.isclose(pieces.forward(b"ab" * 300), pieces.log_forward(lattice_lm.MARK + b"ab" * 300), rel_tol=1e-9)
+def test_lattice_lm_score_by_force(spark):
+    """The whole score from a plain version of the model: classes, whole-word
+    arcs, lattice and end."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("le chat noir", "fr"), ("the dog", "en"), (None, None), ("un chat", "fr"), ("the the xyz", "en"), ("A b", "de")] * 3)]
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lattice_lm.lattice_lm(table, path, class_col="lang", steps=0).collect()}
+    pieces = lattice_lm.Pieces.from_vocabulary(path)
+    probs, tokens_of = dict(zip(pieces.strings, np.exp(pieces.logs))), lambda t: (t or "").lower().encode().split() + [None]
+    train = [(lang, tokens_of(t)) for i, t, lang in rows if not lattice_lm.is_held_out(i)]
+    count = lambda docs: {w: sum(d.count(w) for d in docs) for w in {w for d in docs for w in d}}
+    whole, by_class = count([d for _, d in train]), {k: count([d for x, d in train if x == k]) for k in {x for x, _ in train}}
+
+    def p(w, counts, below):
+        n, v = sum(counts.values()), len(counts)
+        return (counts.get(w, 0) + v * below(w)) / (n + v)
+
+    first = lambda w: p(w, whole, lambda x: pieces.end if x is None else spelled(probs, x))
+    for i, t, _ in rows:
+        want = sum(sum(x == k for x, _ in train) / len(train) * math.prod(p(w, c, first) for w in tokens_of(t)) for k, c in by_class.items())
+        assert math.isclose(got[i].score, math.log10(want), rel_tol=1e-9) and got[i].held_out == lattice_lm.is_held_out(i)
 
 
 def test_mixing(docs, none):
