@@ -1,19 +1,38 @@
 """Approval gates and the review queue."""
 
+from segq.operators.routing import NAMES
 from segq.plans.core import relation
 
 
-@relation("segments", "route_decision", "labels", "qa_depth_upgrade", query=False)
+@relation("upgraded", "labels", query=False)
 def approval_input(d):
-    return """SELECT s.id, s.source_text, s.block_type, r.route, r.level, r.safe_confidence, l.quality, l.toxic, CASE WHEN l.quality = 1 THEN 'translated' WHEN l.quality = 0 THEN 'new' ELSE 'google_draft' END AS status, u.after AS depth
-FROM segments s JOIN route_decision r ON s.id = r.id LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON s.id = l.doc_id JOIN qa_depth_upgrade u ON s.id = u.id"""
+    """Routed segments with the flags of review: one row each.  Status, target
+    and QA flags come from labels and the row's own scores."""
+    return f"""SELECT s.*, l.quality, l.toxic, CASE WHEN l.quality = 1 THEN 'translated' WHEN l.quality = 0 THEN 'new' ELSE 'google_draft' END AS status, {NAMES.format('s.after_depth')} AS depth_name
+FROM upgraded s LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON s.id = l.doc_id"""
+
+
+#: Eleven basic checks, then six never-approve checks, in order: (reason, test).
+BASIC = (
+    ("not_translated", "status NOT IN ('translated', 'google_draft')"), ("risk_", "level IN ('HIGH', 'CRITICAL')"), ("empty_target", "trim(source_text) = ''"), ("local_qa_fail", "text_chars < 5"), ("qa_alerts", "depth_name = 'critical_full_review' AND n_forbidden_post = 0"),
+    ("forbidden_alert", "n_forbidden_post > 0"), ("numerical_mismatch", "n_numbers > 20 AND n_units > 0"), ("consistency_conflict", "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative"), ("glossary_conflict", "glossary_matches > 14"),
+    ("semantic_alert", "safe_confidence > 0 AND safe_confidence < 95e-2"), ("hallucination_suspicion", "coalesce(toxic, 0) = 1"),
+)
+NEVER = (("never_non_low", "level <> 'LOW'"), ("never_table_cell", "block_type = 'table_cell'"), ("never_dosage", "n_units > 0"), ("never_abbreviations", "n_abbr > 0"), ("never_pos_neg", "n_polarity > 0"), ("never_directions", "n_direction > 0"), ("never_lab_values", "n_lab > 0"), ("never_numbers", "n_ranges > 0"))
+#: Gates of the routes: (route, reason, test that must hold).
+GATES = (
+    ("EXACT_TM", "tm_gate", "tm_score >= 99"), ("GOOGLE_SAFE", "mt_gate", "status = 'google_draft' AND intent IN ('metadata_simple', 'author_list', 'institution_simple') AND entity <= 6e-1"),
+    ("GPT_REQUIRED", "gpt_gate", "coalesce(quality, 1) = 1 AND after_depth < 3"), ("GPT_WITH_GLOSSARY_REQUIRED", "gpt_gate", "coalesce(quality, 1) = 1 AND after_depth < 3"),
+)
 
 
 @relation("approval_input")
 def approval_gate(d):
-    """First failing gate in the fixed order, else the route's own gate."""
-    return """SELECT id, route, reason IS NULL AS eligible, reason FROM (SELECT id, route, CASE WHEN status = 'new' THEN 'not_translated' WHEN level IN ('HIGH', 'CRITICAL') THEN 'risk_' || lower(level) WHEN trim(source_text) = '' THEN 'empty_target' WHEN coalesce(toxic, 0) = 1 THEN 'forbidden_alert' WHEN depth = 'critical_full_review' THEN 'qa_alerts'
-WHEN safe_confidence > 0 AND safe_confidence < 95e-2 THEN 'semantic_alert' WHEN level <> 'LOW' THEN 'never_non_low' WHEN block_type = 'table_cell' THEN 'never_table' WHEN route = 'HUMAN_REVIEW_REQUIRED' THEN 'route_gate' WHEN route = 'GOOGLE_SAFE' AND status <> 'google_draft' THEN 'provider_gate' END AS reason FROM approval_input) t"""
+    """First failing basic check, else never-approve check, else the route's
+    own gate; routes without a gate are never approved."""
+    first = "CASE " + " ".join(f"WHEN {test} THEN " + ("'risk_' || lower(level)" if name == "risk_" else f"'{name}'") for name, test in BASIC + NEVER) + " ELSE "
+    gate = "CASE route " + " ".join(f"WHEN '{route}' THEN CASE WHEN {test} THEN NULL ELSE '{reason}' END" for route, reason, test in GATES) + " ELSE 'route_not_eligible' END END"
+    return f"SELECT id, route, reason IS NULL AS eligible, reason FROM (SELECT id, route, {first}{gate} AS reason FROM approval_input) t"
 
 
 @relation("approval_gate")
@@ -32,19 +51,39 @@ def approval_execute(d):
     return "SELECT id, 'confirmed' AS status, 'auto:' || route AS approval_source FROM approval_gate WHERE eligible"
 
 
+#: (alert, boost, test over ``approval_input``), highest boost first, then name.
+ALERTS = (
+    ("forbidden_detected", 95, "n_forbidden_post > 0"), ("numeric_mismatch", 90, "n_numbers > 3"), ("entity_corruption", 85, "entity > 9e-1"), ("name_corruption", 85, "n_initials > 2"), ("semantic_drift", 85, "safe_confidence < 2e-1"),
+    ("glossary_conflict", 70, "glossary_matches > 14"), ("consistency_conflict", 65, "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative"), ("qa_failed", 60, "coalesce(toxic, 0) = 1"), ("qa_warning", 60, "depth_name IN ('full_medical_qa', 'full_medical_qa_backcheck')"),
+    ("google_needs_review", 50, "status = 'google_draft' AND route <> 'GOOGLE_SAFE'"), ("backcheck_low", 40, "depth_name = 'full_medical_qa_backcheck' AND safe_confidence < 4e-1"), ("risk_level", 30, "level IN ('HIGH', 'CRITICAL')"),
+)
+BOOST = "CASE {} " + " ".join(f"WHEN '{name}' THEN {boost}" for name, boost, _ in ALERTS) + " ELSE 30 END"
+#: (text in the alerts or test, action): nine rules, first match wins.
+ACTIONS = (
+    ("contains(alerts, 'forbidden')", "replace_forbidden_term"), ("contains(alerts, 'numeric')", "check_numbers"), ("contains(alerts, 'glossary')", "apply_glossary_term"), ("contains(alerts, 'corruption')", "check_names"), ("contains(alerts, 'consistency')", "align_with_group"),
+    ("contains(alerts, 'drift')", "retranslate"), ("contains(alerts, 'backcheck')", "repeat_back_check"), ("level = 'CRITICAL'", "expert_review"), ("status = 'google_draft'", "review_machine_draft"),
+)
+
+
 @relation("approval_input", query=False)
+def review_rows(d):
+    """Segments in review with at least one alert; alerts in one array, the
+    top one first, so nothing is joined back."""
+    return f"""SELECT i.id, i.route, i.level, i.status, i.source_text, {d.flags(*((name, test) for name, _, test in ALERTS))} AS found FROM approval_input i WHERE i.status IN ('translated', 'google_draft')"""
+
+
+@relation("review_rows", query=False)
 def review_alerts(d):
-    rows = (("forbidden_detected", "coalesce(toxic, 0) = 1", 95), ("numeric_mismatch", d.n("source_text", "[0-9]+") + " > 3", 90), ("semantic_drift", "safe_confidence < 2e-1", 85), ("qa_warning", "depth IN ('full_medical_qa', 'full_medical_qa_backcheck')", 60), ("google_needs_review", "status = 'google_draft' AND route <> 'GOOGLE_SAFE'", 50))
-    return " UNION ALL ".join(f"SELECT id, '{k}' AS alert, {boost} AS boost FROM approval_input WHERE {test}" for k, test, boost in rows)
+    return f"SELECT id, alert, {BOOST.format('alert')} AS boost FROM (SELECT id, {d.explode('found')} AS alert FROM review_rows) a"
 
 
-@relation("approval_input", "review_alerts")
+@relation("review_rows")
 def review_queue(d):
     """Priority, top alert (highest boost, then name) and suggested action."""
     base = "CASE level WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 80 WHEN 'MEDIUM' THEN 50 WHEN 'LOW' THEN 20 ELSE 50 END"
-    return f"""SELECT i.id, i.route, i.level, i.status, a.alerts, a.top_alert, greatest({base}, a.boost + {base}) + CASE WHEN i.status = 'google_draft' THEN 10 ELSE 0 END AS priority, substring(i.source_text, 1, 100) AS preview,
-CASE WHEN contains(a.alerts, 'forbidden') THEN 'replace_forbidden_term' WHEN contains(a.alerts, 'numeric') THEN 'check_numbers' WHEN contains(a.alerts, 'drift') THEN 'retranslate' WHEN i.level = 'CRITICAL' THEN 'expert_review' ELSE 'edit_and_confirm' END AS action
-FROM approval_input i JOIN (SELECT id, {d.joined('alert', ',')} AS alerts, max(boost) AS boost, min(CASE WHEN rn = 1 THEN alert END) AS top_alert FROM (SELECT id, alert, boost, row_number() OVER (PARTITION BY id ORDER BY boost DESC, alert) AS rn FROM review_alerts) r GROUP BY id) a ON i.id = a.id WHERE i.status IN ('translated', 'google_draft')"""
+    action = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for test, name in ACTIONS) + " ELSE 'edit_and_confirm' END"
+    return f"""SELECT id, route, level, status, alerts, top_alert, {BOOST.format('top_alert')} + {base} + CASE WHEN status = 'google_draft' THEN 10 ELSE 0 END AS priority, preview, {action} AS action
+FROM (SELECT id, route, level, status, {d.join(d.sort('found'), ',')} AS alerts, {d.item('found', 1)} AS top_alert, substring(source_text, 1, 100) AS preview FROM review_rows WHERE {d.size('found')} > 0) q"""
 
 
 @relation("review_queue")
@@ -62,11 +101,11 @@ def review_stats(d):
     return "SELECT 'level' AS kind, level AS name, count(*) AS n FROM review_queue GROUP BY level UNION ALL SELECT 'status', status, count(*) FROM review_queue GROUP BY status UNION ALL SELECT 'alert', a.alert, count(*) FROM review_queue q JOIN review_alerts a ON q.id = a.id GROUP BY a.alert UNION ALL SELECT 'total', 'total', count(*) FROM review_queue"
 
 
-@relation("segments", "route_decision")
+@relation("routed")
 def mt_eligible(d):
-    return "SELECT s.id FROM segments s JOIN route_decision r ON s.id = r.id WHERE r.route = 'GOOGLE_SAFE' AND r.safe_confidence >= 98e-2 AND trim(s.source_text) <> ''"
+    return "SELECT id FROM routed WHERE route = 'GOOGLE_SAFE' AND safe_confidence >= 98e-2 AND trim(source_text) <> ''"
 
 
-@relation("segments", "route_decision")
+@relation("routed")
 def gpt_eligible(d):
-    return "SELECT s.id, r.route FROM segments s JOIN route_decision r ON s.id = r.id WHERE r.route IN ('GPT_REQUIRED', 'GPT_WITH_GLOSSARY_REQUIRED') AND trim(s.source_text) <> ''"
+    return "SELECT id, route FROM routed WHERE route IN ('GPT_REQUIRED', 'GPT_WITH_GLOSSARY_REQUIRED') AND trim(source_text) <> ''"

@@ -27,8 +27,9 @@ def dup_exact_groups(d):
 
 @relation("short_segments", "dup_exact_groups")
 def dup_assign(d):
-    return """SELECT s.id, g.group_id, s.id = g.representative AS is_representative, coalesce(g.n - 1, 0) AS duplicate_count
-FROM short_segments s LEFT JOIN (SELECT h, representative, n, dense_rank() OVER (ORDER BY representative) - 1 AS group_id FROM dup_exact_groups) g ON s.h = g.h"""
+    """Groups are named by their representative, so no task numbers them all."""
+    return """SELECT s.id, g.representative AS group_id, s.id = g.representative AS is_representative, coalesce(g.n - 1, 0) AS duplicate_count
+FROM short_segments s LEFT JOIN dup_exact_groups g ON s.h = g.h"""
 
 
 @relation("dup_assign")

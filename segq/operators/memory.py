@@ -6,7 +6,8 @@ from segq.plans.core import relation
 @relation("documents", query=False)
 def memory(d):
     """One trusted row per content hash: the newest (largest id)."""
-    return f"SELECT source_hash, id, source_text, target_text FROM (SELECT {d.sha(d.norm('text'))} AS source_hash, doc_id AS id, text AS source_text, 'TM:' || doc_id AS target_text, row_number() OVER (PARTITION BY {d.sha(d.norm('text'))} ORDER BY doc_id DESC) AS rn FROM documents) t WHERE rn = 1"
+    h = d.sha(d.norm("text"))
+    return f"SELECT {h} AS source_hash, max(doc_id) AS id, max_by(text, doc_id) AS source_text, 'TM:' || max(doc_id) AS target_text FROM documents WHERE doc_id IS NOT NULL GROUP BY {h}"
 
 
 @relation("segments", "memory")

@@ -1,32 +1,44 @@
 """Routing, policies, workflow and QA depth."""
 
+from segq.operators.scoring import INTENT
 from segq.plans.core import relation
 
+DEPTH = """CASE WHEN level = 'CRITICAL' THEN 4 WHEN level = 'HIGH' THEN 3 WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'GOOGLE_SAFE') THEN 0 WHEN route = 'GPT_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 1 ELSE 0 END
+WHEN route = 'GPT_WITH_GLOSSARY_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 2 ELSE 1 END WHEN route = 'HUMAN_REVIEW_REQUIRED' THEN 4 ELSE 1 END"""
+NAMES = "CASE {} WHEN 0 THEN 'local_only' WHEN 1 THEN 'local_plus_light_gpt' WHEN 2 THEN 'full_medical_qa' WHEN 3 THEN 'full_medical_qa_backcheck' ELSE 'critical_full_review' END"
+
 
 @relation("segments", "memory", query=False)
 def context(d):
     """Memory score and duplicate group of each segment."""
-    h = d.sha(d.norm("source_text"))
-    return f"SELECT g.id, CASE WHEN m.id IS NOT NULL AND m.id <> g.id THEN 100 ELSE 0 END AS tm_score, CASE WHEN g.n > 1 THEN g.first_id END AS group_id, g.id = g.first_id AS is_representative FROM (SELECT id, {h} AS h, count(*) OVER (PARTITION BY {h}) AS n, min(id) OVER (PARTITION BY {h}) AS first_id FROM segments) g LEFT JOIN memory m ON g.h = m.source_hash"
+    hashed = f"SELECT id, {d.sha(d.norm('source_text'))} AS h FROM segments"
+    return f"SELECT s.id, CASE WHEN m.id IS NOT NULL AND m.id <> s.id THEN 100 ELSE 0 END AS tm_score, CASE WHEN g.n > 1 THEN g.first_id END AS group_id, s.id = g.first_id AS is_representative FROM ({hashed}) s JOIN (SELECT h, count(*) AS n, min(id) AS first_id FROM ({hashed}) x GROUP BY h) g ON s.h = g.h LEFT JOIN memory m ON s.h = m.source_hash"
 
 
-@relation("segments", "context", "semantic_scores", "intent_class", "term_match_top15", "forbidden_pre")
+@relation("scored", "context", "term_counts", query=False)
+def routed(d):
+    """Route, level and depth of each segment with what the later steps read,
+    all in one row: eleven ordered rules to seven routes (fixed thresholds)."""
+    return f"""SELECT r.*, {DEPTH} AS depth FROM (SELECT t.*, CASE WHEN tm_score >= 99 THEN 'EXACT_TM' WHEN group_id IS NOT NULL AND is_representative THEN 'DUPLICATE_REPRESENTATIVE' WHEN group_id IS NOT NULL THEN 'DUPLICATE_PROPAGATION_PENDING'
+WHEN level = 'CRITICAL' THEN 'HUMAN_REVIEW_REQUIRED' WHEN level = 'HIGH' THEN CASE WHEN glossary_matches > 0 OR medicality > 5e-1 THEN 'GPT_WITH_GLOSSARY_REQUIRED' ELSE 'HUMAN_REVIEW_REQUIRED' END
+WHEN intent IN ('metadata_simple', 'author_list') THEN CASE WHEN safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END WHEN intent IN ('biography_or_affiliation', 'institution_complex') THEN 'GPT_REQUIRED'
+WHEN intent = 'table_or_numeric' THEN CASE WHEN criticality > 5e-1 THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'GPT_REQUIRED' END WHEN glossary_matches >= 2 OR medicality > 6e-1 THEN 'GPT_WITH_GLOSSARY_REQUIRED' WHEN n_forbidden_pre > 0 THEN 'HUMAN_REVIEW_REQUIRED'
+WHEN safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END AS route
+FROM (SELECT x.id, x.segment_order, x.block_type, x.project, x.source_text, x.level, x.score, x.reasons, x.density, x.medicality, x.entity, x.reversibility, x.criticality, x.safe_confidence, x.n_forbidden_pre, x.n_forbidden_post, x.n_direction, x.n_words, x.n_numbers, x.n_abbr, x.n_polarity, x.n_initials, x.n_units, x.n_ranges, x.n_lab, {INTENT} AS intent, length(x.source_text) AS text_chars, c.tm_score, c.group_id, c.is_representative, coalesce(g.n, 0) AS glossary_matches
+FROM scored x JOIN context c ON x.id = c.id LEFT JOIN term_counts g ON x.id = g.id) t) r"""
+
+
+@relation("routed")
 def route_decision(d):
-    """Eleven ordered rules to seven routes (fixed thresholds)."""
-    return """SELECT s.id, CASE WHEN c.tm_score >= 99 THEN 'EXACT_TM' WHEN c.group_id IS NOT NULL AND c.is_representative THEN 'DUPLICATE_REPRESENTATIVE' WHEN c.group_id IS NOT NULL THEN 'DUPLICATE_PROPAGATION_PENDING'
-WHEN x.level = 'CRITICAL' THEN 'HUMAN_REVIEW_REQUIRED' WHEN x.level = 'HIGH' THEN CASE WHEN coalesce(t.n, 0) > 0 OR x.medicality > 5e-1 THEN 'GPT_WITH_GLOSSARY_REQUIRED' ELSE 'HUMAN_REVIEW_REQUIRED' END
-WHEN i.intent IN ('metadata_simple', 'author_list') THEN CASE WHEN x.safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END WHEN i.intent IN ('biography_or_affiliation', 'institution_complex') THEN 'GPT_REQUIRED'
-WHEN i.intent = 'table_or_numeric' THEN CASE WHEN x.criticality > 5e-1 THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'GPT_REQUIRED' END WHEN coalesce(t.n, 0) >= 2 OR x.medicality > 6e-1 THEN 'GPT_WITH_GLOSSARY_REQUIRED' WHEN coalesce(f.n, 0) > 0 THEN 'HUMAN_REVIEW_REQUIRED'
-WHEN x.safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END AS route, x.level,
-CASE x.level WHEN 'CRITICAL' THEN 'strict' WHEN 'HIGH' THEN 'strict' WHEN 'MEDIUM' THEN 'manual' ELSE 'auto_pass' END AS qa_policy, CASE x.level WHEN 'CRITICAL' THEN 'dual' WHEN 'HIGH' THEN 'single' WHEN 'MEDIUM' THEN 'single' ELSE 'automated' END AS approval_policy,
-coalesce(t.n, 0) AS glossary_matches, x.safe_confidence, length(s.source_text) AS n_chars
-FROM segments s JOIN context c ON s.id = c.id JOIN semantic_scores x ON s.id = x.id JOIN intent_class i ON s.id = i.id LEFT JOIN (SELECT id, count(*) AS n FROM term_match_top15 GROUP BY id) t ON s.id = t.id LEFT JOIN (SELECT id, count(*) AS n FROM forbidden_pre GROUP BY id) f ON s.id = f.id"""
-
-
-@relation("route_decision", "features")
+    """The route with the policies of the level."""
+    return """SELECT id, route, level, CASE level WHEN 'CRITICAL' THEN 'strict' WHEN 'HIGH' THEN 'strict' WHEN 'MEDIUM' THEN 'manual' ELSE 'auto_pass' END AS qa_policy, CASE level WHEN 'CRITICAL' THEN 'dual' WHEN 'HIGH' THEN 'single' WHEN 'MEDIUM' THEN 'single' ELSE 'automated' END AS approval_policy,
+glossary_matches, safe_confidence, text_chars AS n_chars FROM routed"""
+
+
+@relation("routed")
 def route_simple(d):
     """The alternative six-rule router."""
-    return """SELECT r.id, CASE WHEN r.route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING') THEN r.route WHEN r.level IN ('CRITICAL', 'HIGH') THEN 'HUMAN_REVIEW_REQUIRED' WHEN r.glossary_matches >= 3 THEN 'GPT_WITH_GLOSSARY_REQUIRED' WHEN r.level = 'LOW' AND f.n_direction = 0 AND r.safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END AS route FROM route_decision r JOIN features f ON r.id = f.id"""
+    return """SELECT id, CASE WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING') THEN route WHEN level IN ('CRITICAL', 'HIGH') THEN 'HUMAN_REVIEW_REQUIRED' WHEN glossary_matches >= 3 THEN 'GPT_WITH_GLOSSARY_REQUIRED' WHEN level = 'LOW' AND n_direction = 0 AND safe_confidence >= 98e-2 THEN 'GOOGLE_SAFE' ELSE 'GPT_REQUIRED' END AS route FROM routed"""
 
 
 @relation("risk_score")
@@ -64,24 +76,29 @@ def workflow_steps(d):
     return f"SELECT id, {d.join(kept, ' > ')} AS steps, {d.size(kept)} AS n_steps, level IN ('HIGH', 'CRITICAL') AS requires_human FROM route_decision"
 
 
-DEPTH = """CASE WHEN level = 'CRITICAL' THEN 4 WHEN level = 'HIGH' THEN 3 WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'GOOGLE_SAFE') THEN 0 WHEN route = 'GPT_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 1 ELSE 0 END
-WHEN route = 'GPT_WITH_GLOSSARY_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 2 ELSE 1 END WHEN route = 'HUMAN_REVIEW_REQUIRED' THEN 4 ELSE 1 END"""
-NAMES = "CASE {} WHEN 0 THEN 'local_only' WHEN 1 THEN 'local_plus_light_gpt' WHEN 2 THEN 'full_medical_qa' WHEN 3 THEN 'full_medical_qa_backcheck' ELSE 'critical_full_review' END"
+TOKENS = "CASE depth WHEN 0 THEN 0 WHEN 1 THEN 800 WHEN 2 THEN 1200 ELSE CAST(floor(text_chars / 4e0 + 1500) AS INT) END"
 
 
-@relation("route_decision", query=False)
-def depth_rank(d):
-    return f"SELECT id, route, level, safe_confidence, n_chars, {DEPTH} AS depth FROM route_decision"
+@relation("routed")
+def qa_depth(d):
+    return f"SELECT id, {NAMES.format('depth')} AS qa_depth, {TOKENS} AS qa_tokens, round({TOKENS} * 1e-4, 4) AS qa_usd FROM routed"
 
 
-@relation("depth_rank")
-def qa_depth(d):
-    return f"SELECT id, {NAMES.format('depth')} AS qa_depth, CASE depth WHEN 0 THEN 0 WHEN 1 THEN 800 WHEN 2 THEN 1200 ELSE CAST(floor(n_chars / 4e0 + 1500) AS INT) END AS qa_tokens, round(CASE depth WHEN 0 THEN 0 WHEN 1 THEN 800 WHEN 2 THEN 1200 ELSE floor(n_chars / 4e0 + 1500) END * 1e-4, 3) AS qa_usd FROM depth_rank"
+#: (reason, test over ``routed``, least depth): upgrades never go down.
+UPGRADES = (
+    ("forbidden_term_detected", "n_forbidden_post > 0", 4), ("critical_anomaly", "criticality > 95e-2", 4), ("entity_corruption", "entity > 9e-1", 4),
+    ("consistency_conflict", "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative", 3), ("glossary_conflict", "glossary_matches > 14", 3), ("semantic_uncertainty", "safe_confidence < 5e-1", 3), ("numerical_mismatch", "n_numbers > 20 AND n_units > 0", 3),
+    ("local_qa_warning", "n_words > 0 AND text_chars < 5", 2), ("light_gpt_issue", "reversibility > 6e-1", 2),
+)
+
+
+@relation("routed", query=False)
+def upgraded(d):
+    up = ", ".join(f"CASE WHEN {test} THEN {depth} ELSE 0 END" for _, test, depth in UPGRADES)
+    return f"SELECT r.*, greatest(depth, {up}) AS after_depth, {d.flags(*((name, test) for name, test, _ in UPGRADES))} AS upgrade_reasons FROM routed r"
 
 
-@relation("depth_rank", "forbidden_post")
+@relation("upgraded")
 def qa_depth_upgrade(d):
-    """Upgrades by reason, never down: a forbidden term asks for full review,
-    low confidence for a back-check."""
-    up = "greatest(r.depth, CASE WHEN coalesce(f.n, 0) > 0 THEN 4 WHEN r.safe_confidence < 5e-1 THEN 3 ELSE 0 END)"
-    return f"SELECT r.id, {NAMES.format('r.depth')} AS before, {NAMES.format(up)} AS after FROM depth_rank r LEFT JOIN (SELECT id, count(*) AS n FROM forbidden_post GROUP BY id) f ON r.id = f.id"
+    """Upgrades by eight reasons (and one more for numbers), never down."""
+    return f"SELECT id, {NAMES.format('depth')} AS before, {NAMES.format('after_depth')} AS after, {d.join('upgrade_reasons', ',')} AS reasons FROM upgraded"

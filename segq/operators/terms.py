@@ -64,6 +64,12 @@ def term_match_top15(d):
 row_number() OVER (PARTITION BY id ORDER BY {prio}, length(term) DESC, term) AS rn FROM term_ladder WHERE match_type IS NOT NULL) t WHERE rn <= 15"""
 
 
+@relation("term_ladder", query=False)
+def term_counts(d):
+    """Matches of each segment, at most fifteen."""
+    return "SELECT id, least(15, count(*)) AS n FROM term_ladder WHERE match_type IS NOT NULL GROUP BY id"
+
+
 @relation("term_match_top15", "glossary")
 def prompt_context(d):
     """Approved and reference lines of a segment's terms, first synonym."""
@@ -93,16 +99,15 @@ def forbidden_pre(d):
     """Source holds the term as a whole word; preferred target if approved.
     The pair list is tiny and fixed, so this is a broadcast nested loop."""
     return f"""SELECT s.id, f.term, f.bad, CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END AS severity, split_part(g.target, '; ', 1) AS preferred
-FROM segments s JOIN forbidden f ON {d.whole_word('s.source_text', 'f.term')} LEFT JOIN glossary g ON g.term = f.term AND g.tier = 'approved'"""
+FROM (SELECT id, {d.padded('source_text')} AS padded FROM segments) s JOIN (SELECT term, bad, reason, {d.padded('term')} AS key FROM forbidden) f ON contains(s.padded, f.key) LEFT JOIN glossary g ON g.term = f.term AND g.tier = 'approved'"""
 
 
 @relation("documents", "forbidden")
 def forbidden_post(d):
     """Target holds the forbidden word; one alert per word, milder if the
     source lacks the term."""
-    hit = d.whole_word("s.text", "f.term")
-    return f"""SELECT id, bad, term, severity FROM (SELECT s.doc_id AS id, f.bad, f.term, CASE WHEN {hit} THEN CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END ELSE 'info' END AS severity, row_number() OVER (PARTITION BY s.doc_id, f.bad ORDER BY f.pos) AS rn
-FROM documents s JOIN forbidden f ON {d.whole_word('s.text', 'f.bad')}) t WHERE rn = 1"""
+    return f"""SELECT id, bad, term, severity FROM (SELECT s.id, f.bad, f.term, CASE WHEN contains(s.padded, f.key) THEN CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END ELSE 'info' END AS severity, row_number() OVER (PARTITION BY s.id, f.bad ORDER BY f.pos) AS rn
+FROM (SELECT doc_id AS id, {d.padded('text')} AS padded FROM documents) s JOIN (SELECT pos, term, bad, reason, {d.padded('term')} AS key, {d.padded('bad')} AS bad_key FROM forbidden) f ON contains(s.padded, f.bad_key)) t WHERE rn = 1"""
 
 
 @relation("forbidden")

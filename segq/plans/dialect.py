@@ -59,6 +59,12 @@ class Spark:
     def split(self, col: str, sep: str) -> str:
         return f"split({col}, {self.rx(re.escape(sep))})"
 
+    def settled(self, query: str) -> str:
+        """The query's rows through a one-row generator.  Conditions over its
+        columns are not pushed below it, where each column would be written
+        out again as often as it is used, nested to great size."""
+        return f"SELECT v.* FROM (SELECT struct(q.*) AS whole_row FROM ({query}) q) w LATERAL VIEW inline(array(whole_row)) v"
+
     # shared by both
     def norm(self, col: str) -> str:
         """Canonical text: lower, trimmed, white space squeezed; null is ''."""
@@ -74,10 +80,18 @@ class Spark:
         """How many tokens of ``col`` are in the word list."""
         return self.size(self.filter(self.tokens(col), f"x IN ({', '.join(repr(w) for w in words)})"))
 
+    def padded(self, text: str) -> str:
+        """Tokens of the text, lower case, between single spaces: a phrase with
+        boundaries is then a plain substring."""
+        return f"(' ' || {self.join(self.all(f"lower(coalesce({text}, ''))", r"[\p{L}\p{N}_]+"), ' ')} || ' ')"
+
     def whole_word(self, text: str, term: str) -> str:
         """Phrase test with boundaries, case folded, by padded token text."""
-        pad = lambda s: f"(' ' || {self.join(self.all(f"lower(coalesce({s}, ''))", r"[\p{L}\p{N}_]+"), ' ')} || ' ')"
-        return f"contains({pad(text)}, {pad(term)})"
+        return f"contains({self.padded(text)}, {self.padded(term)})"
+
+    def flags(self, *checks) -> str:
+        """Names of the checks (name, test) that hold, in their order."""
+        return self.filter(self.array(*(f"CASE WHEN {test} THEN '{name}' END" for name, test in checks)), "x IS NOT NULL")
 
 
 class Duck(Spark):
@@ -127,5 +141,8 @@ class Duck(Spark):
     def split(self, col: str, sep: str) -> str:
         return f"string_split({col}, '{sep}')"
 
+    def settled(self, query: str) -> str:
+        return query
+
 
 SPARK, DUCK = Spark(), Duck()
