@@ -1,18 +1,38 @@
-"""Default word lists of the rules, our own, in English with a few words of
-the other test languages.  Every rule takes its list as a parameter."""
+"""Default word lists of the rules, in English with a few words of the other
+test languages.  ``using`` puts other lists in their place for one rendering,
+and ``segq.plans.core.run`` takes them by name.  The lists of diseases,
+treatments, courses, laboratory words and dangers are ours, after headings of
+the public MeSH thesaurus (trees C, E and D)."""
+
+from contextlib import contextmanager
+
+
+@contextmanager
+def using(**lists):
+    """Other lists for the time of one rendering."""
+    unknown = set(lists) - {k for k in globals() if k.isupper()}
+    if unknown:
+        raise KeyError(f"no such lists: {sorted(unknown)}")
+    before = {k: globals()[k] for k in lists}
+    globals().update(lists)
+    try:
+        yield
+    finally:
+        globals().update(before)
+
 
 UNITS = ("mg", "ml", "mcg", "kg", "mmol", "iu", "units")
 POLARITY = ("positive", "negative", "positiv", "negativ", "positif", "positivo", "negativo")
-COURSE = ("acute", "chronic", "recurrent", "persistent", "akut", "chronisch", "aigu", "crónico")
+COURSE = ("fulminant", "intermittent", "latent", "progressive", "relapsing", "remission", "subacute", "fortschreitend", "schubweise", "évolutif", "progresivo")
 DIRECTION = ("left", "right", "upper", "lower", "anterior", "posterior", "medial", "lateral", "links", "rechts", "gauche", "droite", "izquierdo", "derecho")
-DIAGNOSIS = ("diagnosis", "syndrome", "disease", "disorder", "failure", "deficiency", "diagnose", "krankheit", "maladie", "enfermedad")
-TREATMENT = ("dose", "dosage", "injection", "infusion", "surgery", "transplant", "therapy", "dosis", "operation", "traitement", "cirugía")
-LAB = ("level", "concentration", "activity", "normal", "result", "index", "ratio", "wert", "taux", "nivel")
+DIAGNOSIS = ("abscess", "anemia", "fibrosis", "fracture", "infection", "inflammation", "ischemia", "neoplasm", "stenosis", "ulcer", "entzündung", "infektion", "fracture", "infección")
+TREATMENT = ("amputation", "anesthesia", "dialysis", "immunization", "radiotherapy", "rehabilitation", "resuscitation", "transfusion", "ventilation", "bestrahlung", "impfung", "rééducation", "vacunación")
+LAB = ("albumin", "bilirubin", "cholesterol", "creatinine", "ferritin", "glucose", "hemoglobin", "platelets", "serum", "urea", "glukose", "hémoglobine", "plaquetas")
 PROCEDURE = ("biopsy", "endoscopy", "tomography", "puncture", "angiography", "biopsie", "endoskopie", "biopsia")
 MEDICATION = ("drug", "tablet", "capsule", "ointment", "solution", "cream", "antibiotic", "tablette", "salbe", "pommade", "pastilla")
 NEGATION = ("not", "no", "without", "never", "nicht", "kein", "ohne", "ne", "pas", "sans", "sin")
-LOGIC = ("if", "then", "else", "when", "unless", "provided")
-DANGER = ("contraindication", "adverse", "toxicity", "overdose", "allergic", "severe", "fatal")
+LOGIC = ("although", "because", "despite", "however", "otherwise", "therefore", "whereas")
+DANGER = ("anaphylaxis", "asphyxia", "cardiac arrest", "coma", "hemorrhage", "poisoning", "sepsis", "shock", "suicide")
 ROOTS = ("cardi", "neur", "gastr", "hepat", "derm", "oste", "onco", "path", "logi", "itis", "tion", "ment")
 SUFFIXES = ("itis", "osis", "oma", "ectomy", "logy", "pathy", "tion", "ment", "heit")
 COMMON_EN = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "are")
@@ -21,7 +41,8 @@ INSTITUTION = ("university", "institute", "hospital", "department", "clinic", "u
 SPECIALTY = ("cardiology", "oncology", "surgery", "neurology", "pediatrics")
 TITLE = ("chapter", "introduction", "conclusion", "results", "methods", "table", "figure")
 STOP_EN = ("the", "a", "an", "of", "and", "or", "to", "in", "for", "with", "on", "by")
-ABBREVIATIONS = ("ECG", "MRI", "CT", "HIV", "DNA", "RNA", "BP", "ICU", "PCR")
+#: Strings that must survive as they are, case sensitive.
+ABBREVIATIONS = ("mg", "ml", "g", "kg", "mmol", "%", "IU", "mm", "cm", "h", "hr", "min", "sec")
 
 #: (term, forbidden target, reason): generic one-word targets and mappings.
 FORBIDDEN = (
@@ -34,3 +55,9 @@ FORBIDDEN = (
 STYLE = (("of the", "the"), ("in the", "within"), ("to be", "being"))
 #: (source terms, expected in target, opposite): paired meaning rules.
 PAIRS = (("left", "left", "right"), ("high", "high", "low"), ("with", "with", "without"))
+#: (part of the headword, target that must never stand for it); the last two
+#: are of the test tables.
+DANGEROUS = (("left", "right"), ("almond", "brand#11"), ("azure", "brand#22"))
+TYPOS = (("teh", "the"), ("recieve", "receive"), ("seperate", "separate"), ("occured", "occurred"), ("adress", "address"), ("definately", "definitely"), ("goverment", "government"), ("wich", "which"))
+ADJECTIVES = ("al", "ous", "ic", "ive", "ful", "ish", "ary")
+GENERIC = ("system", "method", "value", "type", "part", "brand")

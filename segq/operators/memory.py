@@ -34,7 +34,7 @@ def memory_types(d):
 def tm_scored(d):
     """Similarity of each text and each memory entry that share a token."""
     toks = lambda r: f"SELECT id, t, {d.explode(d.distinct(d.tokens('t')))} AS tok FROM {r}"
-    texts = toks("(SELECT id, t FROM distinct_texts UNION ALL SELECT id + 1000000000, substring(t, 1, 12) FROM memory_types) u")
+    texts = toks("(SELECT id, t FROM distinct_texts UNION ALL SELECT id + 1000000000, t || ' new' FROM memory_types) u")
     return f"""SELECT DISTINCT a.id, m.id AS tm_id, CAST(CASE WHEN a.t = m.t THEN 100 WHEN contains(m.t, a.t) THEN least(96, 70 + floor(26 * (length(a.t) / (length(m.t) * 1e0)))) WHEN contains(a.t, m.t) THEN 96
 ELSE floor(100 * (1 - levenshtein(a.t, m.t) / (greatest(length(a.t), length(m.t)) * 1e0))) END AS INT) AS score FROM ({texts}) a JOIN ({toks('memory_types')}) m ON a.tok = m.tok"""
 
@@ -47,12 +47,14 @@ def tm_best_fuzzy(d):
 
 @relation("tm_scored")
 def tm_top_n(d):
-    return "SELECT id, tm_id, score FROM (SELECT id, tm_id, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, tm_id) AS rn FROM tm_scored) t WHERE rn <= 3 AND score >= 50"
+    """At most three entries of 94 percent at least."""
+    return "SELECT id, tm_id, score FROM (SELECT id, tm_id, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, tm_id) AS rn FROM tm_scored WHERE score >= 94) t WHERE rn <= 3"
 
 
-@relation("tm_top_n", "memory_types")
+@relation("tm_scored", "memory_types")
 def tm_context(d):
-    return f"SELECT t.id, {d.joined("substring(m.t, 1, 300) || ' => ' || m.target", ' | ')} AS context FROM tm_top_n t JOIN memory_types m ON t.tm_id = m.id WHERE t.score >= 80 GROUP BY t.id"
+    """At most three entries of 80 percent at least, for a prompt."""
+    return f"SELECT t.id, {d.joined("substring(m.t, 1, 300) || ' => ' || m.target", ' | ')} AS context FROM (SELECT id, tm_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, tm_id) AS rn FROM tm_scored WHERE score >= 80) t JOIN memory_types m ON t.tm_id = m.id WHERE t.rn <= 3 GROUP BY t.id"
 
 
 @relation("documents")

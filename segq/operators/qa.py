@@ -11,6 +11,8 @@ def pair_features(d):
     cols = []
     for side in ("source", "target"):
         t = f"{side}_text"
+        low = f"lower({t})"
+        cols += [f"{d.n(low, unit)} AS {side}_dosages", f"{d.n(low, '[0-9] ?(mmol|mg|g|iu|u|mcg)/(l|dl|ml)')} AS {side}_labs", f"{d.all(t, '[0-9]+([.,][0-9]+)? ?%')} AS {side}_percent_list", f"{d.all(t, '[0-9]+[.][0-9]+')} AS {side}_decimal_list"]
         cols += [f"{d.distinct(d.all(t, '[0-9]+'))} AS {side}_digits", f"{d.sort(nums(t))} AS {side}_numbers", f"{d.distinct(d.all(f'lower({t})', unit))} AS {side}_units", f"{d.n(t, '[0-9]+([.,][0-9]+)? ?%')} AS {side}_percents", f"{d.n(t, '[0-9]+ ?[-–] ?[0-9]+')} AS {side}_ranges", f"{d.n(t, '[<>≤≥]')} AS {side}_inequalities", f"{d.n(t, '[0-9]+[.][0-9]+')} AS {side}_decimals", f"{d.n(t, '[(]')} + {d.n(t, '[[]'.replace('[[]', chr(92) + '['))} AS {side}_brackets", f"{d.size(d.distinct(d.all(t, '[A-Z][a-z]{2,}')))} AS {side}_names", f"{d.tokens(t)} AS {side}_tokens"]
     return f"SELECT id, project, source_text, target_text, {', '.join(cols)} FROM pairs"
 
@@ -37,7 +39,11 @@ def local_qa_alerts(d):
 @relation("pair_features")
 def numeric_qa_alerts(d):
     same = lambda kind, c: (kind, "error", f"source_{c} <> target_{c}")
+    value = lambda x: f"CAST(replace({d.sub(x, '[ %]', '')}, ',', '.') AS DOUBLE)"
+    places = lambda x: f"length(split_part({x}, '.', 2))"
     return _alert_rows(d, "pair_features", (
+        same("dosage", "dosages"), same("lab_value", "labs"), ("percent_value", "error", f"source_percents = target_percents AND {d.differ('source_percent_list', 'target_percent_list', lambda x, y: f'abs({value(x)} - {value(y)}) > 1e-1')}"),
+        ("decimal_places", "warning", f"source_decimals = target_decimals AND {d.differ('source_decimal_list', 'target_decimal_list', lambda x, y: f'{places(x)} <> {places(y)}')}"),
         ("unit_missing", "error", f"{d.size(d.minus('source_units', 'target_units'))} > 0"), ("unit_unexpected", "warning", f"{d.size(d.minus('target_units', 'source_units'))} > 0"), same("percent", "percents"), same("range", "ranges"), same("inequality", "inequalities"), ("decimal", "warning", "source_decimals <> target_decimals"),
         ("numbers_multiset", "error", f"{d.join('source_numbers', ' ')} <> {d.join('target_numbers', ' ')}"),
     ))
@@ -58,15 +64,16 @@ def medical_issues(d):
 @relation("medical_issues", "pairs")
 def issue_risk(d):
     points = "CASE severity WHEN 'critical' THEN 50 WHEN 'major' THEN 30 WHEN 'medium' THEN 15 ELSE 5 END"
-    return f"""SELECT p.id, coalesce(least(100, i.s), 0) AS risk, CASE WHEN coalesce(i.critical, 0) > 0 THEN 'red' WHEN coalesce(i.n, 0) = coalesce(i.style, 0) THEN CASE WHEN coalesce(i.n, 0) = 0 THEN 'green' ELSE 'yellow' END WHEN i.s >= 60 THEN 'red' ELSE 'yellow' END AS color
-FROM pairs p LEFT JOIN (SELECT id, sum({points}) AS s, count(*) AS n, count_if({d.starts('type', "'style'")}) AS style, count_if(severity = 'critical') AS critical FROM medical_issues GROUP BY id) i ON p.id = i.id"""
+    meaning = f"type IN ('number_mismatch', 'negation') OR {d.starts('type', "'pair_'")}"
+    return f"""SELECT p.id, least(100, coalesce(s, 0)) AS risk, CASE WHEN coalesce(n, 0) = 0 THEN 'green' WHEN forced THEN 'red' WHEN n = style THEN 'yellow' WHEN s >= 50 THEN 'red' WHEN s >= 20 THEN 'yellow' ELSE 'green' END AS color
+FROM pairs p LEFT JOIN (SELECT id, sum({points}) + CASE WHEN count_if({meaning}) > 0 THEN 30 ELSE 0 END AS s, count(*) AS n, count_if({d.starts('type', "'style'")}) AS style, count_if({meaning} OR type = 'unit_lost' OR severity = 'critical') > 0 AS forced FROM medical_issues GROUP BY id) i ON p.id = i.id"""
 
 
 @relation("pairs")
 def corrected_text(d):
     text = "target_text"
     for bad, put in L.STYLE:
-        text = f"replace({text}, '{bad}', '{put}')"
+        text = d.sub(text, f"(?i){bad}", put)
     return f"SELECT id, {text} AS corrected FROM pairs WHERE {text} <> target_text"
 
 
@@ -103,3 +110,21 @@ def context_package(d):
 @relation("pairs")
 def qa_report(d):
     return "SELECT id, substring(source_text, 1, 50) AS source_preview, substring(target_text, 1, 50) AS target_preview, CASE WHEN target_text <> '' THEN 'translated' ELSE 'new' END AS status FROM pairs WHERE target_text <> ''"
+
+
+@relation("medical_issues")
+def ui_issues(d):
+    """Issues as the user interface shows them."""
+    return "SELECT id, CASE severity WHEN 'critical' THEN 'high' WHEN 'major' THEN 'high' WHEN 'medium' THEN 'mid' ELSE 'low' END AS sev, type, 'check: ' || replace(type, '_', ' ') || ' (' || severity || ')' AS msg FROM medical_issues"
+
+
+@relation("medical_issues", "pairs")
+def term_candidates(d):
+    """Issues of terms with a fragment of the source, for the glossary."""
+    return f"SELECT i.id, i.type, substring(p.source_text, 1, 40) AS fragment FROM medical_issues i JOIN pairs p ON i.id = p.id WHERE {d.starts('i.type', "'pair_'")} OR i.type IN ('unit_lost', 'negation')"
+
+
+@relation("issue_risk", "pairs")
+def medical_write_back(d):
+    """Status and risk of a segment by the color of its issues."""
+    return "SELECT p.id, CASE r.color WHEN 'red' THEN 'review' WHEN 'yellow' THEN 'translated' ELSE 'qa' END AS status, CASE r.color WHEN 'red' THEN 'high' WHEN 'yellow' THEN 'medium' ELSE 'low' END AS risk, CASE r.color WHEN 'red' THEN 'human_review' WHEN 'yellow' THEN 'auto_revise' ELSE 'accept_or_random_audit' END AS route FROM pairs p JOIN issue_risk r ON p.id = r.id WHERE trim(p.target_text) <> ''"

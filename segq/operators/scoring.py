@@ -3,9 +3,6 @@
 from segq.functions import lexicons as L
 from segq.plans.core import relation
 
-UNIT = "(" + "|".join(L.UNITS) + "|%)"
-
-
 #: Doubled opening brackets of any kind.
 NESTED = r"\(\(|\[\[|\{\{"
 
@@ -13,7 +10,7 @@ NESTED = r"\(\(|\[\[|\{\{"
 @relation("segments", query=False)
 def features(d):
     """Counts that every score reads; tokens are extracted once."""
-    t, low = "source_text", "lower(source_text)"
+    t, low, unit = "source_text", "lower(source_text)", "(" + "|".join(L.UNITS) + "|%)"
     quoted = lambda words: ", ".join(repr(w) for w in words)
     among = lambda words: d.size(d.filter("hits", f"x IN ({quoted(words)})"))
     lists = {"polarity": L.POLARITY, "course": L.COURSE, "direction": L.DIRECTION, "diagnosis": L.DIAGNOSIS, "treatment": L.TREATMENT, "lab": L.LAB, "procedures": L.PROCEDURE, "medication": L.MEDICATION, "logic": L.LOGIC, "danger": L.DANGER, "degrees": L.DEGREES, "institution": L.INSTITUTION, "specialty": L.SPECIALTY, "titles": L.TITLE}
@@ -23,7 +20,7 @@ def features(d):
     suffix = d.size(d.filter("tok", " OR ".join(d.ends("x", f"'{s}'") for s in L.SUFFIXES)))
     counted = ", ".join(f"{among(words)} AS n_{name}" for name, words in lists.items())
     return f"""SELECT id, segment_order, block_type, project, source_text, n_words, length(trim(source_text)) AS n_chars,
-{d.n('low', f'[0-9]+([.,][0-9]+)? ?{UNIT}')} AS n_units, {d.n('source_text', '[0-9]+([.,][0-9]+)? ?[-–] ?[0-9]+')} AS n_ranges, {d.n('source_text', '[0-9]+')} AS n_numbers,
+{d.n('low', f'[0-9]+([.,][0-9]+)? ?{unit}')} AS n_units, {d.n('source_text', '[0-9]+([.,][0-9]+)? ?[-–] ?[0-9]+')} AS n_ranges, {d.n('source_text', '[0-9]+')} AS n_numbers,
 {d.size(d.filter('wrd', d.has('x', '^[A-Z]{2,6}[.,;:]?$')))} AS n_abbr, {d.size(d.filter('wrd', 'length(x) <= 4 AND ' + d.has('x', '^[A-Z]+$')))} AS n_short_caps, {d.n('source_text', '[A-Z][.] ?[A-Z][a-z]+')} AS n_initials, {d.n('source_text', '[A-Z][a-z]+')} AS n_caps,
 {roots} AS n_roots, {suffix} AS n_suffixes, {d.n('source_text', '[/–-]')} AS n_marks, {d.n('source_text', '[|→←]')} AS n_pipes, {d.n('source_text', NESTED)} AS n_nested, {d.n('source_text', '[;,]')} AS n_separators, {d.n('source_text', '[(]')} AS n_parens,
 {d.has('source_text', '[\\n\\t]')} AS has_breaks, {d.has('source_text', '^[A-Z]')} AS capital_start, {d.has('source_text', '[a-z]$')} AS letter_end, {counted}, {pre} AS n_forbidden_pre, {post} AS n_forbidden_post

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from segq.functions.lexicons import using
 from segq.plans.dialect import DUCK, SPARK
 
 #: Tables of the test data; an application binds its own under these names.
@@ -52,11 +53,13 @@ def render(name: str, dialect=SPARK) -> str:
     return f"WITH {recursive}" + ",\n".join(f"{r} AS ({RELATIONS[r][0](dialect)})" for r in inner) + f"\n{text}"
 
 
-def run(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """The relation over the tables given (by name)."""
-    for table in tables_of(name):
-        tables[table].createOrReplaceTempView(table)
-    return spark.sql(render(name))
+def run(spark: SparkSession, name: str, tables: dict[str, DataFrame], **lists) -> DataFrame:
+    """The relation over the tables given (by name), with other word lists in
+    place of the defaults (``UNITS=("mg",)``)."""
+    for need in tables_of(name):
+        tables[need].createOrReplaceTempView(need)
+    with using(**lists):
+        return spark.sql(render(name))
 
 
 #: Tables of long texts; the key that deals their rows out.

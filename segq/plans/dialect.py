@@ -30,6 +30,7 @@ class Spark:
     joined_set = staticmethod(lambda x, sep=",": f"array_join(array_sort(collect_set({x})), '{sep}')")
     item = staticmethod(lambda a, i: f"get({a}, {i} - 1)")
     chars = staticmethod(lambda s: f"length({s})")
+    json = staticmethod(lambda c, key: f"get_json_object({c}, '$.{key}')")
 
     @staticmethod
     def rx(p: str) -> str:
@@ -56,6 +57,10 @@ class Spark:
     def map(self, a: str, expr: str) -> str:
         return f"transform({a}, x -> {expr})"
 
+    def differ(self, a: str, b: str, test) -> str:
+        """Whether ``test(x, y)`` holds for a pair of items at one place."""
+        return f"coalesce(exists(zip_with({a}, {b}, (x, y) -> {test('x', 'y')}), z -> z), false)"
+
     def split(self, col: str, sep: str) -> str:
         return f"split({col}, {self.rx(re.escape(sep))})"
 
@@ -112,6 +117,7 @@ class Duck(Spark):
     joined = staticmethod(lambda x, sep=",": f"coalesce(string_agg({x}, '{sep}' ORDER BY {x}), '')")
     joined_set = staticmethod(lambda x, sep=",": f"coalesce(string_agg(DISTINCT {x}, '{sep}' ORDER BY {x}), '')")
     item = staticmethod(lambda a, i: f"({a})[{i}]")
+    json = staticmethod(lambda c, key: f"json_extract_string({c}, '$.{key}')")
 
     @staticmethod
     def rx(p: str) -> str:
@@ -130,7 +136,7 @@ class Duck(Spark):
         return f"regexp_extract_all({col}, {self.rx(p)})"
 
     def sub(self, col: str, p: str, put: str = "") -> str:
-        return f"regexp_replace({col}, {self.rx(p)}, '{put.replace('$', chr(92))}', 'g')"
+        return f"regexp_replace({col}, {self.rx(p)}, '{re.sub('[$]([0-9])', chr(92) * 2 + chr(92) + '1', put)}', 'g')"
 
     def filter(self, a: str, cond: str) -> str:
         return f"list_filter({a}, lambda x: {cond})"
@@ -138,6 +144,9 @@ class Duck(Spark):
     def map(self, a: str, expr: str) -> str:
         return f"list_transform({a}, lambda x: {expr})"
 
+    def differ(self, a: str, b: str, test) -> str:
+        return f"len(list_filter(list_zip({a}, {b}), lambda z: {test('z[1]', 'z[2]')})) > 0"
+
     def split(self, col: str, sep: str) -> str:
         return f"string_split({col}, '{sep}')"
 

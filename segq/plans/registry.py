@@ -6,7 +6,7 @@ import importlib
 
 from segq.plans.core import oracle_texts, spark_queries
 
-MODULES = ("duplicates", "memory", "terms", "scoring", "routing", "cost", "qa", "consistency", "approval", "glossary", "text_rules", "dml", "pages")
+MODULES = ("duplicates", "memory", "terms", "scoring", "routing", "cost", "qa", "consistency", "approval", "glossary", "text_rules", "dml", "pages", "filters", "report", "scalars", "etl", "mutations")
 
 
 def _load() -> None:
@@ -16,14 +16,16 @@ def _load() -> None:
 
 def queries():
     _load()
+    from segq.operators.providers import queries as providers
     from segq.sources.queries import queries as sources
     from segq.streaming.queries import queries as streams
 
-    return spark_queries() | sources() | streams()
+    return spark_queries() | providers() | sources() | streams()
 
 
 def oracle_sql():
     _load()
+    from segq.operators.providers import oracle_sql as providers
     from segq.sources.queries import oracle_sql as sources
 
-    return oracle_texts() | sources()
+    return oracle_texts() | providers() | sources()

@@ -93,7 +93,8 @@ def write_tsv(df: DataFrame, path: str, sort_by: str) -> None:
     df.orderBy(F.lower(sort_by), sort_by).write.csv(path, sep="\t", header=True, mode="overwrite")
 
 
-TU = "<tu><tuv xml:lang=\"{0}\"><seg>{1}</seg></tuv><tuv xml:lang=\"{2}\"><seg>{3}</seg></tuv></tu>"
+TMX = """<?xml version="1.0" encoding="UTF-8"?>
+<tmx version="1.4"><header creationtool="segq" creationtoolversion="1" segtype="sentence" o-tmf="segq" adminlang="en" srclang="{0}" datatype="plaintext" creationdate="{1}"/><body>"""
 
 
 def escaped(c):
@@ -102,18 +103,95 @@ def escaped(c):
     return c
 
 
-def write_tmx(df: DataFrame, path: str, source: str, target: str, source_lang: str = "ru", target_lang: str = "en") -> None:
-    """TMX 1.4 translation units as Spark's xml rows under a <tmx> root."""
-    unit = F.array(*(F.struct(F.lit(lang).alias("_lang"), F.col(c).alias("seg")) for lang, c in ((source_lang, source), (target_lang, target))))
-    df.select(unit.alias("tuv")).write.format("xml").options(rootTag="tmx", rowTag="tu").mode("overwrite").save(path)
+def write_tmx(df: DataFrame, path: str, source: str, target: str, source_lang: str = "ru", target_lang: str = "en", created: str = "20260101T000000Z") -> None:
+    """TMX 1.4: every partition becomes a whole document with header and body,
+    a unit a line; empty partitions write none."""
+    side = lambda lang, c: F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), escaped(F.coalesce(F.col(c), F.lit(""))), F.lit("</seg></tuv>"))
+    units = df.select(F.concat(F.lit("<tu>"), side(source_lang, source), side(target_lang, target), F.lit("</tu>")).alias("value"))
+
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat([pd.DataFrame({"value": [TMX.format(source_lang, created)]}), pdf]) if not begun else pdf
+                begun = True
+        if begun:
+            yield pd.DataFrame({"value": ["</body></tmx>"]})
+
+    units.mapInPandas(document, "value string").write.mode("overwrite").text(path)
 
 
 def read_tmx(spark: SparkSession, path: str) -> DataFrame:
-    schema = "tuv array<struct<_lang: string, seg: string>>"
+    schema = "tuv array<struct<`_xml:lang`: string, seg: string>>"
     rows = spark.read.format("xml").options(rowTag="tu").schema(schema).load(path)
     return rows.select(F.col("tuv")[0]["seg"].alias("source_text"), F.col("tuv")[1]["seg"].alias("target_text"))
 
 
+SHEET, MAIN = "xl/worksheets/sheet1.xml", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(data: bytes) -> Iterator[list[str]]:
+    """Cell texts of the first sheet, row by row; blanks are left out."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
+    for row in ElementTree.fromstring(z.read(SHEET)).iter(f"{MAIN}row"):
+        cells = []
+        for c in row.iter(f"{MAIN}c"):
+            v = c.findtext(f"{MAIN}v")
+            text = shared[int(v)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in c.iter(f"{MAIN}t")) or v
+            if text:
+                cells.append(text)
+        yield cells
+
+
+def read_xlsx_pairs(spark: SparkSession, path: str, longest: int = 120) -> DataFrame:
+    """(path, ru, en): the first two cells of each row, each of bounded length,
+    oriented by script."""
+
+    def parse(batches):
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                for cells in sheet_rows(bytes(content)):
+                    if len(cells) >= 2 and max(map(len, cells[:2])) <= longest:
+                        a, b = (x.strip() for x in cells[:2])
+                        swap = len(re.findall("[\u0400-\u04ff]", b)) > len(re.findall("[\u0400-\u04ff]", a))
+                        rows.append((p, b, a) if swap else (p, a, b))
+            yield pd.DataFrame(rows, columns=["path", "ru", "en"]).astype(str)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, ru string, en string")
+
+
+def first_path(spark: SparkSession, *paths: str) -> str:
+    """The first path that Spark can list; else an error that names all."""
+    for path in paths:
+        if _exists(spark, path):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").load(path).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+REPORT = ("id", "project", "status", "route", "risk", "source_preview", "target_preview", "qa_status", "score")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """The nine-column report as csv: rows with a text, previews of 50."""
+    rows = df.filter(F.col("status").isin("translated", "confirmed"))
+    rows = rows.withColumn("source_preview", F.substring("source_text", 1, 50)).withColumn("target_preview", F.substring("target_text", 1, 50))
+    rows.select(*REPORT).write.mode("overwrite").csv(path, header=True)
+
+
 STATE = "projects array<struct<id: long, title: string, src: string, tgt: string, segments: array<struct<id: long, source: string, target: string, status: string, risk: string>>>>, glossary array<struct<src: string, tgt: string, cat: string>>, tm array<struct<src: string, tgt: string, quality: string, verified: boolean>>"
 
 
