@@ -288,7 +288,8 @@ def lattice_lm(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     sizes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(24, 2 * partitions(spark), 2 * math.isqrt(sizes >> 20))
     chunks = written(rows.select("doc_id", "text", kind.alias("kind")).mapInPandas(_chunks(n_buckets, n_classes), CHUNKS), "chunks")
-    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "first", "words", "counts")
+    # Dealt out by number: their bytes are few, their work is not.
+    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "first", "words", "counts").repartition(n_buckets, "bucket")
 
     def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
         names, total, _ = _merged(pdf, n_classes)
@@ -321,7 +322,7 @@ def lattice_lm(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             return pd.DataFrame({"group": pdf["group"].iloc[:1], "uses": [_pack(sum(_unpack(blob, "<f8") for blob in pdf.sort_values("uses")["uses"]))]})
 
         # Vectors of the vocabulary's size are added in two steps.
-        part = merged.filter("n > 0").groupBy("bucket").applyInPandas(expected, "group int, uses binary").groupBy("group").applyInPandas(summed, "group int, uses binary")
+        part = merged.filter("n > 0").repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(expected, "group int, uses binary").groupBy("group").applyInPandas(summed, "group int, uses binary")
         uses = sum(_unpack(bytes(blob), "<f8") for blob in part.toPandas().sort_values("group")["uses"])
         free(shared)
         pieces, now = pieces.refit(uses[:-1], float(n_train)), float(uses[-1])
