@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segq.llm import counting
-from segq.llm.common import drop, release, text_of, tune, written
+from segq.llm.common import drop, free, release, slim, text_of, tune, written
 from segq.llm.hashing import mix, sliding_min
 
 SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, NO_ID = 50, 16, 12 << 20, 2 << 20, -(1 << 63)
@@ -205,6 +205,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     held, size = [], 0
         if size:
             yield flush()
+        slim()
 
     packed = written(texts.select("text").mapInPandas(counted_blocks, "bucket long, blob binary"), "anchors")
     counted = spark.sparkContext.broadcast(counting.count(packed, bits, 1, 1 << 30))
@@ -253,7 +254,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     chunk += 1
         if held:
             yield pd.DataFrame(flush())
-
+        held.clear()
+        slim()
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Removed windows of one bucket: (row, first window, windows)."""
@@ -312,6 +314,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     gone = texts.select("row", "doc", "text").mapInPandas(shards, SHARD).groupBy("bucket").applyInPandas(settle, "target long, row binary, first binary, n binary")
     gone = written(gone, "removals")
+    free(counted)
     release(spark)
 
     def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
