@@ -30,6 +30,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import os
@@ -190,14 +191,13 @@ class Encoder:
     white space follows: the byte-level pre-tokenizer always cuts there too,
     and merges never cross its cuts, so the ids of the pieces in a row are the
     ids of the text.  New pieces are cut once more (``parts_of``).  Pieces are
-    kept as packed ids for one task, and emptied at ``most`` bytes.  A text
+    kept as packed ids and emptied at ``most`` bytes, about a million.  A text
     that holds a special string, and every text of a vocabulary with another
     pre-tokenizer or a normalizer, is encoded whole."""
 
-    def __init__(self, path: str, special_as_text: bool = False, most: int = 32 << 20):
+    def __init__(self, path: str, special_as_text: bool = False, most: int = 192 << 20):
         self.tok, self.most, self.known, self.held = load_tokenizer(path, special_as_text), most, {}, 0
-        special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         size = self.tok.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -265,30 +265,37 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return self._ids(texts)
-        if self.special and any(map(self.special.search, texts)):
-            whole = [self.special.search(t) is not None for t in texts]
+        whole = [any(x in t for x in self.special) for t in texts]
+        if any(whole):
             special = iter(self._ids([t for t, w in zip(texts, whole) if w]))
             plain = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
             return [next(special if w else plain) for w in whole]
         if not texts:
             return []
         if self.held > self.most:
-            self.known.clear()
-            self.held = 0
+            self.known, self.held = {}, 0
         parts = [self.pieces(t) for t in texts]
         firsts = self._ids([part.pop(0) for part in parts])
-        new = list(set().union(*parts).difference(self.known))
-        self._learn(new)
+        new = set().union(*parts).difference(self.known)
+        self._learn(list(new))
         self.held += 200 * len(new) + 2 * sum(map(len, new))  # bytes, as measured for a piece and its parts
         packed = self.known.__getitem__
         return [np.frombuffer(first.tobytes() + b"".join(map(packed, part)), self.kind) for first, part in zip(firsts, parts)]
 
 
+@functools.lru_cache(maxsize=1)
+def kept_encoder(path: str, special_as_text: bool) -> Encoder:
+    """The encoder that a worker keeps from task to task."""
+    return Encoder(path, special_as_text)
+
+
 MANIFEST = "file string, shard long, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
-    """Write token files in ascending id order; returns the manifest table."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_as_text: bool = False, keep: bool = True) -> DataFrame:
+    """Write token files in ascending id order; returns the manifest table.
+    With ``keep`` a worker's encoder, at most 192 MB of pieces, serves the tasks
+    that follow too; without it, its memory is free after each task."""
     tune(docs.sparkSession)
     uri = uri_of(folder)
 
@@ -301,7 +308,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             if pdf.empty:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer, special_as_text)
+                encoder = (kept_encoder if keep else Encoder)(tokenizer, special_as_text)
                 store, path = file_system(uri)
                 store.create_dir(path, recursive=True)
                 name = f"shard-{shard:08d}-{uuid.uuid4().hex}.tok"
