@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and what they hold per document."""
-    return token_files.token_files(docs, registry.tokenizer_path())
+    return token_files.token_files(docs, registry.tokenizer_path(), keep=False)
 
 
 STAGES = [
