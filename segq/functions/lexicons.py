@@ -57,7 +57,7 @@ STYLE = (("of the", "the"), ("in the", "within"), ("to be", "being"))
 PAIRS = (("left", "left", "right"), ("high", "high", "low"), ("with", "with", "without"))
 #: (part of the headword, target that must never stand for it); the last two
 #: are of the test tables.
-DANGEROUS = (("left", "right"), ("almond", "brand#11"), ("azure", "brand#22"))
+DANGEROUS = (("left", "right"), ("plate", "brand#8"), ("ring", "brand#19"))
 TYPOS = (("teh", "the"), ("recieve", "receive"), ("seperate", "separate"), ("occured", "occurred"), ("adress", "address"), ("definately", "definitely"), ("goverment", "government"), ("wich", "which"))
 ADJECTIVES = ("al", "ous", "ic", "ive", "ful", "ish", "ary")
 GENERIC = ("system", "method", "value", "type", "part", "brand")

@@ -58,7 +58,7 @@ def glossary_for_project(d):
 
 @relation("short_segments")
 def editor_filter(d):
-    return "SELECT id FROM short_segments WHERE id IN (SELECT id FROM short_segments WHERE price > 1000) AND status = 'confirmed' AND risk_level IN ('LOW', 'MEDIUM') AND (contains(lower(source_text), 'a') OR contains(lower(target_text), 'brand'))"
+    return "SELECT id FROM short_segments WHERE id IN (SELECT id FROM short_segments WHERE price > 950) AND status = 'confirmed' AND risk_level IN ('LOW', 'MEDIUM') AND (contains(lower(source_text), 'a') OR contains(lower(target_text), 'brand'))"
 
 
 @relation("short_segments")
