@@ -16,16 +16,18 @@ def _load() -> None:
 
 def queries():
     _load()
+    from segq.operators.calls import queries as calls
     from segq.operators.providers import queries as providers
     from segq.sources.queries import queries as sources
     from segq.streaming.queries import queries as streams
 
-    return spark_queries() | providers() | sources() | streams()
+    return spark_queries() | providers() | calls() | sources() | streams()
 
 
 def oracle_sql():
     _load()
+    from segq.operators.calls import oracle_sql as calls
     from segq.operators.providers import oracle_sql as providers
     from segq.sources.queries import oracle_sql as sources
 
-    return oracle_texts() | providers() | sources()
+    return oracle_texts() | providers() | calls() | sources()

@@ -1,9 +1,11 @@
 """Rules against expected rows written by hand."""
 
+import json
+
 import pytest
 from test_whole import PART, bound, documents
 
-from segq.operators import providers
+from segq.operators import calls, providers
 from segq.plans.core import run
 
 TURNS = "conv_id long, turn int, role string, text string"
@@ -114,3 +116,21 @@ def test_providers_protect_terms_and_fall_back(spark):
     rows = spark.createDataFrame([(1, "keep Foo here"), (2, "abc"), (3, None), (4, "  ")], "id long, source_text string")
     got = {r.id: (r.target, r.provider) for r in providers.translate(rows, providers.stub, fallback=lambda x: [f"<{t}>" for t in x], protect={"Foo": "Bar"}).collect()}
     assert got == {1: ("KEEP Bar HERE", "main"), 2: ("<abc>", "fallback"), 3: ("", "none"), 4: ("", "none")}
+
+
+def test_model_answers_fall_back_and_forbidden_words_fail(spark):
+    bad = "of the"
+    rows = spark.createDataFrame([(1, "a", "fine"), (2, "b", f"One {bad.upper()} other"), (3, None, None), (4, "c", "odd"), (5, "d", "high")], "id long, source_text string, target_text string")
+
+    def model(asked):
+        return ["[1" if "Source: c" in q else json.dumps({"overall_score": 130 if "Source: d" in q else 30 if bad.upper() in q else 90, "verdict": "pass"}) if "Source: " in q and "Source:  " not in q else None for q in asked]
+
+    got = {r.id: (r.score, r.verdict, r.forbidden_hits) for r in calls.qa_report(rows, model, (("x", bad, "r"), ("y", "other", "r"))).collect()}
+    assert got == {1: (90, "pass", 0), 2: (0, "failed", 2), 3: (50, "warning", 0), 4: (50, "warning", 0), 5: (50, "warning", 0)}
+    assert [tuple(r)[1:] for r in calls.back_check(rows.filter("id = 4"), model).collect()] == [("", 50, "warning")]
+
+
+def test_terms_come_from_batches_of_eight(spark):
+    rows = spark.createDataFrame([(7, t, f"s{t}", f"t{t}") for t in range(17)], "project long, turn int, source_text string, target_text string")
+    model = lambda asked: [json.dumps({"terms": [{"source_term": str(q.count(" = ")), "target_term": "t", "confidence": 1}]}) for q in asked]
+    assert {(r.source_term, r.n) for r in calls.batched_terms(rows, model).collect()} == {("8", 2), ("1", 1)}
