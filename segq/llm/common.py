@@ -103,6 +103,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, top: int = 1024) -> DataFrame:
+    """Left join of rows to ``groups``, one row a key with its number of rows.
+    Keys of over 1 / ``top`` of all rows, fewer than ``top``, are broadcast and
+    their rows never shuffled; no key of the others is above that share."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(count) * top > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups, key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def text_of(col: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))
