@@ -24,6 +24,7 @@ empty table gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -178,6 +179,12 @@ class Aligned:
             yield rows[:, 1:].sum(0).tolist(), sha, pairs, times
 
 
+@functools.lru_cache(maxsize=1)
+def kept_aligned(path_a: str, path_b: str) -> Aligned:
+    """The pieces that a worker keeps from task to task, ``KEPT`` bytes at most."""
+    return Aligned(path_a, path_b)
+
+
 def digest_of(col: str):
     return F.unhex(F.sha2(F.col(col), 256))
 
@@ -189,9 +196,8 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "te
     texts = docs.select(F.col(text_col).alias("text")).filter("text <> ''").groupBy("text").agg(F.count("*").alias("n_docs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = None
         for batch in batches:
-            both = both or Aligned(path_a, path_b)
+            both = kept_aligned(path_a, path_b)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = list(both.measure(part.column("text").to_pylist()))
@@ -199,7 +205,6 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "te
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]).astype(kind))) for k, kind in ((2, np.int64), (3, np.int32))]
                 counts = [pa.array([x[0][k] for x in found], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("n_docs"), *counts, pa.array([x[1] for x in found], pa.string()), *lists], ["digest", "n_docs", *COUNTS, "groups_sha256", "pairs", "times"])
-        both = None
         slim()
 
     return written(texts.withColumn("digest", digest_of("text")).mapInArrow(align, MEASURES), "aligned")

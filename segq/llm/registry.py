@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segq.llm import alignment, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, suffix_dedup, token_files, toxicity
+from segq.llm import alignment, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, suffix_dedup, token_files, toxicity, warc
 from segq.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark, sf_dir):
+    return warc.facts(warc.archived(table(spark, sf_dir, "pages")))
+
+
 def op12_align(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
