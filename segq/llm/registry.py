@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segq.llm import alignment, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, suffix_dedup, token_files, toxicity, warc
+from segq.llm import alignment, conversation_trie, decontaminate, exact_dedup, html_text, lattice_lm, line_dedup, mixing, ngram_join, suffix_dedup, token_files, toxicity, warc
 from segq.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op12_align(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_conversation_trie(spark, sf_dir):
+    convs = conversation_trie.paths_of(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie_digest(conversation_trie.prefix_trie(conversation_trie.rebuilt(convs)))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
