@@ -44,7 +44,7 @@ VERSION, REVISIT = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identica
 #: Records have no time of their own in a table of pages; a parameter.
 DATE = "2000-01-01T00:00:00Z"
 #: Level of the members; payload bytes after which a task opens the next file.
-LEVEL, FILE_BYTES = 3, 1 << 30
+LEVEL, FILE_BYTES = 1, 1 << 30
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 MANIFEST = "file string, n_records long"
 RECORD = "record_id string, type string, concurrent array<string>, uri string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -63,9 +63,13 @@ def record(kind: str, rid: str, headers: list[tuple[str, str | None]], block: by
     """One record as a gzip member."""
     lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", f"WARC-Date: {date}"]
     lines += [f"{k}: {v}" for k, v in headers if v is not None]
-    lines += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Length: {len(block)}", "", ""]
-    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + pack.flush()
+    if kind == "response":
+        lines.append(f"WARC-Block-Digest: sha1:{base32_sha1(block)}")
+    lines += [f"Content-Length: {len(block)}", "", ""]
+    data = "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    # A small record takes a small window, which is quick to set up.
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31) if len(data) > 4096 else zlib.compressobj(LEVEL, zlib.DEFLATED, 16 + 12, 4)
+    return pack.compress(data) + pack.flush()
 
 
 def header_text(value: str | None) -> str | None:
@@ -133,8 +137,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE, **columns) -
                 out = None
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in batch.to_pylist():
                 if out is None:
                     store.create_dir(path, recursive=True)
                     name, size, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 1
@@ -155,17 +158,19 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE, **columns) -
 
 def members(src, size: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
-    rest = b""
+    held, at = b"", 0
     while True:
         unpack, parts = zlib.decompressobj(31), []
         while not unpack.eof:
-            rest = rest or src.read(size)
-            if not rest:
+            if at == len(held):
+                held, at = src.read(size), 0
+            if not held:
                 if parts:
                     raise ValueError("archive ends inside a record")
                 return
-            parts.append(unpack.decompress(rest))
-            rest = unpack.unused_data
+            piece = held[at : at + 4096]  # what is unused of it is copied
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
         yield b"".join(parts)
 
 
