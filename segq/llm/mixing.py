@@ -20,14 +20,17 @@ size), which is broadcast while it has at most ``BROADCAST_ROWS`` rows
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 words; an empty table gives no
 rows.  Rows that repeat an id (or have none) are documents of their own; rows
-that repeat id and text have one hash and share their fate, and are left out
-where they would pass the budget together.  Fractions of a word cannot be
-taken, so a source's words end at or just below its target.
+that repeat id and text have one hash, and where the count ends among them, as
+many of them as it asks for are taken once more: they are numbered part by
+part, so a hot row's copies never meet in one task.  Fractions of a word cannot
+be taken, so a source's words end at or just below its target.  A text of any
+length is counted whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -121,9 +124,10 @@ def hash_of(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def plan(rows: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """(key, size, source_size, target, whole, upto) for rows (key, size, h):
-    every document is taken ``whole`` times, and once more if its hash is at
-    most ``upto`` (null: never)."""
+    """(key, size, source_size, target, whole, upto, cut, some) for rows (key,
+    size, h): every document is taken ``whole`` times, and once more if its hash
+    is at most ``upto`` (null: never) or if it is one of the first ``some`` rows
+    with the hash ``cut``."""
     spark = rows.sparkSession
     ranked = [(r["key"], r["n"]) for r in rows.groupBy("key").agg(F.sum("size").alias("n")).toLocalIterator()]
     ranked.sort(key=lambda x: (x[0] == "n", x[0]))
@@ -147,13 +151,15 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> D
     slots = rows.join(hint(cut.select("key", "size")), ["key", "size"], "left_semi").groupBy("key", "size", slot).agg(F.count("*").alias("m"))
     slots = slots.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(cut, ["key", "size"])
     slots = slots.filter("before < add and add <= before + m").select("key", "size", "slot", (F.col("add") - F.col("before")).alias("need"))
-    inside = rows.select("key", "size", "h", slot).join(hint(slots), ["key", "size", "slot"])
-    upto_here = F.count("*").over(Window.partitionBy("key", "size", "slot").orderBy("h"))  # rows of one hash count together
+    inside = rows.select("key", "size", "h", slot).join(hint(slots), ["key", "size", "slot"]).groupBy("key", "size", "slot", "need", "h").agg(F.count("*").alias("m"))
+    upto_here = F.sum("m").over(Window.partitionBy("key", "size", "slot").orderBy("h"))  # one row a hash
     below = F.when(F.col("slot") > -(1 << (SLOT_BITS - 1)), F.shiftleft(F.col("slot").cast("bigint"), 64 - SLOT_BITS) - 1)
-    ends = inside.withColumn("upto_here", upto_here).groupBy("key", "size", "slot").agg(F.max(F.when(F.col("upto_here") <= F.col("need"), F.col("h"))).alias("last"))
-    ends = ends.select("key", "size", F.coalesce("last", below).alias("end"))
+    fits = F.col("upto_here") <= F.col("need")
+    ends = inside.withColumn("upto_here", upto_here).groupBy("key", "size", "slot", "need").agg(F.max(F.when(fits, F.col("h"))).alias("last"), F.min(F.when(~fits, F.col("h"))).alias("next"), F.max(F.when(fits, F.col("upto_here"))).alias("got"))
+    some = F.col("need") - F.coalesce("got", F.lit(0))
+    ends = ends.select("key", "size", F.coalesce("last", below).alias("end"), F.when(some > 0, F.col("next")).alias("cut"), some.alias("some"))
     upto = F.when(F.col("add") >= F.col("n"), F.lit((1 << 63) - 1)).when(F.col("add") > 0, F.col("end"))
-    out = written(lots.join(ends, ["key", "size"], "left").select("key", "size", "source_size", "target", "whole", upto.alias("upto")), "lots")
+    out = written(lots.join(ends, ["key", "size"], "left").select("key", "size", "source_size", "target", "whole", upto.alias("upto"), "cut", "some"), "lots")
     drop(lots)
     return out
 
@@ -163,16 +169,45 @@ def few(lots: DataFrame) -> bool:
     return lots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with the number of each in its group, from 1.  Rows are numbered
+    within their part of a table and parts are put in a row, so no group is
+    held in one task."""
+    at, part, before = (fresh(x, rows) for x in ("at", "part", "before"))
+    kept = written(rows.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "numbered")
+    sizes = kept.groupBy(*by, part).agg(F.count("*").alias(before))
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = kept.withColumn(at, F.row_number().over(Window.partitionBy(*by, part).orderBy(at)))
+    return own.join(sizes, [*by, part]).withColumn(name, F.col(at) + F.col(before)).drop(at, part, before)
+
+
+def split_cut(joined: DataFrame, of: Callable[[str], Column], name: str) -> DataFrame:
+    """``joined`` with the copies each row is taken, under ``name``; ``of``
+    gives a column of the row's lot."""
+    taken = lambda more: of("whole") + F.coalesce(more.cast("bigint"), F.lit(0))
+    at_cut = F.coalesce(of("h") == of("cut"), F.lit(False))
+    whole = joined.filter(~at_cut).withColumn(name, taken(of("h") <= of("upto")))
+    keys = {fresh(f"cut_{k}", joined): of(k) for k in ("key", "size")}
+    place = fresh("cut_place", joined)
+    cut = numbered(joined.filter(at_cut).select("*", *(c.alias(k) for k, c in keys.items())), list(keys), place)
+    return whole.unionByName(cut.withColumn(name, taken(F.col(place) <= of("some"))).drop(place, *keys))
+
+
+def cuts(lots: DataFrame) -> bool:
+    """Whether a count ends among rows of one hash anywhere."""
+    return lots.filter("cut is not null").limit(1).count() > 0
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken,
     copies."""
     tune(docs.sparkSession)
     columns = F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key_of(F.col(source_col)).alias("key"), size_of(text_col).alias("size"), hash_of(id_col, text_col, seed).alias("h")
     rows = written(docs.select(*columns), "sizes")
-    copies = F.col("whole") + F.coalesce((F.col("h") <= F.col("upto")).cast("bigint"), F.lit(0))
     lots = plan(rows, weights, repeats)
     joined = rows.join(F.broadcast(lots) if few(lots) else lots, ["key", "size"])
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    out = split_cut(joined, F.col, "copies") if cuts(lots) else joined.withColumn("copies", F.col("whole") + F.coalesce((F.col("h") <= F.col("upto")).cast("bigint"), F.lit(0)))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
@@ -185,5 +220,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     a, b, c = (fresh(name, docs) for name in ("mix_row", "mix_lot", "mix_copy"))
     side = lots.select(F.struct(*lots.columns).alias(b))
     joined = docs.withColumn(a, mine).join(F.broadcast(side) if few(lots) else side, (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.size") == F.col(f"{b}.size")))
-    copies = F.col(f"{b}.whole") + F.coalesce((F.col(f"{a}.h") <= F.col(f"{b}.upto")).cast("bigint"), F.lit(0))
-    return joined.withColumn(c, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(a, b, c)
+    of = lambda k: F.col(f"{a}.h" if k == "h" else f"{b}.{k}")
+    if cuts(lots):
+        out = split_cut(joined, of, c)
+    else:
+        out = joined.withColumn(c, of("whole") + F.coalesce((of("h") <= of("upto")).cast("bigint"), F.lit(0)))
+    return out.withColumn(c, F.explode(F.array_repeat(F.lit(1), F.col(c).cast("int")))).drop(a, b, c)

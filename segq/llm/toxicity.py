@@ -6,8 +6,8 @@ score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>): the factors learn pairs,
 such as an insult with a group mention, that additive weights miss.
 
 Learning takes labelled rows only, at most ``MAX_ROWS`` of them in order of a
-hash of the id (a documented bound: 24,000 rows, small enough to broadcast
-their ids and labels).  Their terms are hashed and counted on the executors.
+hash of the id, after the join of labels and documents (a documented bound:
+24,000 rows, small enough to broadcast their ids and labels).  Their terms are hashed and counted on the executors.
 Places that occur in fewer than ``MIN_DF`` of these rows are left out, and of
 the others the ``PLACES`` most informative (chi-square) stay; only those reach
 the driver, which fits the model.
@@ -17,7 +17,9 @@ Scoring is one pandas UDF over whole texts with the model broadcast (under
 Defined results: null and empty texts have no terms and get the bias; a row
 without an id or a label is scored but not learnt from; repeated labels of an
 id all count; no labels at all gives the score 0 everywhere.  The score never
-looks at labels, lang, source or ids.
+looks at labels, lang, source or ids.  Repeated rows of one id and text are one
+row to learn from; an id with several texts is several, by id, label and the
+text's hash.  A text of any length is its distinct terms.
 """
 
 import re
@@ -119,13 +121,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     tune(spark)
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    marks = marks.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "_y").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    order = F.xxhash64(F.lit(SEED), "_id"), "_id", "_y"
+    marks = marks.distinct().orderBy(*order).limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    # The bound holds for rows learnt from, so it is drawn after the join: an id may have many texts.
+    picks = written(texts.join(F.broadcast(marks), "_id").select("_id", "_y", "_h").distinct().orderBy(*order, "_h").limit(max_rows), "toxicity-picks")
 
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([places(t).astype("<i4").tobytes() for t in texts])
 
-    sample = written(texts.join(F.broadcast(marks), "_id").select("_id", "_y", F.pandas_udf(hashed, "binary")("_text").alias("p")), "toxicity-sample")
+    rows = texts.join(F.broadcast(picks), ["_id", "_h"]).select("_id", "_y", "_h", F.pandas_udf(hashed, "binary")("_text").alias("p"))
+    sample = written(rows.groupBy("_id", "_y", "_h").agg(F.first("p").alias("p")), "toxicity-sample")  # repeated rows are one
+    drop(picks)
 
     def counted(batches):
         total, n, pos = None, 0, 0
