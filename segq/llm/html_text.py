@@ -6,7 +6,11 @@ article), footer, aside, forms and elements whose class, id or role names an
 advert, a notice, a menu, a share bar or a comment section are excluded
 containers.  Inside an article or main element fewer names exclude, and an id
 only as a whole, as headings and sections carry ids of their own.  An article
-or main element bounds the text.
+or main element bounds the text.  Tokens of a class that tell an element's
+state, topic or layout (``has-sidebar``, ``category-legal``) name nothing.
+Where names exclude the only article element, or leave no block of more than
+some words, the page is read again with names as whole tokens only, then with
+those of comments, adverts and cookie notices only; tags exclude always.
 
 Pass one judges each block alone: link density, length and stop-word density
 make it good, bad, or, if short or a heading, undecided.  On a page that holds
@@ -48,13 +52,23 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 EXCLUDE = frozenset("nav footer aside form menu dialog".split())
-BAD_NAME = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|masthead|header|comments?|comment-?list|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|search|pagination|pager|toolbar|widget\w*|copyright|legal|disclaimer)(?![a-z])"
+#: Names of what is left out; fixed values.  A class or role matches by any of
+#: its tokens, as a whole or at a hyphen or underscore.
+OUTER = (
+    r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|masthead|header|comments?|comment-?list|disqus|replies|reply|respond|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|search|pagination|pager|toolbar|widget\w*|copyright|legal|disclaimer"
 )
+BAD_NAME = re.compile(rf"(?<![a-z])({OUTER})(?![a-z])")
 #: Names that exclude inside an article.
-INNER_NAME = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|comments?|comment-?list|disqus\w*|respond|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|pagination|pager|toolbar|widget\w*)(?![a-z])"
-)
+INNER = r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|sidebars?|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|comments?|comment-?list|disqus\w*|respond|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|pagination|pager|toolbar|widget\w*"
+INNER_NAME = re.compile(rf"(?<![a-z])({INNER})(?![a-z])")
+#: Tokens that say something about an element and do not name it: its state,
+#: its topic, its kind, or that it is laid out around such a part.
+MODIFIER = re.compile(r"(has|no|non|not|with|without|category|cat|tag|topic|type|format|is|post|hentry|status|author|section-type|theme|skin|js|u|l)[-_].*|.*[-_]{1,2}(with|without|has|no|above|below|left|right|top|bottom)[-_].*|.*[-_](layout|grid|theme|page|enabled|disabled|visible|hidden|open|closed|less|free)")
+#: Names that always exclude, also where stricter readings of names give a page
+#: no text: reader comments, adverts and notices of cookies.
+ALWAYS = re.compile(r"comments?|comment[-_]?list|disqus\w*|respond|ads?|advert\w*|adsense|cookies?|cookie[-_].*|consent|gdpr")
+#: Readings of names, strictest first.
+ANY_PART, WHOLE, SURE = 0, 1, 2
 #: Possessive parts: a tag is tried once, up to the next "<" outside quotes.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""", re.S)
 NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -75,27 +89,29 @@ class Block:
 
 
 class Open:
-    """Open elements: (name, excludes, bounds), with the places of each name
-    and of blocks, so that no end tag searches the stack."""
+    """Open elements: (name, excludes, bounds, excludes by its tag), with the
+    places of each name and of blocks, so that no end tag searches the stack."""
 
     def __init__(self):
-        self.items, self.places, self.blocks, self.out, self.inside = [], {}, [], 0, 0
+        self.items, self.places, self.blocks, self.out, self.inside, self.tags = [], {}, [], 0, 0, 0
 
-    def push(self, name: str, bad: bool, main: bool) -> None:
+    def push(self, name: str, bad: bool, main: bool, tag: bool) -> None:
         self.places.setdefault(name, []).append(len(self.items))
         if name in BLOCK:
             self.blocks.append(len(self.items))
-        self.items.append((name, bad, main))
+        self.items.append((name, bad, main, tag))
         self.out += bad
+        self.tags += tag
         self.inside += main
 
     def pop(self) -> None:
-        name, bad, main = self.items.pop()
+        name, bad, main, tag = self.items.pop()
         self.places[name].pop()
         if name in BLOCK:
             self.blocks.pop()
         self.out -= bad
         self.inside -= main
+        self.tags -= tag
 
     def close(self, name: str) -> None:
         """Close the innermost element of the name and what is inside it."""
@@ -113,23 +129,30 @@ class Open:
         return self.items[-1][0] if self.items else ""
 
 
-def excludes(name: str, rest: str, inside: bool) -> bool:
+def excludes(name: str, rest: str, inside: bool, reading: int = ANY_PART) -> bool:
     """Whether the element's class, id or role names something left out."""
     for kind, value in NAMES.findall(rest):
-        value = value.strip("\"'").lower()
-        if not inside:
-            if BAD_NAME.search(value):
+        tokens = value.strip("\"'").lower().split()
+        whole = reading == WHOLE or (inside and kind.lower() == "id")
+        for token in tokens:
+            if reading == SURE:
+                found = ALWAYS.fullmatch(token)
+            elif MODIFIER.fullmatch(token):
+                found = None
+            else:
+                names = INNER_NAME if inside else BAD_NAME
+                found = names.fullmatch(token) if whole else names.search(token)
+            if found:
                 return True
-        elif any(INNER_NAME.fullmatch(v) for v in value.split()) if kind.lower() == "id" else INNER_NAME.search(value):
-            return True
     return False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool]:
+def blocks_of(page: str, reading: int = ANY_PART) -> tuple[list[tuple[str, float, str, bool, bool]], bool, bool]:
     """(text, link density, tag, inside the article, excluded) of each block,
-    and whether the page has an article or main element."""
+    whether the page has an article or main element, and whether it has one
+    only inside an element that a name excludes."""
     found: list[Block] = []
-    stack, endless, links, has_main = Open(), set(), 0, False
+    stack, endless, links, has_main, lost = Open(), set(), 0, False, False
     now, held = Block("", False, False), None  # held: a block that an excluded inline element interrupts
     at, size = 0, len(page)
     while at < size:
@@ -169,8 +192,10 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack.top() == name:  # their end tags may be left out
                 stack.pop()
             main = name in ("article", "main") and not stack.out
-            bad = name in EXCLUDE or (name == "header" and not stack.inside) or (not main and name not in ("body", "html") and excludes(name, rest, stack.inside > 0))
-            stack.push(name, bad, main)
+            lost |= name in ("article", "main") and stack.out > 0 and not stack.tags
+            tag = name in EXCLUDE or (name == "header" and not stack.inside)
+            bad = tag or (not main and name not in ("body", "html") and excludes(name, rest, stack.inside > 0, reading))
+            stack.push(name, bad, main, tag)
             has_main |= main
         out, inside = stack.out > 0, stack.inside > 0
         if block:
@@ -192,7 +217,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, str, bool, bool]], bool
         text = b.text()
         if text:
             rows.append((text, min(1.0, b.linked / len(text)), b.tag, b.inside, b.out))
-    return rows, has_main
+    return rows, has_main, lost and not has_main
 
 
 def stop_words(text: str) -> tuple[int, int]:
@@ -255,9 +280,23 @@ def labels(rows: list[tuple[str, float, str, bool, bool]], has_main: bool) -> li
     return keep
 
 
+def good(rows: list[tuple[str, float, str, bool, bool]], keep: list[bool]) -> bool:
+    """Whether a block that was kept is more than a short one."""
+    return any(k and len(r[0]) >= SHORT for r, k in zip(rows, keep))
+
+
 def main_text(page: str | None) -> str:
-    rows, has_main = blocks_of(page or "")
-    return "\n".join(r[0] for r, k in zip(rows, labels(rows, has_main)) if k)
+    first = None
+    for reading in (ANY_PART, WHOLE, SURE):
+        rows, has_main, lost = blocks_of(page or "", reading)
+        keep = labels(rows, has_main)
+        text = "\n".join(r[0] for r, k in zip(rows, keep) if k)
+        if not lost and (good(rows, keep) or not any(r[4] for r in rows)):
+            return text
+        first = text if first is None else first
+        if not lost and text and not any(len(r[0]) >= SHORT for r in rows if r[4]):
+            break  # what is excluded holds no article either
+    return first if not good(rows, keep) else text
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
