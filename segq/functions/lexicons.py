@@ -4,21 +4,25 @@ and ``segq.plans.core.run`` takes them by name.  The lists of diseases,
 treatments, courses, laboratory words and dangers are ours, after headings of
 the public MeSH thesaurus (trees C, E and D)."""
 
+import threading
 from contextlib import contextmanager
 
+RENDERING = threading.RLock()
+
 
 @contextmanager
 def using(**lists):
-    """Other lists for the time of one rendering."""
+    """Other lists for the time of one rendering; one thread at a time."""
     unknown = set(lists) - {k for k in globals() if k.isupper()}
     if unknown:
         raise KeyError(f"no such lists: {sorted(unknown)}")
-    before = {k: globals()[k] for k in lists}
-    globals().update(lists)
-    try:
-        yield
-    finally:
-        globals().update(before)
+    with RENDERING:
+        before = {k: globals()[k] for k in lists}
+        globals().update(lists)
+        try:
+            yield
+        finally:
+            globals().update(before)
 
 
 UNITS = ("mg", "ml", "mcg", "kg", "mmol", "iu", "units")

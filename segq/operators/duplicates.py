@@ -1,5 +1,6 @@
 """Duplicate analysis: exact groups, fuzzy pairs, ids, representatives."""
 
+from segq.operators.similarity_join import edit_pairs
 from segq.plans.core import relation
 
 
@@ -49,13 +50,9 @@ def distinct_texts(d):
 
 @relation("distinct_texts")
 def dup_fuzzy_pairs(d):
-    """Pairs of distinct texts that share a token (the block) and whose
-    Levenshtein ratio is at least 0.6; a shared token replaces all pairs."""
-    toks = f"SELECT id, t, {d.explode(d.distinct(d.tokens('t')))} AS tok FROM distinct_texts"
-    ratio = "1 - levenshtein(a_t, b_t) / (greatest(length(a_t), length(b_t)) * 1e0)"
-    return f"""SELECT a_id, b_id, round({ratio}, 3) AS similarity FROM (
-SELECT DISTINCT a.id AS a_id, b.id AS b_id, a.t AS a_t, b.t AS b_t FROM ({toks}) a JOIN ({toks}) b ON a.tok = b.tok AND a.id < b.id
-WHERE least(length(a.t), length(b.t)) >= 0.6e0 * greatest(length(a.t), length(b.t))) p WHERE {ratio} >= 0.6e0"""
+    """Pairs of distinct texts whose Levenshtein ratio is at least 0.6, with or
+    without a common token; no pair is lost."""
+    return f"SELECT a_id, b_id, round(similarity, 3) AS similarity FROM ({edit_pairs(d, 'distinct_texts', 'distinct_texts', 0.6)}) p WHERE a_id < b_id"
 
 
 @relation("short_segments")

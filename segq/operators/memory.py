@@ -1,7 +1,11 @@
 """Translation memory: exact, upsert, best fuzzy, context."""
 
+from segq.operators.similarity_join import contained_pairs, edit_pairs
 from segq.plans.core import relation
 
+#: Edit ratio below which no use of the memory takes an entry.
+TM_LEAST = 0.75
+
 
 @relation("documents", query=False)
 def memory(d):
@@ -32,11 +36,15 @@ def memory_types(d):
 
 @relation("distinct_texts", "memory_types", query=False)
 def tm_scored(d):
-    """Similarity of each text and each memory entry that share a token."""
-    toks = lambda r: f"SELECT id, t, {d.explode(d.distinct(d.tokens('t')))} AS tok FROM {r}"
-    texts = toks("(SELECT id, t FROM distinct_texts UNION ALL SELECT id + 1000000000, t || ' new' FROM memory_types) u")
-    return f"""SELECT DISTINCT a.id, m.id AS tm_id, CAST(CASE WHEN a.t = m.t THEN 100 WHEN contains(m.t, a.t) THEN least(96, 70 + floor(26 * (length(a.t) / (length(m.t) * 1e0)))) WHEN contains(a.t, m.t) THEN 96
-ELSE floor(100 * (1 - levenshtein(a.t, m.t) / (greatest(length(a.t), length(m.t)) * 1e0))) END AS INT) AS score FROM ({texts}) a JOIN ({toks('memory_types')}) m ON a.tok = m.tok"""
+    """Layered score of each text and memory entry: equal, inside the entry,
+    around it, or by edit distance; every pair of at least ``TM_LEAST`` percent
+    and every pair where one holds the other, whether or not they share a
+    token."""
+    within = "CASE WHEN a_t = b_t THEN 100 ELSE least(96, 70 + floor(26 * (length(a_t) / (length(b_t) * 1e0)))) END"
+    return f"""SELECT id, tm_id, CAST(max(score) AS INT) AS score FROM (
+SELECT a_id AS id, b_id AS tm_id, {within} AS score FROM ({contained_pairs(d, 'distinct_texts', 'memory_types')}) i
+UNION ALL SELECT b_id, a_id, 96 FROM ({contained_pairs(d, 'memory_types', 'distinct_texts')}) o WHERE a_t <> b_t
+UNION ALL SELECT a_id, b_id, floor(100 * similarity) FROM ({edit_pairs(d, 'distinct_texts', 'memory_types', TM_LEAST)}) e WHERE NOT contains(a_t, b_t) AND NOT contains(b_t, a_t)) s GROUP BY id, tm_id"""
 
 
 @relation("tm_scored")

@@ -9,6 +9,8 @@ documented columns) to a relation.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +57,22 @@ def render(name: str, dialect=SPARK) -> str:
 
 def run(spark: SparkSession, name: str, tables: dict[str, DataFrame], **lists) -> DataFrame:
     """The relation over the tables given (by name), with other word lists in
-    place of the defaults (``UNITS=("mg",)``)."""
-    for need in tables_of(name):
-        tables[need].createOrReplaceTempView(need)
+    place of the defaults (``UNITS=("mg",)``).  Tables are bound for this text
+    alone: views of the session keep their names and contents."""
     with using(**lists):
-        return spark.sql(render(name))
+        text = render(name)
+    own = {need: f"{need}_{uuid.uuid4().hex}" for need in sorted(tables_of(name))}
+    for need, view in own.items():
+        tables[need].createOrReplaceTempView(view)
+    try:
+        bound = ",\n".join(f"{need} AS (SELECT * FROM {view})" for need, view in own.items())
+        if bound:
+            kind, rest = re.match(r"(WITH (?:RECURSIVE )?)?(.*)", text, re.S).groups()
+            text = f"{kind}{bound},\n{rest}" if kind else f"WITH {bound}\n{text}"
+        return spark.sql(text)
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
 
 
 #: Tables of long texts; the key that deals their rows out.
