@@ -39,7 +39,8 @@ LOGIC = ("although", "because", "despite", "however", "otherwise", "therefore",
 DANGER = ("anaphylaxis", "asphyxia", "cardiac arrest", "coma", "hemorrhage", "poisoning", "sepsis", "shock", "suicide")
 ROOTS = ("cardi", "neur", "gastr", "hepat", "derm", "oste", "onco", "path", "logi", "itis", "tion", "ment")
 SUFFIXES = ("itis", "osis", "oma", "ectomy", "logy", "pathy", "tion", "ment", "heit")
-COMMON_EN = ("the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "are")
+#: Words of which English text has at least two.
+COMMON_EN = ("the", "a", "is", "and", "to", "of", "in", "for", "with", "be", "as")
 DEGREES = ("md", "phd", "prof", "professor", "dr")
 INSTITUTION = ("university", "institute", "hospital", "department", "clinic", "universität", "université", "universidad")
 SPECIALTY = ("cardiology", "oncology", "surgery", "neurology", "pediatrics")
@@ -57,6 +58,9 @@ FORBIDDEN = (
 )
 #: (bad phrase, suggestion): style rules.
 STYLE = (("of the", "the"), ("in the", "within"), ("to be", "being"))
+#: What checks of meaning and style are told.
+CHECK_RULES = ("The back check looks at meaning only.", "The style check looks for literal calques and odd collocations.")
+KNOWN_RISKS = ("numbers", "units", "negation", "left/right", "upper/lower", "inner/outer", "literal calques")
 #: (source terms, expected in target, opposite): paired meaning rules.
 PAIRS = (("left", "left", "right"), ("high", "high", "low"), ("with", "with", "without"))
 #: (part of the headword, target that must never stand for it); the last two

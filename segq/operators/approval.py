@@ -12,7 +12,7 @@ def approval_input(d):
 FROM upgraded s LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON s.id = l.doc_id"""
 
 
-#: Eleven basic checks, then six never-approve checks, in order: (reason, test).
+#: Eleven basic checks, then six never-approve checks, in order: (reason, test).
 BASIC = (
     ("not_translated", "status NOT IN ('translated', 'google_draft')"), ("risk_", "level IN ('HIGH', 'CRITICAL')"), ("empty_target", "trim(source_text) = ''"), ("local_qa_fail", "text_chars < 5"), ("qa_alerts", "depth_name = 'critical_full_review' AND n_forbidden_post = 0"),
     ("forbidden_alert", "n_forbidden_post > 0"), ("numerical_mismatch", "n_numbers > 20 AND n_units > 0"), ("consistency_conflict", "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative"), ("glossary_conflict", "glossary_matches > 14"),
@@ -51,24 +51,25 @@ def approval_execute(d):
     return "SELECT id, 'confirmed' AS status, 'auto:' || route AS approval_source FROM approval_gate WHERE eligible"
 
 
-#: (alert, boost, test over ``approval_input``), highest boost first, then name.
+#: Fixed values: (alert, boost, test over ``approval_input``) in the order in
+#: which alerts are raised; the first one raised is the top alert.
 ALERTS = (
-    ("forbidden_detected", 95, "n_forbidden_post > 0"), ("numeric_mismatch", 90, "n_numbers > 3"), ("entity_corruption", 85, "entity > 9e-1"), ("name_corruption", 85, "n_initials > 2"), ("semantic_drift", 85, "safe_confidence < 2e-1"),
-    ("glossary_conflict", 70, "glossary_matches > 14"), ("consistency_conflict", 65, "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative"), ("qa_failed", 60, "coalesce(toxic, 0) = 1"), ("qa_warning", 60, "depth_name IN ('full_medical_qa', 'full_medical_qa_backcheck')"),
-    ("google_needs_review", 50, "status = 'google_draft' AND route <> 'GOOGLE_SAFE'"), ("backcheck_low", 40, "depth_name = 'full_medical_qa_backcheck' AND safe_confidence < 4e-1"), ("risk_level", 30, "level IN ('HIGH', 'CRITICAL')"),
+    ("qa_failed", 60, "coalesce(toxic, 0) = 1"), ("qa_warning", 60, "depth_name IN ('full_medical_qa', 'full_medical_qa_backcheck')"), ("google_needs_review", 50, "status = 'google_draft' AND route <> 'GOOGLE_SAFE'"),
+    ("entity_corruption", 85, "entity > 9e-1"), ("name_corruption", 85, "n_initials > 2"), ("semantic_drift", 85, "safe_confidence < 2e-1"), ("consistency_conflict", 65, "group_id IS NOT NULL AND tm_score < 99 AND NOT is_representative"),
+    ("numeric_mismatch", 90, "n_numbers > 3"), ("glossary_conflict", 70, "glossary_matches > 14"), ("forbidden_detected", 95, "n_forbidden_post > 0"), ("backcheck_low", 40, "depth_name = 'full_medical_qa_backcheck' AND safe_confidence < 4e-1"), ("risk_level", 30, "level IN ('HIGH', 'CRITICAL')"),
 )
 BOOST = "CASE {} " + " ".join(f"WHEN '{name}' THEN {boost}" for name, boost, _ in ALERTS) + " ELSE 30 END"
-#: (text in the alerts or test, action): nine rules, first match wins.
+#: Nine rules, first match wins, the last one always holds.
 ACTIONS = (
-    ("contains(alerts, 'forbidden')", "replace_forbidden_term"), ("contains(alerts, 'numeric')", "check_numbers"), ("contains(alerts, 'glossary')", "apply_glossary_term"), ("contains(alerts, 'corruption')", "check_names"), ("contains(alerts, 'consistency')", "align_with_group"),
-    ("contains(alerts, 'drift')", "retranslate"), ("contains(alerts, 'backcheck')", "repeat_back_check"), ("level = 'CRITICAL'", "expert_review"), ("status = 'google_draft'", "review_machine_draft"),
+    ("level = 'CRITICAL'", "expert_review"), ("contains(alerts, 'forbidden_detected')", "replace_forbidden_term"), ("contains(alerts, 'backcheck_low')", "repeat_back_check"), ("contains(alerts, 'numeric_mismatch')", "check_numbers"), ("contains(alerts, 'consistency_conflict')", "align_with_group"),
+    ("contains(alerts, 'qa_warning')", "edit_and_repeat_qa"), ("contains(alerts, 'google_needs_review')", "review_machine_draft"), ("level = 'HIGH'", "review_with_care"), ("true", "edit_and_confirm"),
 )
 
 
 @relation("approval_input", query=False)
 def review_rows(d):
-    """Segments in review with at least one alert; alerts in one array, the
-    top one first, so nothing is joined back."""
+    """Segments in review and their alerts in one array, in the order in which
+    they are raised, so nothing is joined back."""
     return f"""SELECT i.id, i.route, i.level, i.status, i.source_text, {d.flags(*((name, test) for name, _, test in ALERTS))} AS found FROM approval_input i WHERE i.status IN ('translated', 'google_draft')"""
 
 
@@ -79,11 +80,12 @@ def review_alerts(d):
 
 @relation("review_rows")
 def review_queue(d):
-    """Priority, top alert (highest boost, then name) and suggested action."""
+    """Priority (the highest boost of an alert), top alert (the first raised)
+    and suggested action."""
     base = "CASE level WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 80 WHEN 'MEDIUM' THEN 50 WHEN 'LOW' THEN 20 ELSE 50 END"
-    action = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for test, name in ACTIONS) + " ELSE 'edit_and_confirm' END"
-    return f"""SELECT id, route, level, status, alerts, top_alert, {BOOST.format('top_alert')} + {base} + CASE WHEN status = 'google_draft' THEN 10 ELSE 0 END AS priority, preview, {action} AS action
-FROM (SELECT id, route, level, status, {d.join(d.sort('found'), ',')} AS alerts, {d.item('found', 1)} AS top_alert, substring(source_text, 1, 100) AS preview FROM review_rows WHERE {d.size('found')} > 0) q"""
+    action = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for test, name in ACTIONS) + " END"
+    return f"""SELECT id, route, level, status, alerts, top_alert, boost + {base} + CASE WHEN status = 'google_draft' THEN 10 ELSE 0 END AS priority, preview, {action} AS action
+FROM (SELECT id, route, level, status, {d.join(d.sort('found'), ',')} AS alerts, {d.item('found', 1)} AS top_alert, {d.most(d.map('found', BOOST.format('x')))} AS boost, substring(source_text, 1, 100) AS preview FROM review_rows WHERE {d.size('found')} > 0) q"""
 
 
 @relation("review_queue")

@@ -1,5 +1,6 @@
 """Project-wide consistency: one source, one target."""
 
+from segq.operators.similarity_join import contained_pairs
 from segq.plans.core import relation
 
 
@@ -27,8 +28,9 @@ def consistency_group(d):
 @relation("pairs", "glossary")
 def consistency_term(d):
     """Targets that lack the approved target of a term that the source
-    contains.  The approved list is tiny and fixed: a broadcast nested loop."""
-    return "SELECT g.term, count(DISTINCT s.target_text) AS n_targets, count(DISTINCT s.id) AS n FROM pairs s JOIN (SELECT term, target FROM glossary WHERE tier = 'approved') g ON contains(lower(s.source_text), g.term) WHERE NOT contains(lower(s.target_text), lower(split_part(g.target, '; ', 1))) AND s.target_text <> '' GROUP BY g.term HAVING count(DISTINCT s.target_text) > 1"
+    contains."""
+    held = contained_pairs(d, "(SELECT term AS id, term AS t FROM glossary WHERE tier = 'approved')", "(SELECT id, lower(source_text) AS t FROM pairs)")
+    return f"SELECT g.term, count(DISTINCT s.target_text) AS n_targets, count(DISTINCT s.id) AS n FROM ({held}) h JOIN pairs s ON h.b_id = s.id JOIN glossary g ON h.a_id = g.term WHERE NOT contains(lower(s.target_text), lower(split_part(g.target, '; ', 1))) AND s.target_text <> '' GROUP BY g.term HAVING count(DISTINCT s.target_text) > 1"
 
 
 @relation("consistency_source", "consistency_names", "consistency_abbrev", "consistency_group", "consistency_term")

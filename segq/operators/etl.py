@@ -2,6 +2,7 @@
 
 from segq.functions import lexicons as L
 from segq.operators.scalars import repaired_en
+from segq.operators.similarity_join import contained_pairs
 from segq.plans.core import relation
 
 
@@ -63,7 +64,8 @@ def prompt_glossary(d):
 @relation("segments", "forbidden")
 def forbidden_scan(d):
     """Substring scan straight from the list: term, reason, first position."""
-    return "SELECT s.id, f.term, f.reason, instr(lower(s.source_text), f.term) AS position FROM segments s JOIN forbidden f ON contains(lower(s.source_text), f.term)"
+    held = contained_pairs(d, "(SELECT pos AS id, lower(term) AS t FROM forbidden)", "(SELECT id, lower(source_text) AS t FROM segments)")
+    return f"SELECT s.b_id AS id, f.term, f.reason, instr(s.b_t, s.a_t) AS position FROM ({held}) s JOIN forbidden f ON s.a_id = f.pos"
 
 
 @relation("lines")
@@ -71,13 +73,13 @@ def dictionary_slice(d):
     """Lines between the first long line (start) and the first line after it
     that is empty (end)."""
     first = "min(CASE WHEN length(line) > 80 THEN pos END) OVER (PARTITION BY id)"
-    return f"SELECT id, pos, length(line) AS n FROM (SELECT id, pos, line, begins, min(CASE WHEN pos > begins AND trim(line) = '' THEN pos END) OVER (PARTITION BY id) AS ends FROM (SELECT id, pos, line, {first} AS begins FROM lines) a) b WHERE pos > begins AND pos < coalesce(ends, 1000000000)"
+    return f"SELECT id, pos, length(line) AS n FROM (SELECT id, pos, line, begins, min(CASE WHEN pos > begins AND trim(line) = '' THEN pos END) OVER (PARTITION BY id) AS ends FROM (SELECT id, pos, line, {first} AS begins FROM lines) a) b WHERE pos > begins AND (ends IS NULL OR pos < ends)"
 
 
 @relation("lines")
 def block_parse(d):
     """Alternating lines: term, translation, definition."""
-    return "SELECT id, CAST(floor((rn - 1) / 3e0) AS BIGINT) AS entry, max(CASE WHEN (rn - 1) % 3 = 0 THEN substring(line, 1, 60) END) AS term, max(CASE WHEN (rn - 1) % 3 = 1 THEN substring(line, 1, 60) END) AS translation, max(CASE WHEN (rn - 1) % 3 = 2 THEN substring(line, 1, 60) END) AS definition FROM (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM lines WHERE trim(line) <> '') t GROUP BY id, CAST(floor((rn - 1) / 3e0) AS BIGINT)"
+    return "SELECT id, CAST(floor((rn - 1) / 3e0) AS BIGINT) AS entry, max(CASE WHEN (rn - 1) % 3 = 0 THEN line END) AS term, max(CASE WHEN (rn - 1) % 3 = 1 THEN line END) AS translation, max(CASE WHEN (rn - 1) % 3 = 2 THEN line END) AS definition FROM (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM lines WHERE trim(line) <> '') t GROUP BY id, CAST(floor((rn - 1) / 3e0) AS BIGINT)"
 
 
 @relation("lineitem")

@@ -2,6 +2,7 @@
 memory."""
 
 from segq.functions import lexicons as L
+from segq.operators.similarity_join import phrase_pairs
 from segq.plans.core import relation
 
 
@@ -65,7 +66,8 @@ def editor_filter(d):
 def web_batch_eligible(d):
     """Forced ids less confirmed ones, else new rows of the engine's risk; the
     batch of ten, and how many remain."""
-    return """SELECT id, forced, total - 10 AS remaining FROM (SELECT id, forced, row_number() OVER (ORDER BY forced DESC, id) AS place, count(*) OVER () AS total FROM (SELECT id, id IN (5, 6, 7, 8) AS forced FROM short_segments WHERE (id IN (5, 6, 7, 8) AND status <> 'confirmed') OR (status = 'new' AND risk_level = 'LOW')) e) t WHERE place <= 10"""
+    found = "SELECT id, id IN (5, 6, 7, 8) AS forced FROM short_segments WHERE (id IN (5, 6, 7, 8) AND status <> 'confirmed') OR (status = 'new' AND risk_level = 'LOW')"
+    return f"SELECT id, forced, (SELECT count(*) FROM ({found}) c) - 10 AS remaining FROM ({found}) e ORDER BY forced DESC, id LIMIT 10"
 
 
 @relation("short_segments")
@@ -114,7 +116,8 @@ def glossary_violations(d):
     theirs stands in the target; skip lists drop short and stop words."""
     stop = ", ".join(map(repr, L.STOP_EN))
     none = " AND ".join(f"NOT contains(lower(p.target_text), lower(split_part(g.target, '; ', {i})))" for i in (1, 2))
-    return f"SELECT p.id, g.term FROM (SELECT id, target_text, {d.padded('source_text')} AS padded FROM pairs) p JOIN (SELECT term, target, {d.padded('term')} AS key FROM glossary WHERE length(term) >= 3 AND term NOT IN ({stop})) g ON contains(p.padded, g.key) WHERE trim(p.target_text) <> '' AND {none}"
+    held = phrase_pairs(d, f"(SELECT term AS id, term AS t FROM glossary WHERE length(term) >= 3 AND term NOT IN ({stop}))", "(SELECT id, source_text AS t FROM pairs)")
+    return f"SELECT p.id, g.term FROM ({held}) h JOIN pairs p ON h.b_id = p.id JOIN glossary g ON h.a_id = g.term WHERE trim(p.target_text) <> '' AND {none}"
 
 
 @relation("term_rows")
@@ -144,7 +147,7 @@ def seeded_sample(d):
 @relation("forbidden", "term_rows")
 def forbidden_union(d):
     """Two lists united; one row for each lower-case pair, the first wins."""
-    return "SELECT term, bad FROM (SELECT lower(term) AS term, lower(bad) AS bad, row_number() OVER (PARTITION BY lower(term), lower(bad) ORDER BY pos) AS rn FROM (SELECT pos, term, bad FROM forbidden UNION ALL SELECT pos + 1000 AS pos, ru AS term, en AS bad FROM term_rows WHERE confidence = 'low') u) t WHERE rn = 1"
+    return "SELECT lower(term) AS term, lower(bad) AS bad, min(list) AS list FROM (SELECT '1 own' AS list, term, bad FROM forbidden UNION ALL SELECT '2 reviewed' AS list, ru AS term, en AS bad FROM term_rows WHERE confidence = 'low') u GROUP BY lower(term), lower(bad)"
 
 
 @relation("term_verdicts", "term_rows", "forbidden")

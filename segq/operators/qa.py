@@ -1,6 +1,7 @@
 """Local, numeric and meaning checks over source/target pairs."""
 
 from segq.functions import lexicons as L
+from segq.operators.similarity_join import phrase_pairs
 from segq.plans.core import relation
 
 
@@ -25,12 +26,12 @@ def _alert_rows(d, source: str, checks) -> str:
 
 @relation("pair_features")
 def local_qa_alerts(d):
-    common = d.size(d.distinct(d.filter("target_tokens", f"x IN ({', '.join(map(repr, L.COMMON_EN))})")))
+    common = " + ".join(f"CASE WHEN contains(' ' || lower(target_text) || ' ', ' {w} ') THEN 1 ELSE 0 END" for w in L.COMMON_EN)
     lost = " OR ".join(f"(contains(source_text, '{a}') AND NOT contains(target_text, '{a}'))" for a in L.ABBREVIATIONS)
-    ratio = "length(target_text) / (length(source_text) * 1e0)"
+    ratio = "length(trim(target_text)) / (length(trim(source_text)) * 1e0)"
     return _alert_rows(d, "pair_features", (
-        ("empty_output", "error", "length(trim(target_text)) < 1"), ("language", "warning", f"{d.size('target_tokens')} > 5 AND {common} < 2"),
-        ("length_ratio", "warning", f"length(source_text) >= 5 AND ({ratio} < 5e-1 OR {ratio} > 2e0)"), ("numbers_lost", "error", f"{d.size(d.minus('source_digits', 'target_digits'))} > 0"),
+        ("empty_output", "error", "length(trim(target_text)) < 1"), ("language", "warning", f"{d.size(d.words('target_text'))} > 5 AND ({common}) < 2"),
+        ("length_ratio", "warning", f"CASE WHEN length(trim(source_text)) >= 5 THEN {ratio} < 5e-1 OR {ratio} > 2e0 ELSE false END"), ("numbers_lost", "error", f"{d.size(d.minus('source_digits', 'target_digits'))} > 0"),
         ("abbreviations_lost", "warning", lost), ("names_lost", "info", "source_names > 2 AND target_names < greatest(1, source_names / 2e0)"), ("brackets_lost", "warning", "source_brackets > 0 AND target_brackets < source_brackets / 2e0"),
         ("forbidden_term", "critical", " OR ".join(d.has_item("target_tokens", f"'{bad}'") for _, bad, _ in L.FORBIDDEN)),
     ))
@@ -100,11 +101,23 @@ def issue_board(d):
     return "SELECT type, severity, count(*) AS n, count(DISTINCT id) AS segments FROM (SELECT * FROM local_qa_alerts UNION ALL SELECT * FROM numeric_qa_alerts UNION ALL SELECT * FROM medical_issues) u GROUP BY type, severity"
 
 
-@relation("pairs", "tm_best_fuzzy")
+@relation("pairs", "glossary_use", "memory")
 def context_package(d):
-    """Neighbours of each pair: previous and next source in the project."""
-    w = "(PARTITION BY project ORDER BY turn)"
-    return f"SELECT id, coalesce(lag(substring(source_text, 1, 50)) OVER {w}, '') AS prev_source, coalesce(lead(substring(source_text, 1, 50)) OVER {w}, '') AS next_source FROM pairs"
+    """What a check of a pair gets: its neighbours in the project, whole, the
+    first twenty approved terms of its source, the memory's entry, forbidden
+    phrases, and the fixed domain, rules and risks."""
+    w = "(PARTITION BY p.project ORDER BY p.turn)"
+    terms = f"SELECT id, {d.joined("term || '=' || target", '|')} AS terms FROM (SELECT id, term, target, row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) AS rn FROM glossary_use) g WHERE rn <= 20 GROUP BY id"
+    bad = "|".join(f"{x}>{put}" for x, put in L.STYLE)
+    return f"""SELECT p.id, p.source_text, coalesce(lag(p.source_text) OVER {w}, '') AS context_before, coalesce(lead(p.source_text) OVER {w}, '') AS context_after, 'medical' AS domain, 'clinical_segment' AS text_type, coalesce(t.terms, '') AS approved_terms, coalesce(m.target_text, '') AS tm_examples, '{bad}' AS forbidden_terms, '{"|".join(L.CHECK_RULES)}' AS style_rules, '{"|".join(L.KNOWN_RISKS)}' AS known_risks
+FROM pairs p LEFT JOIN ({terms}) t ON p.id = t.id LEFT JOIN memory m ON {d.sha(d.norm('p.source_text'))} = m.source_hash"""
+
+
+@relation("pairs", "glossary", query=False)
+def glossary_use(d):
+    """Approved terms that stand in a pair's source as phrases."""
+    held = phrase_pairs(d, "(SELECT term AS id, term AS t FROM glossary WHERE tier = 'approved')", "(SELECT id, source_text AS t FROM pairs)")
+    return f"SELECT h.b_id AS id, g.term, split_part(g.target, '; ', 1) AS target FROM ({held}) h JOIN glossary g ON h.a_id = g.term"
 
 
 @relation("pairs")
@@ -121,7 +134,7 @@ def ui_issues(d):
 @relation("medical_issues", "pairs")
 def term_candidates(d):
     """Issues of terms with a fragment of the source, for the glossary."""
-    return f"SELECT i.id, i.type, substring(p.source_text, 1, 40) AS fragment FROM medical_issues i JOIN pairs p ON i.id = p.id WHERE {d.starts('i.type', "'pair_'")} OR i.type IN ('unit_lost', 'negation')"
+    return f"SELECT i.id, i.type, p.source_text AS fragment FROM medical_issues i JOIN pairs p ON i.id = p.id WHERE {d.starts('i.type', "'pair_'")} OR i.type IN ('unit_lost', 'negation')"
 
 
 @relation("issue_risk", "pairs")

@@ -13,7 +13,10 @@ band and, on the right, in the next two.
 ``contained_pairs``: a inside b.  The left text offers one gram, its rarest of
 three characters (or itself, if shorter); the right one all of its grams.
 
-A frequent gram is dealt to as many slots as its number of texts asks for, so
+``phrase_pairs``: the words of a stand in b in a row.  The left text offers its
+rarest word.
+
+A frequent gram or word is dealt to as many slots as its number of texts asks for, so
 no gram's texts meet in one task.  Pairs come out distinct and are verified on
 the whole texts.  DuckDB's side of both is all pairs.
 """
@@ -22,6 +25,7 @@ from math import floor, log
 
 #: Texts of a gram in one slot.
 SLOT = 2048
+WORDS_OF, WORD = "lower(coalesce(t, ''))", r"[\p{L}\p{N}_]+"
 
 
 def gram_size(ratio: float) -> int:
@@ -76,3 +80,20 @@ def contained_pairs(d, left: str, right: str) -> str:
     slots = f"CAST(ceil(c / {SLOT}e0) AS INT) AS slots"
     pairs = _dealt(f"SELECT r.id AS id, key, {slots} FROM ({rarest}) r", f"SELECT g.id, g.key, {slots} FROM ({grams}) g JOIN ({counts}) k ON g.key = k.key", "true", "true")
     return f"SELECT a_id, a_t, b_id, b_t FROM (SELECT p.a_id, a.t AS a_t, p.b_id, b.t AS b_t FROM ({pairs}) p JOIN {left} a ON p.a_id = a.id JOIN {right} b ON p.b_id = b.id) v WHERE contains(b_t, a_t)"
+
+
+def phrase_pairs(d, terms: str, texts: str) -> str:
+    """SELECT a_id, a_t, b_id, b_t where the term's words stand in the text as
+    a phrase, case folded."""
+    both = "contains(b.padded, a.padded)"
+    shown = lambda rel: f"SELECT id, t, {d.padded('t')} AS padded FROM {rel}"
+    if d.name == "duck":
+        return f"SELECT a.id AS a_id, a.t AS a_t, b.id AS b_id, b.t AS b_t FROM ({shown(terms)}) a, ({shown(texts)}) b WHERE a.padded <> '  ' AND {both}"
+    words = lambda rel: f"SELECT id, explode(array_distinct({d.all(WORDS_OF, WORD)})) AS key FROM {rel}"
+    asked = f"SELECT DISTINCT key FROM ({words(terms)}) w"
+    held = f"SELECT x.id, x.key FROM ({words(texts)}) x LEFT SEMI JOIN ({asked}) q ON x.key = q.key"
+    counts = f"SELECT key, count(*) AS c FROM ({held}) h GROUP BY key"
+    rarest = f"SELECT o.id, min_by(o.key, struct(k.c, o.key)) AS key, min(k.c) AS c FROM ({words(terms)}) o JOIN ({counts}) k ON o.key = k.key GROUP BY o.id"
+    slots = f"CAST(ceil(c / {SLOT}e0) AS INT) AS slots"
+    pairs = _dealt(f"SELECT r.id AS id, key, {slots} FROM ({rarest}) r", f"SELECT g.id, g.key, {slots} FROM ({held}) g JOIN ({counts}) k ON g.key = k.key", "true", "true")
+    return f"SELECT p.a_id, a.t AS a_t, p.b_id, b.t AS b_t FROM ({pairs}) p JOIN ({shown(terms)}) a ON p.a_id = a.id JOIN ({shown(texts)}) b ON p.b_id = b.id WHERE {both}"

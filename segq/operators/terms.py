@@ -1,6 +1,7 @@
 """Terminology: tokens, candidates, ladders, forbidden pairs, coverage."""
 
 from segq.functions import lexicons as L
+from segq.operators.similarity_join import phrase_pairs
 from segq.plans.core import relation
 
 
@@ -84,8 +85,10 @@ def glossary_coverage(d):
 
 @relation("conversations", query=False)
 def pairs(d):
-    """Source/target pairs: a user turn and the turn that follows it."""
-    return """SELECT conv_id * 1000 + turn AS id, conv_id AS project, text AS source_text, target_text, turn FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS target_text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role FROM conversations) t WHERE role = 'user'"""
+    """Source/target pairs: a user turn and the turn that follows it.  The id is
+    the conversation and the turn's place in it, so it never repeats."""
+    w = "(PARTITION BY conv_id ORDER BY turn, role, text)"
+    return f"""SELECT conv_id || ':' || place AS id, conv_id AS project, text AS source_text, target_text, place AS turn FROM (SELECT conv_id, role, row_number() OVER {w} - 1 AS place, coalesce(text, '') AS text, coalesce(lead(text) OVER {w}, '') AS target_text FROM conversations) t WHERE role = 'user'"""
 
 
 @relation(query=False)
@@ -96,18 +99,19 @@ def forbidden(d):
 
 @relation("segments", "forbidden", "glossary")
 def forbidden_pre(d):
-    """Source holds the term as a whole word; preferred target if approved.
-    The pair list is tiny and fixed, so this is a broadcast nested loop."""
-    return f"""SELECT s.id, f.term, f.bad, CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END AS severity, split_part(g.target, '; ', 1) AS preferred
-FROM (SELECT id, {d.padded('source_text')} AS padded FROM segments) s JOIN (SELECT term, bad, reason, {d.padded('term')} AS key FROM forbidden) f ON contains(s.padded, f.key) LEFT JOIN glossary g ON g.term = f.term AND g.tier = 'approved'"""
+    """Source holds the term as a whole word; preferred target if approved."""
+    held = phrase_pairs(d, "(SELECT pos AS id, term AS t FROM forbidden)", "(SELECT id, source_text AS t FROM segments)")
+    return f"""SELECT s.b_id AS id, f.term, f.bad, CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END AS severity, split_part(g.target, '; ', 1) AS preferred
+FROM ({held}) s JOIN forbidden f ON s.a_id = f.pos LEFT JOIN glossary g ON g.term = f.term AND g.tier = 'approved'"""
 
 
 @relation("documents", "forbidden")
 def forbidden_post(d):
     """Target holds the forbidden word; one alert per word, milder if the
     source lacks the term."""
-    return f"""SELECT id, bad, term, severity FROM (SELECT s.id, f.bad, f.term, CASE WHEN contains(s.padded, f.key) THEN CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END ELSE 'info' END AS severity, row_number() OVER (PARTITION BY s.id, f.bad ORDER BY f.pos) AS rn
-FROM (SELECT doc_id AS id, {d.padded('text')} AS padded FROM documents) s JOIN (SELECT pos, term, bad, reason, {d.padded('term')} AS key, {d.padded('bad')} AS bad_key FROM forbidden) f ON contains(s.padded, f.bad_key)) t WHERE rn = 1"""
+    held = phrase_pairs(d, "(SELECT pos AS id, bad AS t FROM forbidden)", "(SELECT doc_id AS id, text AS t FROM documents)")
+    return f"""SELECT id, bad, term, severity FROM (SELECT s.b_id AS id, f.bad, f.term, CASE WHEN {d.whole_word('s.b_t', 'f.term')} THEN CASE WHEN contains(f.reason, 'dangerous') THEN 'critical' ELSE 'warning' END ELSE 'info' END AS severity, row_number() OVER (PARTITION BY s.b_id, f.bad ORDER BY f.pos) AS rn
+FROM ({held}) s JOIN forbidden f ON s.a_id = f.pos) t WHERE rn = 1"""
 
 
 @relation("forbidden")

@@ -42,10 +42,15 @@ def dict_parse_carry_forward(d):
 
 @relation("lines")
 def hyphen_join(d):
-    """A line that ends in a comma or hyphen takes the next line on."""
+    """A line that ends in a hyphen, soft or plain, loses it and takes the next
+    line on, which is then used up: in a run of such lines the first, third and
+    so on take their follower."""
     w = "(PARTITION BY id ORDER BY pos)"
-    soft = lambda c: f"({d.ends(c, "','")} OR {d.ends(c, "'-'")})"
-    return f"SELECT id, pos, length(CASE WHEN {soft('line')} THEN line || coalesce(following, '') ELSE line END) AS n FROM (SELECT id, pos, line, lead(line) OVER {w} AS following, coalesce(lag(line) OVER {w}, '') AS before FROM lines) t WHERE NOT {soft('before')}"
+    soft = f"({d.ends('line', 'chr(173)')} OR {d.ends('line', "'-'")})"
+    place = f"pos - coalesce(max(CASE WHEN NOT soft THEN pos END) OVER {w}, -1)"
+    takes = "soft AND place % 2 = 1"
+    return f"""SELECT id, pos, CASE WHEN {takes} THEN substring(line, 1, length(line) - 1) || coalesce(ltrim(following), '') ELSE line END AS joined
+FROM (SELECT *, coalesce(lag({takes}) OVER {w}, false) AS used FROM (SELECT *, {place} AS place, lead(line) OVER {w} AS following FROM (SELECT id, pos, line, {soft} AS soft FROM lines) s) p) t WHERE NOT used"""
 
 
 @relation("lines")

@@ -21,6 +21,7 @@ class Spark:
     sort = staticmethod(lambda a: f"array_sort({a})")
     minus = staticmethod(lambda a, b: f"array_except({a}, {b})")
     explode = staticmethod(lambda a: f"explode({a})")
+    most = staticmethod(lambda a: f"array_max({a})")
     posexplode = staticmethod(lambda a: f"posexplode({a}) AS (pos, x)")
     starts = staticmethod(lambda a, b: f"startswith({a}, {b})")
     ends = staticmethod(lambda a, b: f"endswith({a}, {b})")
@@ -109,6 +110,7 @@ class Duck(Spark):
     sort = staticmethod(lambda a: f"list_sort({a})")
     minus = staticmethod(lambda a, b: f"list_filter(list_distinct({a}), lambda x: NOT list_contains({b}, x))")
     explode = staticmethod(lambda a: f"unnest({a})")
+    most = staticmethod(lambda a: f"list_max({a})")
     posexplode = staticmethod(lambda a: f"unnest(range(0, len({a}))) AS pos, unnest({a}) AS x")
     starts = staticmethod(lambda a, b: f"starts_with({a}, {b})")
     ends = staticmethod(lambda a, b: f"ends_with({a}, {b})")
