@@ -1,7 +1,7 @@
 """Duplicate analysis: exact groups, fuzzy pairs, ids, representatives."""
 
 from segq.operators.similarity_join import edit_pairs
-from segq.plans.core import relation
+from segq.plans.core import dense, relation
 
 
 @relation("documents", query=False)
@@ -28,9 +28,9 @@ def dup_exact_groups(d):
 
 @relation("short_segments", "dup_exact_groups")
 def dup_assign(d):
-    """Groups are named by their representative, so no task numbers them all."""
-    return """SELECT s.id, g.representative AS group_id, s.id = g.representative AS is_representative, coalesce(g.n - 1, 0) AS duplicate_count
-FROM short_segments s LEFT JOIN dup_exact_groups g ON s.h = g.h"""
+    """Groups by representative, numbered from 0 as they are first seen."""
+    return f"""SELECT s.id, g.representative AS group_id, g.place - 1 AS group_number, s.id = g.representative AS is_representative, coalesce(g.n - 1, 0) AS duplicate_count
+FROM short_segments s LEFT JOIN ({dense("dup_exact_groups", "representative")}) g ON s.h = g.h"""
 
 
 @relation("dup_assign")

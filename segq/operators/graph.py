@@ -3,16 +3,15 @@ pointer jumping; labels are written between rounds to cut the lineage."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segq.sources.shared import shared_path
+
 
 def _store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{root.rstrip('/')}/labels-{uuid.uuid4().hex}"
+    path = shared_path(spark, "labels")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,7 @@
 """Routing, policies, workflow and QA depth."""
 
 from segq.operators.scoring import INTENT
-from segq.plans.core import relation
+from segq.plans.core import dense, relation
 
 DEPTH = """CASE WHEN level = 'CRITICAL' THEN 4 WHEN level = 'HIGH' THEN 3 WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'GOOGLE_SAFE') THEN 0 WHEN route = 'GPT_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 1 ELSE 0 END
 WHEN route = 'GPT_WITH_GLOSSARY_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 2 ELSE 1 END WHEN route = 'HUMAN_REVIEW_REQUIRED' THEN 4 ELSE 1 END"""
@@ -57,9 +57,10 @@ PRIORITY = "CASE route WHEN 'EXACT_TM' THEN 0 WHEN 'DUPLICATE_PROPAGATION_PENDIN
 
 @relation("route_decision")
 def batch_order(d):
-    """Priority of each route, and the place of the segment inside it (ranks
-    run per route, so no task sorts the whole project)."""
-    return f"SELECT id, route, {PRIORITY} AS priority, row_number() OVER (PARTITION BY route ORDER BY id) AS place FROM route_decision"
+    """Priority of each route, and the place of the segment in the whole order
+    (numbered block by block, so no task sorts a route)."""
+    numbered = dense(f"(SELECT id, route, {PRIORITY} AS priority FROM route_decision)", "id", "priority")
+    return f"SELECT id, route, priority, place FROM ({numbered}) n"
 
 
 @relation("route_decision")

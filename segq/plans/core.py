@@ -32,6 +32,24 @@ def relation(*needs: str, query: bool = True):
     return add
 
 
+#: Ids of a block that is numbered in one task.
+BLOCK = 4096
+
+
+def dense(rel: str, key: str, *before: str) -> str:
+    """SELECT of ``rel`` and the place of each row, from 1, in the order of the
+    columns ``before`` and of the whole number ``key``.  A block is a range of
+    keys; blocks are counted, counts summed in order (one row a block), and rows
+    numbered inside their block."""
+    block = f"SELECT *, CAST(floor({key} / {BLOCK}e0) AS BIGINT) AS block FROM {rel} numbered"
+    parts = ", ".join([*before, "block"])
+    same = " AND ".join(f"b.{c} = o.{c}" for c in [*before, "block"])
+    sizes = f"SELECT {parts}, count(*) AS size FROM ({block}) s GROUP BY {parts}"
+    offsets = f"SELECT {parts}, sum(size) OVER (ORDER BY {parts} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM ({sizes}) z"
+    inner = ", ".join(f"b.{c}" for c in [*before, "block"])
+    return f"SELECT b.*, CAST(o.ahead + row_number() OVER (PARTITION BY {inner} ORDER BY b.{key}) AS BIGINT) AS place FROM ({block}) b JOIN ({offsets}) o ON {same}"
+
+
 def order(name: str, seen: list[str] | None = None) -> list[str]:
     """The relation's dependencies, innermost first, then itself."""
     seen = [] if seen is None else seen

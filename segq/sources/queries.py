@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from segq.functions.similarity import ratcliff
@@ -11,11 +9,8 @@ from segq.operators.graph import components
 from segq.plans.core import render, spark_queries
 from segq.plans.dialect import DUCK
 from segq.sources import files
-
-
-def _folder(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from segq.sources.shared import shared_path
+from segq.sources.versions import Versions
 
 
 def dup_components(spark, sf_dir):
@@ -30,30 +25,46 @@ def dup_ratcliff_pairs(spark, sf_dir):
 
 
 def tsv_round_trip(spark, sf_dir):
-    path = _folder(spark, "tsv")
+    path = shared_path(spark, "tsv")
     files.write_tsv(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_brand").distinct(), path, "p_name")
     return files.read_tsv(spark, path, ["p_name", "p_brand"])
 
 
 def tmx_round_trip(spark, sf_dir):
-    path = _folder(spark, "tmx")
+    path = shared_path(spark, "tmx")
     files.write_tmx(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", "p_type").distinct(), path, "p_name", "p_type")
     return files.read_tmx(spark, path)
 
 
 def json_round_trip(spark, sf_dir):
-    path = _folder(spark, "json")
+    path = shared_path(spark, "json")
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.json(path)
     return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
 
 
+def versioned_merge(spark, sf_dir):
+    """Segments as a table in versions: created, widened twice, merged twice
+    (a patch of prices for half of them, and new rows); repeats change nothing."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table = Versions(spark, shared_path(spark, "segments"), "id")
+    rows = part.filter("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("source_text"), F.lit("new").alias("status"))
+    patch = part.filter("p_size <= 30").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("target_text"), F.lit("translated").alias("status"))
+    for _ in range(2):
+        table.create(rows)
+        table.add_columns({"target_text": "string", "qa_score": "double", "updated_at": "timestamp"})
+        table.merge(patch, ("target_text", "status"), "2024-05-01 10:00:00")
+    return table.read().select("id", "source_text", "status", "target_text", "qa_score", F.col("updated_at").cast("string").alias("updated_at"), F.lit(len(table.numbers())).alias("versions"))
+
+
 def queries():
-    return {f.__name__: f for f in (dup_components, dup_ratcliff_pairs, tsv_round_trip, tmx_round_trip, json_round_trip)}
+    return {f.__name__: f for f in (versioned_merge, dup_components, dup_ratcliff_pairs, tsv_round_trip, tmx_round_trip, json_round_trip)}
 
 
 def oracle_sql():
     pairs = render("dup_fuzzy_pairs", DUCK)
     return {
+        "versioned_merge": """SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN p_name END AS source_text, CASE WHEN p_size <= 30 THEN 'translated' ELSE 'new' END AS status, CASE WHEN p_size <= 30 THEN p_brand END AS target_text,
+CAST(NULL AS DOUBLE) AS qa_score, CASE WHEN p_size <= 30 THEN '2024-05-01 10:00:00' END AS updated_at, 3 AS versions FROM part WHERE p_size IS NOT NULL""",
         "dup_components": f"WITH RECURSIVE e AS (SELECT * FROM ({pairs}) p), u AS (SELECT a_id AS x, b_id AS y FROM e UNION SELECT b_id, a_id FROM e), r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x) SELECT x AS id, min(y) AS component FROM r GROUP BY x",
         "tsv_round_trip": "SELECT DISTINCT p_name, p_brand FROM part",
         "tmx_round_trip": "SELECT DISTINCT p_name AS source_text, p_type AS target_text FROM part",
