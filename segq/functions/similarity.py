@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 
 
-def ratcliff(a: Column, b: Column) -> Column:
-    """Percent similarity of two texts, one decimal; null counts as ''."""
+def ratcliff(a: Column, b: Column, digits: int = 1) -> Column:
+    """Percent similarity of two texts, rounded; null counts as ''."""
 
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([round(100 * difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio(), 1) for p, q in zip(x, y)])
+        return pd.Series([round(100 * difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio(), digits) for p, q in zip(x, y)])
 
     return F.pandas_udf(ratio, "double")(a, b)
 

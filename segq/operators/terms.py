@@ -1,7 +1,7 @@
 """Terminology: tokens, candidates, ladders, forbidden pairs, coverage."""
 
 from segq.functions import lexicons as L
-from segq.operators.similarity_join import phrase_pairs
+from segq.operators.similarity_join import contained_pairs, phrase_pairs
 from segq.plans.core import relation
 
 
@@ -44,12 +44,27 @@ def term_whole_word(d):
     return f"SELECT c.id, c.term FROM token_candidates c JOIN segments s ON c.id = s.id WHERE c.shared = c.term_tokens AND {d.whole_word('s.source_text', 'c.term')}"
 
 
-@relation("segment_tokens", "glossary")
+def stems(d, term: str) -> str:
+    """Pattern of a phrase whose words may end otherwise: of each word the first
+    three quarters, four letters at least, then any letters."""
+    stem = "CAST(floor(length(x) * 75e-2) AS INT)"
+    each = d.map(d.words(term), f"'{chr(92)}Q' || substring(x, 1, greatest(4, {stem})) || '{chr(92)}E'" if d.name == "duck" else f"r'\\Q' || substring(x, 1, greatest(4, {stem})) || r'\\E'")
+    ending, space = (r"\p{L}*", r"[ \t\n\r\f]+")
+    return f"{d.rx('(^|[^' + chr(92) + 'p{L}])(')} || array_join({each}, {d.rx(ending + space)}) || {d.rx(ending + ')')}" if d.name == "spark" else f"{d.rx('(^|[^' + chr(92) + 'p{L}])(')} || array_to_string({each}, {d.rx(ending + space)}) || {d.rx(ending + ')')}"
+
+
+@relation("segments", "glossary")
 def term_stem(d):
-    """A token that starts with the first max(4, three quarters) characters of
-    a one-word term; the stem's first four characters are the join key."""
-    stem = "substring(term, 1, greatest(4, CAST(floor(length(term) * 75e-2) AS INT)))"
-    return f"SELECT DISTINCT s.id, g.term, s.tok FROM segment_tokens s JOIN (SELECT term, {stem} AS stem, substring(term, 1, 4) AS head FROM glossary WHERE length(term) >= 4 AND NOT contains(term, ' ')) g ON substring(s.tok, 1, 4) = g.head AND {d.starts('s.tok', 'g.stem')}"
+    """Terms of one or more words in any ending: the term itself anywhere, else
+    its stems in a row from the beginning of a word; the form found.  A term is
+    asked for by the first letters of its longest stem."""
+    held = contained_pairs(d, "(SELECT term AS id, term AS t FROM glossary)", "(SELECT id, lower(source_text) AS t FROM segments)")
+    longest = f"{d.item(d.by_length(d.words('term')), 1)}"
+    keys = f"SELECT term, {stems(d, 'term')} AS pattern, substring({longest}, 1, 4) AS head FROM glossary WHERE trim(term) <> ''"
+    heads = f"SELECT DISTINCT id, head FROM (SELECT id, {d.explode(d.heads(d.distinct(d.all('lower(source_text)', '[^ ' + chr(92) + 't' + chr(92) + 'n]+'))))} AS head FROM segments) h"
+    near = f"SELECT DISTINCT s.id, g.term, g.pattern FROM ({heads}) s JOIN ({keys}) g ON s.head = g.head"
+    return f"""SELECT id, term, term AS form FROM (SELECT b_id AS id, a_id AS term FROM ({held}) h) e
+UNION ALL SELECT id, term, form FROM (SELECT n.id, n.term, {d.ext_of('lower(s.source_text)', 'n.pattern', 2)} AS form, contains(lower(s.source_text), n.term) AS exact FROM ({near}) n JOIN segments s ON n.id = s.id) m WHERE NOT exact AND form <> ''"""
 
 
 @relation("token_candidates", "segments", query=False)
@@ -58,6 +73,16 @@ def term_ladder(d):
 FROM token_candidates c JOIN segments s ON c.id = s.id"""
 
 
+@relation("token_candidates", "segments", query=False)
+def fuzzy_candidates(d):
+    """Candidates that stand nowhere in the segment, in compare form beside the
+    segment's head of three times the term's length, where their lengths allow a
+    ratio of 0.72."""
+    form = lambda c: f"trim({d.sub(f'lower({c})', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_ ' + chr(92) + 't' + chr(92) + 'n]', '')})"
+    return f"""SELECT * FROM (SELECT c.id, c.term, c.tier, c.shared = c.term_tokens AS whole, {form('c.term')} AS a, {form('substring(s.source_text, 1, 3 * length(c.term))')} AS b
+FROM token_candidates c JOIN segments s ON c.id = s.id WHERE length(c.term) <= 60 AND NOT contains(lower(s.source_text), c.term)) f WHERE 2 * least(length(a), length(b)) >= 0.72e0 * (length(a) + length(b))"""
+
+
 @relation("term_ladder")
 def term_match_top15(d):
     prio = "CASE tier WHEN 'approved' THEN 0 ELSE 10 END + CASE match_type WHEN 'exact' THEN 0 WHEN 'case_insensitive' THEN 1 ELSE 2 END"

@@ -46,6 +46,18 @@ class Spark:
     def ext(self, col: str, p: str, group: int = 1) -> str:
         return f"regexp_extract({col}, {self.rx(p)}, {group})"
 
+    def ext_of(self, col: str, pattern: str, group: int) -> str:
+        """Group of the first match of a pattern that is a column."""
+        return f"regexp_extract({col}, {pattern}, {group})"
+
+    def by_length(self, a: str) -> str:
+        """Items by length, longest first, then in order."""
+        return f"transform(array_sort(transform({a}, x -> struct(-length(x) AS n, x AS x))), y -> y.x)"
+
+    def heads(self, a: str) -> str:
+        """Distinct beginnings of the items, of one to four characters."""
+        return f"array_distinct(flatten(transform({a}, x -> transform(sequence(1, least(4, length(x))), i -> substring(x, 1, i)))))"
+
     def all(self, col: str, p: str) -> str:
         return f"regexp_extract_all({col}, {self.rx(p)}, 0)"
 
@@ -146,6 +158,15 @@ class Duck(Spark):
     def map(self, a: str, expr: str) -> str:
         return f"list_transform({a}, lambda x: {expr})"
 
+    def ext_of(self, col: str, pattern: str, group: int) -> str:
+        return f"coalesce(nullif(regexp_extract_all({col}, {pattern}, {group}), [])[1], '')"
+
+    def by_length(self, a: str) -> str:
+        return f"list_transform(list_sort(list_transform({a}, lambda x: {{'n': -length(x), 'x': x}})), lambda y: y.x)"
+
+    def heads(self, a: str) -> str:
+        return f"list_distinct(flatten(list_transform({a}, lambda x: list_transform(range(1, least(4, length(x)) + 1), lambda i: substring(x, 1, i)))))"
+
     def differ(self, a: str, b: str, test) -> str:
         return f"len(list_filter(list_zip({a}, {b}), lambda z: {test('z[1]', 'z[2]')})) > 0"
 

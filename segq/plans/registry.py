@@ -29,5 +29,6 @@ def oracle_sql():
     from segq.operators.calls import oracle_sql as calls
     from segq.operators.providers import oracle_sql as providers
     from segq.sources.queries import oracle_sql as sources
+    from segq.streaming.queries import oracle_sql as streams
 
-    return oracle_texts() | providers() | calls() | sources()
+    return oracle_texts() | providers() | calls() | sources() | streams()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segq.functions.similarity import ratcliff
 from segq.operators.graph import components
-from segq.plans.core import render, spark_queries
+from segq.plans.core import render, run, spark_queries, table, tables_of
 from segq.plans.dialect import DUCK
 from segq.sources import files
 from segq.sources.shared import shared_path
@@ -56,8 +57,26 @@ def versioned_merge(spark, sf_dir):
     return table.read().select("id", "source_text", "status", "target_text", "qa_score", F.col("updated_at").cast("string").alias("updated_at"), F.lit(len(table.numbers())).alias("versions"))
 
 
+def term_ladder_whole(spark, tables):
+    """The whole ladder over bound tables: exact, case folded, close to the
+    segment's head (ratio 0.72), words in any order; fifteen a segment."""
+    found = run(spark, "term_ladder", tables).filter("match_type IS NOT NULL").select("id", "term", "tier", "match_type")
+    close = run(spark, "fuzzy_candidates", tables).filter(ratcliff(F.col("a"), F.col("b"), digits=9) >= 72).select("id", "term", "tier", F.lit("fuzzy").alias("match_type"))
+    partial = found.filter("match_type = 'partial' AND length(term) <= 60").join(close.select("id", "term"), ["id", "term"], "left_anti")
+    every = found.filter("match_type <> 'partial'").unionByName(partial).unionByName(close)
+    kind = F.create_map(*(F.lit(x) for x in ("exact", 0, "case_insensitive", 1, "partial", 2, "fuzzy", 3)))
+    score = F.create_map(*(F.lit(x) for x in ("exact", 1.0, "case_insensitive", 0.98, "partial", 0.85, "fuzzy", 0.72)))
+    order = F.when(F.col("tier") == "approved", 0).otherwise(10) + kind[F.col("match_type")]
+    place = F.row_number().over(Window.partitionBy("id").orderBy(order, F.length("term").desc(), "term"))
+    return every.select("id", "term", "tier", "match_type", score[F.col("match_type")].alias("score"), place.alias("rn")).filter("rn <= 15")
+
+
+def term_match_whole(spark, sf_dir):
+    return term_ladder_whole(spark, {t: table(spark, sf_dir, t) for t in tables_of("fuzzy_candidates") | tables_of("term_ladder")})
+
+
 def queries():
-    return {f.__name__: f for f in (versioned_merge, dup_components, dup_ratcliff_pairs, tsv_round_trip, tmx_round_trip, json_round_trip)}
+    return {f.__name__: f for f in (term_match_whole, versioned_merge, dup_components, dup_ratcliff_pairs, tsv_round_trip, tmx_round_trip, json_round_trip)}
 
 
 def oracle_sql():
