@@ -72,10 +72,13 @@ def contained_pairs(d, left: str, right: str) -> str:
     """SELECT a_id, a_t, b_id, b_t where the left text stands in the right."""
     if d.name == "duck":
         return f"SELECT a.id AS a_id, a.t AS a_t, b.id AS b_id, b.t AS b_t FROM {left} a, {right} b WHERE a.t <> '' AND contains(b.t, a.t)"
-    cut = lambda rel, k: f"SELECT id, explode(array_distinct(transform(sequence(1, length(t) - {k - 1}), i -> substring(t, i, {k})))) AS key FROM {rel} WHERE length(t) >= {k}"
-    grams = " UNION ALL ".join(cut(right, k) for k in (1, 2, 3))
+    gram = lambda k: "concat(" + ", ".join(f"element_at(c, i + {j})" for j in range(k)) + ")"
+    cut = lambda rel, k: f"SELECT id, explode(transform(sequence(1, size(c) - {k - 1}), i -> {gram(k)})) AS key FROM (SELECT id, split(t, '') AS c FROM {rel} WHERE length(t) >= {k}) x"
+    own = f"SELECT DISTINCT id, key FROM ({cut(left, 3)} UNION ALL SELECT id, t AS key FROM {left} WHERE length(t) BETWEEN 1 AND 2) w"
+    # Only grams that a left text has are kept, before anything is shuffled by them.
+    every = " UNION ALL ".join(cut(right, k) for k in (1, 2, 3))
+    grams = f"SELECT DISTINCT g.id, g.key FROM ({every}) g LEFT SEMI JOIN (SELECT DISTINCT key FROM ({own}) q) q ON g.key = q.key"
     counts = f"SELECT key, count(*) AS c FROM ({grams}) g GROUP BY key"
-    own = f"{cut(left, 3)} UNION ALL SELECT id, t AS key FROM {left} WHERE length(t) BETWEEN 1 AND 2"
     rarest = f"SELECT o.id, min_by(o.key, struct(k.c, o.key)) AS key, min(k.c) AS c FROM ({own}) o JOIN ({counts}) k ON o.key = k.key GROUP BY o.id"
     slots = f"CAST(ceil(c / {SLOT}e0) AS INT) AS slots"
     pairs = _dealt(f"SELECT r.id AS id, key, {slots} FROM ({rarest}) r", f"SELECT g.id, g.key, {slots} FROM ({grams}) g JOIN ({counts}) k ON g.key = k.key", "true", "true")
