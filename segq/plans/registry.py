@@ -19,9 +19,10 @@ def queries():
     from segq.operators.calls import queries as calls
     from segq.operators.providers import queries as providers
     from segq.sources.queries import queries as sources
+    from segq.sources.state_queries import queries as states
     from segq.streaming.queries import queries as streams
 
-    return spark_queries() | providers() | calls() | sources() | streams()
+    return spark_queries() | providers() | calls() | sources() | states() | streams()
 
 
 def oracle_sql():
@@ -29,6 +30,7 @@ def oracle_sql():
     from segq.operators.calls import oracle_sql as calls
     from segq.operators.providers import oracle_sql as providers
     from segq.sources.queries import oracle_sql as sources
+    from segq.sources.state_queries import oracle_sql as states
     from segq.streaming.queries import oracle_sql as streams
 
-    return oracle_texts() | providers() | calls() | sources() | streams()
+    return oracle_texts() | providers() | calls() | sources() | states() | streams()

@@ -32,12 +32,22 @@ class Versions:
         numbers = self.numbers()
         if not numbers or (number is not None and number not in numbers):
             raise ValueError(f"no version {number if number is not None else ''} under {self.path}")
-        return self.spark.read.parquet(f"{self.path}/versions/{number or numbers[-1]}")
+        return self.spark.read.parquet(self.folder(number or numbers[-1]))
 
     def write(self, rows: DataFrame) -> int:
         """A new version; fails if another writer has taken its number."""
-        number = (self.numbers() or [0])[-1] + 1
-        rows.write.parquet(f"{self.path}/versions/{number}")  # errors if the folder is there
+        number = self.next()
+        rows.write.parquet(self.folder(number))  # errors if the folder is there
+        return self.publish(number)
+
+    def next(self) -> int:
+        return (self.numbers() or [0])[-1] + 1
+
+    def folder(self, number: int) -> str:
+        return f"{self.path}/versions/{number}"
+
+    def publish(self, number: int) -> int:
+        """Makes a written folder a version."""
         draft = self._at(f"{self.path}/drafts/{number}")
         self._fs.create(draft, False).close()
         self._fs.mkdirs(self._at(f"{self.path}/marks"))
