@@ -1,9 +1,11 @@
-"""The nested state over the tables: documents are segments, parts are terms."""
+"""The nested state over the tables: documents are segments, parts are terms;
+and documents in workbooks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from segq.sources import sheets
 from segq.sources import state as S
 from segq.sources.shared import shared_path
 
@@ -96,8 +98,16 @@ def state_seed(spark, sf_dir):
     return S.seed_dump(_saved(spark, sf_dir, small=True)[1]).glossary.select("src", "tgt", "cat", "freq", "pos")
 
 
+def xlsx_round_trip(spark, sf_dir):
+    """Whole documents in workbooks of bounded size, and back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars", "text")
+    books = spark.read.parquet(sheets.write_workbooks(docs, shared_path(spark, "books"), sort_by=["doc_id"]))
+    rows = sheets.read_workbooks(books, "doc_id long, lang string, n_chars long, text string")
+    return rows.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def queries():
-    return {f.__name__: f for f in (state_segments, state_board, state_glossary, state_memory, state_seed)}
+    return {f.__name__: f for f in (xlsx_round_trip, state_segments, state_board, state_glossary, state_memory, state_seed)}
 
 
 CHANGED = """WITH s AS (SELECT doc_id, doc_id % 7 AS project_id, md5(text) AS source_md5, lang,
@@ -113,6 +123,7 @@ CASE WHEN toxic = 1 THEN 'rater: toxic' WHEN labelled THEN '' END AS notes FROM
 
 def oracle_sql():
     return {
+        "xlsx_round_trip": "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents",
         "state_segments": f"{CHANGED} SELECT * FROM c",
         "state_board": f"""{CHANGED} SELECT project_id, CASE status WHEN 'review' THEN 'translated' ELSE status END AS board_column,
 CASE risk WHEN 'critical' THEN 'urgent' ELSE risk END AS priority, count(*) AS cards FROM c WHERE status <> 'failed' GROUP BY ALL""",
