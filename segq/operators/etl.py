@@ -34,11 +34,11 @@ def audit_stats(d):
     return f"SELECT a.verdict, a.issues, count(*) AS n, round(avg(length(t.ru)), 3) AS mean_length, round(avg({d.size(d.words('t.ru'))}), 3) AS mean_words FROM audit_pairs a JOIN term_rows t ON a.pos = t.pos GROUP BY a.verdict, a.issues"
 
 
-@relation("term_rows")
+@relation("term_rows", "dangerous_mappings")
 def final_clean(d):
-    bad = " OR ".join(f"(contains(lower(ru), '{a}') AND lower(en) = '{b}')" for a, b in L.DANGEROUS)
-    rules = (("dangerous", bad), ("junk", d.has("en", "^[^A-Za-z]*$")), ("bracket_only", d.has("en", "^\\(.*\\)$")), ("too_many_words", f"{d.size(d.words('ru'))} > 12"), ("ratio", "length(ru) > 5 * length(en) OR length(en) > 5 * length(ru)"))
-    return "SELECT pos, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in rules) + " ELSE 'keep' END AS verdict FROM term_rows"
+    rules = (("dangerous", "m.pos IS NOT NULL"), ("junk", d.has("en", "^[^A-Za-z]*$")), ("bracket_only", d.has("en", "^\\(.*\\)$")), ("too_many_words", f"{d.size(d.words('ru'))} > 12"), ("ratio", "length(ru) > 5 * length(en) OR length(en) > 5 * length(ru)"))
+    verdict = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in rules) + " ELSE 'keep' END"
+    return f"SELECT t.pos, {verdict} AS verdict FROM term_rows t LEFT JOIN (SELECT DISTINCT pos FROM dangerous_mappings) m ON t.pos = m.pos"
 
 
 @relation("term_rows")

@@ -120,10 +120,16 @@ def glossary_violations(d):
     return f"SELECT p.id, g.term FROM ({held}) h JOIN pairs p ON h.b_id = p.id JOIN glossary g ON h.a_id = g.term WHERE trim(p.target_text) <> '' AND {none}"
 
 
-@relation("term_rows")
+@relation(query=False)
+def dangerous_pairs(d):
+    """Parts of headwords and targets that must never stand for them, in lower
+    case; an application binds its own table."""
+    return " UNION ALL ".join(f"SELECT '{a}' AS key, '{b}' AS bad" for a, b in L.DANGEROUS)
+
+
+@relation("term_rows", "dangerous_pairs")
 def dangerous_mappings(d):
-    rows = " UNION ALL ".join(f"SELECT '{a}' AS key, '{b}' AS bad" for a, b in L.DANGEROUS)
-    return f"SELECT t.pos, m.key FROM term_rows t JOIN ({rows}) m ON contains(lower(t.ru), m.key) AND lower(t.en) = m.bad"
+    return "SELECT t.pos, m.key FROM term_rows t JOIN dangerous_pairs m ON contains(lower(t.ru), m.key) AND lower(t.en) = m.bad"
 
 
 @relation("events")

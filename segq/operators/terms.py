@@ -5,11 +5,17 @@ from segq.operators.similarity_join import contained_pairs, phrase_pairs
 from segq.plans.core import relation
 
 
-@relation("nation", "part", query=False)
+@relation(query=False)
+def approved_terms(d):
+    """Terms that someone approved; an application binds its own table."""
+    return " UNION ALL ".join(f"SELECT '{w}' AS term" for w in ("the", "that", "with", "dans", "pour", "nicht", "para", "of the", "and the"))
+
+
+@relation("nation", "part", "approved_terms", query=False)
 def glossary(d):
     """Approved and reference terms; reference only where unseen."""
     ref = f"SELECT DISTINCT {d.item(d.words('p_name'), 1)} AS term, 'reference' AS tier FROM part WHERE p_name IS NOT NULL"
-    base = " UNION ALL ".join(f"SELECT '{w}' AS term, 'approved' AS tier" for w in ("the", "that", "with", "dans", "pour", "nicht", "para", "of the", "and the"))
+    base = "SELECT term, 'approved' AS tier FROM approved_terms"
     return f"SELECT lower(term) AS term, min(tier) AS tier, 'T:' || lower(term) || '; ' || upper(lower(term)) AS target FROM ({base} UNION ALL {ref} UNION ALL SELECT n_name AS term, 'reference' AS tier FROM nation) g WHERE length(term) >= 2 GROUP BY lower(term)"
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Container
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,22 +50,23 @@ def dense(rel: str, key: str, *before: str) -> str:
     return f"SELECT b.*, CAST(o.ahead + row_number() OVER (PARTITION BY {inner} ORDER BY b.{key}) AS BIGINT) AS place FROM ({block}) b JOIN ({offsets}) o ON {same}"
 
 
-def order(name: str, seen: list[str] | None = None) -> list[str]:
-    """The relation's dependencies, innermost first, then itself."""
+def order(name: str, bound: Container[str] = (), seen: list[str] | None = None) -> list[str]:
+    """The relation's dependencies, innermost first, then itself; those that
+    are bound to tables count as tables."""
     seen = [] if seen is None else seen
-    if name in RELATIONS and name not in seen:
+    if name in RELATIONS and name not in bound and name not in seen:
         for need in RELATIONS[name][1]:
-            order(need, seen)
+            order(need, bound, seen)
         seen.append(name)
     return seen
 
 
-def tables_of(name: str) -> set[str]:
-    return {need for part in order(name) for need in RELATIONS[part][1] if need not in RELATIONS}
+def tables_of(name: str, bound: Container[str] = ()) -> set[str]:
+    return {need for part in order(name, bound) for need in RELATIONS[part][1] if need not in RELATIONS or need in bound}
 
 
-def render(name: str, dialect=SPARK) -> str:
-    *inner, last = order(name)
+def render(name: str, dialect=SPARK, bound: Container[str] = ()) -> str:
+    *inner, last = order(name, bound)
     text = RELATIONS[last][0](dialect)
     if not inner:
         return text
@@ -75,18 +76,22 @@ def render(name: str, dialect=SPARK) -> str:
 
 def run(spark: SparkSession, name: str, tables: dict[str, DataFrame], **lists) -> DataFrame:
     """The relation over the tables given (by name), with other word lists in
-    place of the defaults (``UNITS=("mg",)``).  Tables are bound for this text
-    alone: views of the session keep their names and contents."""
+    place of the defaults (``UNITS=("mg",)``).  A table given under the name of
+    a relation inside this one takes its place: ``forbidden``, ``glossary``,
+    ``approved_terms`` or ``dangerous_pairs`` may be files of any size.  Tables
+    are bound for this text alone: views of the session keep their names and
+    contents."""
+    bound = set(tables) - {name}
     with using(**lists):
-        text = render(name)
-    own = {need: f"{need}_{uuid.uuid4().hex}" for need in sorted(tables_of(name))}
+        text = render(name, bound=bound)
+    own = {need: f"{need}_{uuid.uuid4().hex}" for need in sorted(tables_of(name, bound))}
     for need, view in own.items():
         tables[need].createOrReplaceTempView(view)
     try:
-        bound = ",\n".join(f"{need} AS (SELECT * FROM {view})" for need, view in own.items())
-        if bound:
+        views = ",\n".join(f"{need} AS (SELECT * FROM {view})" for need, view in own.items())
+        if views:
             kind, rest = re.match(r"(WITH (?:RECURSIVE )?)?(.*)", text, re.S).groups()
-            text = f"{kind}{bound},\n{rest}" if kind else f"WITH {bound}\n{text}"
+            text = f"{kind}{views},\n{rest}" if kind else f"WITH {views}\n{text}"
         return spark.sql(text)
     finally:
         for view in own.values():
