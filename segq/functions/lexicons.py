@@ -69,3 +69,45 @@ DANGEROUS = (("left", "right"), ("plate", "brand#8"), ("ring", "brand#19"))
 TYPOS = (("teh", "the"), ("recieve", "receive"), ("seperate", "separate"), ("occured", "occurred"), ("adress", "address"), ("definately", "definitely"), ("goverment", "government"), ("wich", "which"))
 ADJECTIVES = ("al", "ous", "ic", "ive", "ful", "ish", "ary")
 GENERIC = ("system", "method", "value", "type", "part", "brand")
+
+#: Fixed values: (rule, type, label, source phrases, expected, opposite) of the
+#: six paired meaning rules.
+PAIR_RULES = (
+    ("laterality_left", "laterality_shift", "left/right", ("левый", "левая", "левое", "левой", "слева"), ("left",), ("right",)),
+    ("laterality_right", "laterality_shift", "left/right", ("правый", "правая", "правое", "правой", "справа"), ("right",), ("left",)),
+    ("inner", "inner_outer_shift", "inner/outer", ("внутренний", "внутренняя", "внутреннее", "внутренней"), ("inner", "internal"), ("outer", "external")),
+    ("outer", "inner_outer_shift", "inner/outer", ("наружный", "наружная", "наружное", "наружной", "внешний"), ("outer", "external"), ("inner", "internal")),
+    ("upper", "upper_lower_shift", "upper/lower", ("верхний", "верхняя", "верхнее", "верхней"), ("upper",), ("lower",)),
+    ("lower", "upper_lower_shift", "upper/lower", ("нижний", "нижняя", "нижнее", "нижней"), ("lower",), ("upper",)),
+    # Of the test tables.
+    ("left", "laterality_shift", "left/right", ("left", "links", "gauche"), ("left",), ("right",)),
+    ("high", "upper_lower_shift", "upper/lower", ("high", "of the"), ("high",), ("low", "of a")),
+)
+#: Fixed values but for the explanations: (bad, preferred, source phrase, type,
+#: severity, explanation) of the six style rules.
+STYLE_RULES = (
+    ("outer circuit", "outer contour", "контур", "terminology", "major", "An outline is a contour, not a circuit."),
+    ("bay-like", "scalloped", "бухтообразный", "literal_calque", "major", "A literal calque; radiology says scalloped."),
+    ("lung root", "hilar region", "корень легкого", "terminology", "major", "The root of the lung is the hilum or hilar region."),
+    ("enlightenment", "radiolucency", "просветление", "terminology", "major", "On a radiograph this is radiolucency."),
+    ("decay", "cavitation", "распад", "terminology", "major", "Breakdown of tissue is cavitation or destruction."),
+    ("hearth", "focus", "очаг", "terminology", "major", "A focus, lesion or opacity, not a hearth."),
+    # Of the test tables.
+    ("in the", "within", "", "weak_collocation", "minor", "A weak collocation."),
+)
+#: Negations of either side.
+NEGATION_SOURCE = ("не", "нет", "без", "отрицает", "исключено", "не выявлено")
+NEGATION_TARGET = ("no", "not", "without", "denies", "denied", "negative for", "not detected", "not identified")
+#: Fixed values, as patterns: units that count behind a number.
+ISSUE_UNITS = ("mg", "mcg", "kg", "ml", "mm hg", "mmhg", "mm", "cm", "bpm", "iu", "u/l", "mmol/l", "мг", "мкг", "кг", "мл", "мм рт[.]? ст[.]?", "мм", "см")
+#: Terms and targets that the glossary rule passes over.
+ISSUE_SKIP_TERMS = ("сахар", "нос", "отношение", "первичный")
+ISSUE_SKIP_TARGETS = ("sugar", "nose", "attitude", "white")
+#: Time that the rows of a run bear.
+RUN_TIME = ("2024-05-01T10:00:00Z",)
+
+#: US dollars a million tokens in and out, and a million
+#: characters of machine translation.
+PRICES = (("translate_in", 5), ("translate_out", 15), ("qa_in", 5), ("qa_out", 15), ("backcheck_in", 5), ("backcheck_out", 15), ("safety_in", 5), ("safety_out", 15), ("mt", 25))
+#: Prices of a run in place of those; names that are not among them are passed over.
+PRICE_OVERRIDES = ()

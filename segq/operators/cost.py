@@ -1,5 +1,6 @@
 """Token and cost arithmetic."""
 
+from segq.functions import lexicons as L
 from segq.plans.core import relation
 
 
@@ -40,9 +41,14 @@ def step_cost(d):
     return f"SELECT id, {costs()} FROM token_estimate"
 
 
+def price(name: str) -> str:
+    """US dollars a million: the override of the run, else the default."""
+    return f"{float(dict(L.PRICES, **{k: v for k, v in dict(L.PRICE_OVERRIDES).items() if k in dict(L.PRICES)})[name])!r}e0"
+
+
 def costs():
-    usd = lambda s: f"floor(({s}_in * 5 + {s}_out * 15 + 50) / 1e2) / 1e4 AS {s}_usd"  # noqa: E731  half up, in whole hundredths of a cent
-    return f"{usd('translate')}, {usd('qa')}, {usd('backcheck')}, {usd('safety')}, floor((n_chars * 25 + 50) / 1e2) / 1e4 AS mt_usd, translate_in + translate_out + qa_in + qa_out + backcheck_in + backcheck_out + safety_in + safety_out AS total_tokens"
+    usd = lambda s: f"floor(({s}_in * {price(s + '_in')} + {s}_out * {price(s + '_out')} + 50) / 1e2) / 1e4 AS {s}_usd"  # noqa: E731  half up, in whole hundredths of a cent
+    return f"{usd('translate')}, {usd('qa')}, {usd('backcheck')}, {usd('safety')}, floor((n_chars * {price('mt')} + 50) / 1e2) / 1e4 AS mt_usd, translate_in + translate_out + qa_in + qa_out + backcheck_in + backcheck_out + safety_in + safety_out AS total_tokens"
 
 
 @relation("step_cost")
@@ -75,16 +81,6 @@ def web_cost_model(d):
     return "SELECT route, sum(n_words) AS words, round(sum(n_words * 2e-3), 2) AS baseline, round(sum(n_words * CASE WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING') THEN 0e0 WHEN route = 'GOOGLE_SAFE' THEN 2e-4 ELSE 2e-3 END), 2) AS optimised FROM routed GROUP BY route"
 
 
-@relation("route_decision")
-def mt_preview(d):
-    return "SELECT count(*) AS eligible, CAST(ceil(count(*) / 5e1) AS BIGINT) AS batches, round(coalesce(sum(n_chars), 0) / 1e6 * 20, 4) AS usd, round(count(*) * 8e-3, 3) AS saved FROM route_decision WHERE route = 'GOOGLE_SAFE' AND safe_confidence >= 98e-2"
-
-
-@relation("route_decision", "segments")
-def gpt_preview(d):
-    return "SELECT r.route, count(*) AS eligible, CAST(ceil(count(*) / 1e1) AS BIGINT) AS batches, CAST(floor(count(*) * (avg(r.n_chars) / 4 * 23e-1 + 700)) AS BIGINT) AS tokens FROM route_decision r WHERE r.route IN ('GPT_REQUIRED', 'GPT_WITH_GLOSSARY_REQUIRED') GROUP BY r.route"
-
-
 @relation("route_decision", "segments")
 def batch_groups(d):
     bucket = "CASE WHEN r.n_chars < 100 THEN 'short' WHEN r.n_chars < 300 THEN 'medium' WHEN r.n_chars < 500 THEN 'long' ELSE 'very_long' END"

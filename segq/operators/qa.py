@@ -123,21 +123,3 @@ def glossary_use(d):
 @relation("pairs")
 def qa_report(d):
     return "SELECT id, substring(source_text, 1, 50) AS source_preview, substring(target_text, 1, 50) AS target_preview, CASE WHEN target_text <> '' THEN 'translated' ELSE 'new' END AS status FROM pairs WHERE target_text <> ''"
-
-
-@relation("medical_issues")
-def ui_issues(d):
-    """Issues as the user interface shows them."""
-    return "SELECT id, CASE severity WHEN 'critical' THEN 'high' WHEN 'major' THEN 'high' WHEN 'medium' THEN 'mid' ELSE 'low' END AS sev, type, 'check: ' || replace(type, '_', ' ') || ' (' || severity || ')' AS msg FROM medical_issues"
-
-
-@relation("medical_issues", "pairs")
-def term_candidates(d):
-    """Issues of terms with a fragment of the source, for the glossary."""
-    return f"SELECT i.id, i.type, p.source_text AS fragment FROM medical_issues i JOIN pairs p ON i.id = p.id WHERE {d.starts('i.type', "'pair_'")} OR i.type IN ('unit_lost', 'negation')"
-
-
-@relation("issue_risk", "pairs")
-def medical_write_back(d):
-    """Status and risk of a segment by the color of its issues."""
-    return "SELECT p.id, CASE r.color WHEN 'red' THEN 'review' WHEN 'yellow' THEN 'translated' ELSE 'qa' END AS status, CASE r.color WHEN 'red' THEN 'high' WHEN 'yellow' THEN 'medium' ELSE 'low' END AS risk, CASE r.color WHEN 'red' THEN 'human_review' WHEN 'yellow' THEN 'auto_revise' ELSE 'accept_or_random_audit' END AS route FROM pairs p JOIN issue_risk r ON p.id = r.id WHERE trim(p.target_text) <> ''"

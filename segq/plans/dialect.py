@@ -29,6 +29,7 @@ class Spark:
     last_known = staticmethod(lambda x, over: f"last_value({x}) IGNORE NULLS OVER ({over})")
     joined = staticmethod(lambda x, sep=",": f"array_join(array_sort(collect_list({x})), '{sep}')")
     joined_set = staticmethod(lambda x, sep=",": f"array_join(array_sort(collect_set({x})), '{sep}')")
+    joined_by = staticmethod(lambda x, by, sep: f"array_join(transform(array_sort(collect_list(CASE WHEN ({x}) IS NOT NULL THEN struct({by} AS k, {x} AS v) END)), y -> y.v), '{sep}')")
     item = staticmethod(lambda a, i: f"get({a}, {i} - 1)")
     chars = staticmethod(lambda s: f"length({s})")
     json = staticmethod(lambda c, key: f"get_json_object({c}, '$.{key}')")
@@ -130,6 +131,7 @@ class Duck(Spark):
     last_known = staticmethod(lambda x, over: f"last_value({x} IGNORE NULLS) OVER ({over})")
     joined = staticmethod(lambda x, sep=",": f"coalesce(string_agg({x}, '{sep}' ORDER BY {x}), '')")
     joined_set = staticmethod(lambda x, sep=",": f"coalesce(string_agg(DISTINCT {x}, '{sep}' ORDER BY {x}), '')")
+    joined_by = staticmethod(lambda x, by, sep: f"coalesce(string_agg({x}, '{sep}' ORDER BY {by}, {x}), '')")
     item = staticmethod(lambda a, i: f"({a})[{i}]")
     json = staticmethod(lambda c, key: f"json_extract_string({c}, '$.{key}')")
 

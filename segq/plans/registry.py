@@ -6,7 +6,7 @@ import importlib
 
 from segq.plans.core import oracle_texts, spark_queries
 
-MODULES = ("duplicates", "memory", "terms", "scoring", "routing", "cost", "qa", "consistency", "approval", "glossary", "text_rules", "dml", "pages", "filters", "report", "scalars", "etl", "mutations")
+MODULES = ("duplicates", "memory", "terms", "scoring", "routing", "cost", "qa", "issues", "consistency", "approval", "glossary", "text_rules", "dml", "pages", "filters", "report", "scalars", "etl", "mutations")
 
 
 def _load() -> None:
