@@ -124,8 +124,8 @@ def open_for(statuses) -> str:
 @relation("routed", "segment_state", query=False)
 def mt_candidates(d):
     """Segments of the machine route, and why one is in no batch."""
-    few = d.settled("SELECT id, route, safe_confidence, length(source_text) AS n_chars FROM routed")
-    return f"SELECT r.id, r.n_chars, CASE {open_for(MT_STATUS)} WHEN r.safe_confidence < 98e-2 THEN 'confidence' END AS reason FROM ({few}) r LEFT JOIN segment_state t ON r.id = t.id WHERE r.route = 'GOOGLE_SAFE'"
+    rows = f"SELECT r.id, r.route, length(r.source_text) AS n_chars, CASE {open_for(MT_STATUS)} WHEN r.safe_confidence < 98e-2 THEN 'confidence' END AS reason FROM routed r LEFT JOIN segment_state t ON r.id = t.id"
+    return f"SELECT id, n_chars, reason FROM ({d.settled(rows)}) c WHERE route = 'GOOGLE_SAFE'"
 
 
 @relation("mt_candidates")
@@ -144,8 +144,8 @@ def mt_preview(d):
 
 @relation("routed", "segment_state", query=False)
 def gpt_candidates(d):
-    few = d.settled("SELECT id, route, length(source_text) AS n_chars FROM routed")
-    return f"SELECT r.id, r.route, r.n_chars, CASE {open_for(GPT_STATUS)} END AS reason FROM ({few}) r LEFT JOIN segment_state t ON r.id = t.id WHERE r.route IN ('GPT_REQUIRED', 'GPT_WITH_GLOSSARY_REQUIRED')"
+    rows = f"SELECT r.id, r.route, length(r.source_text) AS n_chars, CASE {open_for(GPT_STATUS)} END AS reason FROM routed r LEFT JOIN segment_state t ON r.id = t.id"
+    return f"SELECT id, route, n_chars, reason FROM ({d.settled(rows)}) c WHERE route IN ('GPT_REQUIRED', 'GPT_WITH_GLOSSARY_REQUIRED')"
 
 
 @relation("gpt_candidates")
@@ -163,6 +163,6 @@ def gpt_preview(d):
 def tm_prefill_batch(d):
     """Segments of the memory's route without a target take the memory's, at no
     cost; those of low risk without forbidden words and numbers are confirmed."""
-    few = d.settled(f"SELECT id, route, level, n_forbidden_post, n_numbers, {d.sha(d.norm('source_text'))} AS h FROM routed")
+    rows = f"SELECT r.id, r.route, r.level, r.n_forbidden_post, r.n_numbers, coalesce(t.target_text, '') AS own_target, {d.sha(d.norm('r.source_text'))} AS h FROM routed r LEFT JOIN segment_state t ON r.id = t.id"
     return f"""SELECT r.id, m.target_text, 'TM' AS provider, CASE WHEN r.level = 'LOW' AND r.n_forbidden_post = 0 AND r.n_numbers = 0 THEN 'confirmed' ELSE 'tm_prefilled' END AS status, 100 AS score, 0e0 AS usd, 8e-3 AS saving
-FROM ({few}) r JOIN memory m ON r.h = m.source_hash LEFT JOIN segment_state t ON r.id = t.id WHERE r.route = 'EXACT_TM' AND coalesce(t.target_text, '') = ''"""
+FROM ({d.settled(rows)}) r JOIN memory m ON r.h = m.source_hash WHERE r.route = 'EXACT_TM' AND r.own_target = ''"""
