@@ -33,6 +33,8 @@ class Spark:
     item = staticmethod(lambda a, i: f"get({a}, {i} - 1)")
     chars = staticmethod(lambda s: f"length({s})")
     json = staticmethod(lambda c, key: f"get_json_object({c}, '$.{key}')")
+    #: Rows where the test holds; null, as in DuckDB, where it is known for no row.
+    count_if = staticmethod(lambda test: f"sum(CASE WHEN {test} THEN 1 WHEN NOT ({test}) THEN 0 END)")
 
     @staticmethod
     def rx(p: str) -> str:
@@ -134,6 +136,7 @@ class Duck(Spark):
     joined_by = staticmethod(lambda x, by, sep: f"coalesce(string_agg({x}, '{sep}' ORDER BY {by}, {x}), '')")
     item = staticmethod(lambda a, i: f"({a})[{i}]")
     json = staticmethod(lambda c, key: f"json_extract_string({c}, '$.{key}')")
+    count_if = staticmethod(lambda test: f"count_if({test})")
 
     @staticmethod
     def rx(p: str) -> str:

@@ -47,3 +47,16 @@ def test_consistency_term_finds_phrases_and_parts_of_words(spark):
     tables = {"conversations": ("conv_id long, turn int, role string, text string", turns), "part": (PART, [(1, "ring", "b", "t", 1, 1.0)]), "nation": ("n_nationkey int, n_name string", [(1, "FRANCE")])}
     got = {r.term: (r.n_targets, r.n) for r in bound(spark, "consistency_term", **tables)}
     assert got == {"of the": (2, 2), "the": (2, 2), "with": (2, 2)}
+
+
+def test_projects_without_segments_are_as_in_their_sql(spark):
+    import duckdb
+
+    customers, orders = [(1,), (2,), (3,)], [(10, 1, "F"), (11, 1, "O"), (12, 3, "O"), (13, 9, "F")]
+    got = bound(spark, "project_stats", customer=("c_custkey long", customers), orders=("o_orderkey long, o_custkey long, o_orderstatus string", orders))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT unnest([1, 2, 3]) AS c_custkey")
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR)")
+    con.executemany("INSERT INTO orders VALUES (?, ?, ?)", orders)
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(registry.oracle_sql()["project_stats"]).fetchall())
+    assert (2, 0, None, None) in {tuple(r) for r in got}
