@@ -10,8 +10,10 @@ gram.  Repeated grams are numbered.  Lengths must agree as the ratio asks: a
 gram is joined inside geometric bands of length, and a text stands in its own
 band and, on the right, in the next two.
 
-``contained_pairs``: a inside b.  The left text offers one gram, its rarest of
-three characters (or itself, if shorter); the right one all of its grams.
+``contained_pairs``: a inside b.  At most ``FEW`` left texts are looked for in
+each right text as it is read, and nothing is shuffled.  Of more, the left text
+offers one gram, its rarest of three characters (or itself, if shorter); the
+right one all of its grams.
 
 ``phrase_pairs``: the words of a stand in b in a row.  The left text offers its
 rarest word.
@@ -25,6 +27,8 @@ from math import floor, log
 
 #: Texts of a gram in one slot.
 SLOT = 2048
+#: Texts that are looked for one by one in each row of the other side.
+FEW = 256
 WORDS_OF, WORD = "lower(coalesce(t, ''))", r"[\p{L}\p{N}_]+"
 
 
@@ -68,21 +72,34 @@ def edit_pairs(d, left: str, right: str, ratio: float) -> str:
     return f"SELECT a_id, a_t, b_id, b_t, similarity FROM (SELECT p.a_id, a.t AS a_t, p.b_id, b.t AS b_t, {similar} AS similarity FROM ({pairs}) p JOIN {left} a ON p.a_id = a.id JOIN {right} b ON p.b_id = b.id) v WHERE similarity >= {ratio}e0"
 
 
+def few(rel: str, row: str) -> str:
+    """Array of ``row`` (a struct) of the relation's rows with a text if they
+    are ``FEW`` at most, else null; never more than one beyond that are held."""
+    return f"(SELECT CASE WHEN count(*) <= {FEW} THEN collect_list(r) END FROM (SELECT {row} AS r FROM {rel} WHERE t <> '' LIMIT {FEW + 1}) f)"
+
+
+def many(rel: str) -> str:
+    """Whether the relation has more texts than ``few`` takes."""
+    return f"(SELECT count(*) FROM (SELECT 1 AS one FROM {rel} WHERE t <> '' LIMIT {FEW + 1}) f) > {FEW}"
+
+
 def contained_pairs(d, left: str, right: str) -> str:
     """SELECT a_id, a_t, b_id, b_t where the left text stands in the right."""
     if d.name == "duck":
         return f"SELECT a.id AS a_id, a.t AS a_t, b.id AS b_id, b.t AS b_t FROM {left} a, {right} b WHERE a.t <> '' AND contains(b.t, a.t)"
+    row = few(left, "struct(id AS a_id, t AS a_t)")
+    each = f"SELECT h.a_id, h.a_t, b_id, b_t FROM (SELECT id AS b_id, t AS b_t, explode(filter(asked, x -> contains(t, x.a_t))) AS h FROM (SELECT *, {row} AS asked FROM {right}) a) e"
     gram = lambda k: "concat(" + ", ".join(f"element_at(c, i + {j})" for j in range(k)) + ")"
     cut = lambda rel, k: f"SELECT id, explode(transform(sequence(1, size(c) - {k - 1}), i -> {gram(k)})) AS key FROM (SELECT id, split(t, '') AS c FROM {rel} WHERE length(t) >= {k}) x"
     own = f"SELECT DISTINCT id, key FROM ({cut(left, 3)} UNION ALL SELECT id, t AS key FROM {left} WHERE length(t) BETWEEN 1 AND 2) w"
     # Only grams that a left text has are kept, before anything is shuffled by them.
-    every = " UNION ALL ".join(cut(right, k) for k in (1, 2, 3))
+    every = " UNION ALL ".join(cut(f"(SELECT * FROM {right} WHERE {many(left)})", k) for k in (1, 2, 3))
     grams = f"SELECT DISTINCT g.id, g.key FROM ({every}) g LEFT SEMI JOIN (SELECT DISTINCT key FROM ({own}) q) q ON g.key = q.key"
     counts = f"SELECT key, count(*) AS c FROM ({grams}) g GROUP BY key"
     rarest = f"SELECT o.id, min_by(o.key, struct(k.c, o.key)) AS key, min(k.c) AS c FROM ({own}) o JOIN ({counts}) k ON o.key = k.key GROUP BY o.id"
     slots = f"CAST(ceil(c / {SLOT}e0) AS INT) AS slots"
     pairs = _dealt(f"SELECT r.id AS id, key, {slots} FROM ({rarest}) r", f"SELECT g.id, g.key, {slots} FROM ({grams}) g JOIN ({counts}) k ON g.key = k.key", "true", "true")
-    return f"SELECT a_id, a_t, b_id, b_t FROM (SELECT p.a_id, a.t AS a_t, p.b_id, b.t AS b_t FROM ({pairs}) p JOIN {left} a ON p.a_id = a.id JOIN {right} b ON p.b_id = b.id) v WHERE contains(b_t, a_t)"
+    return f"{each} UNION ALL SELECT a_id, a_t, b_id, b_t FROM (SELECT p.a_id, a.t AS a_t, p.b_id, b.t AS b_t FROM ({pairs}) p JOIN {left} a ON p.a_id = a.id JOIN (SELECT * FROM {right} WHERE {many(left)}) b ON p.b_id = b.id) v WHERE contains(b_t, a_t)"
 
 
 def phrase_pairs(d, terms: str, texts: str) -> str:
