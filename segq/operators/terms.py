@@ -1,7 +1,7 @@
 """Terminology: tokens, candidates, ladders, forbidden pairs, coverage."""
 
 from segq.functions import lexicons as L
-from segq.operators.similarity_join import contained_pairs, phrase_pairs
+from segq.operators.similarity_join import contained_pairs, few, many, phrase_pairs
 from segq.plans.core import relation
 
 
@@ -63,14 +63,23 @@ def stems(d, term: str) -> str:
 def term_stem(d):
     """Terms of one or more words in any ending: the term itself anywhere, else
     its stems in a row from the beginning of a word; the form found.  A term is
-    asked for by the first letters of its longest stem."""
+    asked for by the first letters of its longest stem, which begin a word; few
+    terms are looked for in each segment as it is read."""
     held = contained_pairs(d, "(SELECT term AS id, term AS t FROM glossary)", "(SELECT id, lower(source_text) AS t FROM segments)")
     longest = f"{d.item(d.by_length(d.words('term')), 1)}"
     keys = f"SELECT term, {stems(d, 'term')} AS pattern, substring({longest}, 1, 4) AS head FROM glossary WHERE trim(term) <> ''"
-    heads = f"SELECT DISTINCT id, head FROM (SELECT id, {d.explode(d.heads(d.distinct(d.all('lower(source_text)', '[^ ' + chr(92) + 't' + chr(92) + 'n]+'))))} AS head FROM segments) h"
+    terms = "(SELECT *, term AS t FROM glossary)"
+    rows = "segments" if d.name == "duck" else f"(SELECT * FROM segments WHERE {many(terms)})"
+    heads = f"SELECT DISTINCT id, head FROM (SELECT id, {d.explode(d.heads(d.distinct(d.all('lower(source_text)', '[^ ' + chr(92) + 't' + chr(92) + 'n]+'))))} AS head FROM {rows}) h"
     near = f"SELECT DISTINCT s.id, g.term, g.pattern FROM ({heads}) s JOIN ({keys}) g ON s.head = g.head"
+    each = ""
+    if d.name == "spark":
+        asked = few(f"(SELECT *, term AS t FROM ({keys}) k)", "struct(term, pattern, ' ' || head AS head)")
+        spaced = "' ' || replace(replace(low, chr(9), ' '), chr(10), ' ')"
+        found = f"SELECT id, low, explode(filter(asked, x -> contains(spaced, x.head) AND NOT contains(low, x.term))) AS g FROM (SELECT id, low, {spaced} AS spaced, {asked} AS asked FROM (SELECT id, lower(source_text) AS low FROM segments WHERE id IS NOT NULL) l) p WHERE NOT {many(terms)}"
+        each = f"UNION ALL SELECT id, term, form FROM (SELECT id, g.term, {d.ext_of('low', 'g.pattern', 2)} AS form FROM ({found}) f) w WHERE form <> ''\n"
     return f"""SELECT id, term, term AS form FROM (SELECT b_id AS id, a_id AS term FROM ({held}) h) e
-UNION ALL SELECT id, term, form FROM (SELECT n.id, n.term, {d.ext_of('lower(s.source_text)', 'n.pattern', 2)} AS form, contains(lower(s.source_text), n.term) AS exact FROM ({near}) n JOIN segments s ON n.id = s.id) m WHERE NOT exact AND form <> ''"""
+{each}UNION ALL SELECT id, term, form FROM (SELECT n.id, n.term, {d.ext_of('lower(s.source_text)', 'n.pattern', 2)} AS form, contains(lower(s.source_text), n.term) AS exact FROM ({near}) n JOIN {rows} s ON n.id = s.id) m WHERE NOT exact AND form <> ''"""
 
 
 @relation("token_candidates", "segments", query=False)

@@ -85,3 +85,26 @@ def test_bound_tables_leave_the_session_alone(spark):
     assert core.run(spark, "dup_assign", {"part": part}).count() == 1 and spark.table("part").count() == 3
     spark.catalog.dropTempView("part")
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("part_")]
+
+
+def test_few_texts_are_looked_for_row_by_row_and_many_by_key(spark, monkeypatch):
+    from test_whole import documents
+
+    from segq.operators import similarity_join
+
+    left, right = texts(60, 3), [(1000 + i, t + " " + u) for (i, t), (_, u) in zip(texts(60, 4), texts(60, 5))]
+    spark.createDataFrame(left, "id long, t string").createOrReplaceTempView("few_left")
+    spark.createDataFrame(right, "id long, t string").createOrReplaceTempView("few_right")
+    one = spark.sql("SELECT * FROM (VALUES ('larger'), ('in vitro'), ('  ')) v(term)")
+    tables = {"nation": spark.createDataFrame([("FRANCE",)], "n_name string"), "part": spark.createDataFrame([("large ring",)], "p_name string"), "approved_terms": one}
+    schema, rows = documents((1, "Larger rings"), (2, "a larges\tIN  VITROS"), (3, 'say "largest'), (4, None), (5, "enlarge it  in vitro"))
+    tables["documents"] = spark.createDataFrame(rows, schema)
+    got = []
+    for limit in (256, 0):
+        monkeypatch.setattr(similarity_join, "FEW", limit)
+        pairs = spark.sql(contained_pairs(SPARK, "few_left", "few_right"))
+        stems = core.run(spark, "term_stem", tables)
+        got.append((sorted((r.a_id, r.b_id) for r in pairs.collect()), sorted(tuple(r) for r in stems.collect())))
+    assert got[0] == got[1]
+    assert got[0][0] == sorted((i, j) for i, a in left for j, b in right if a and a in b)
+    assert got[0][1] == [(1, "large", "large"), (1, "larger", "larger"), (2, "  ", "  "), (2, "in vitro", "in  vitros"), (2, "large", "large"), (2, "larger", "larges"), (3, "large", "large"), (5, "  ", "  "), (5, "in vitro", "in vitro"), (5, "large", "large")]
