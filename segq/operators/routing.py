@@ -1,7 +1,7 @@
 """Routing, policies, workflow and QA depth."""
 
 from segq.operators.scoring import INTENT
-from segq.plans.core import dense, relation
+from segq.plans.core import BLOCK, dense, relation
 
 DEPTH = """CASE WHEN level = 'CRITICAL' THEN 4 WHEN level = 'HIGH' THEN 3 WHEN route IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'GOOGLE_SAFE') THEN 0 WHEN route = 'GPT_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 1 ELSE 0 END
 WHEN route = 'GPT_WITH_GLOSSARY_REQUIRED' THEN CASE WHEN level = 'MEDIUM' THEN 2 ELSE 1 END WHEN route = 'HUMAN_REVIEW_REQUIRED' THEN 4 ELSE 1 END"""
@@ -11,7 +11,9 @@ NAMES = "CASE {} WHEN 0 THEN 'local_only' WHEN 1 THEN 'local_plus_light_gpt' WHE
 @relation("segments", "memory", query=False)
 def context(d):
     """Memory score and duplicate group of each segment."""
-    hashed = f"SELECT id, {d.sha(d.norm('source_text'))} AS h FROM segments"
+    hashed = f"SELECT id, {d.key(d.norm('source_text'))} AS h FROM segments"
+    if d.name == "spark":
+        hashed += " DISTRIBUTE BY h"  # one exchange serves the rows and their groups
     return f"SELECT s.id, CASE WHEN m.id IS NOT NULL AND m.id <> s.id THEN 100 ELSE 0 END AS tm_score, CASE WHEN g.n > 1 THEN g.first_id END AS group_id, s.id = g.first_id AS is_representative FROM ({hashed}) s JOIN (SELECT h, count(*) AS n, min(id) AS first_id FROM ({hashed}) x GROUP BY h) g ON s.h = g.h LEFT JOIN memory m ON s.h = m.source_hash"
 
 
@@ -55,10 +57,22 @@ def route_histogram(d):
 PRIORITY = "CASE route WHEN 'EXACT_TM' THEN 0 WHEN 'DUPLICATE_PROPAGATION_PENDING' THEN 1 WHEN 'GOOGLE_SAFE' THEN 2 WHEN 'DUPLICATE_REPRESENTATIVE' THEN 3 WHEN 'GPT_REQUIRED' THEN 4 WHEN 'GPT_WITH_GLOSSARY_REQUIRED' THEN 5 WHEN 'HUMAN_REVIEW_REQUIRED' THEN 6 ELSE 99 END"
 
 
+def dense_once(rows: str) -> str:
+    """``dense`` of (id, route, priority, block), none of them null: the blocks
+    are counted and numbered from one exchange, so routes are evaluated once.
+    The last condition always holds; it keeps the columns of both sides alike."""
+    dealt = f"SELECT id, route, priority, block FROM ({rows}) r DISTRIBUTE BY priority, block"
+    sizes = f"SELECT priority, block, count(*) AS size FROM ({dealt}) s GROUP BY priority, block HAVING max(length(route)) >= 0 AND max(id) IS NOT NULL"
+    offsets = f"SELECT priority, block, sum(size) OVER (ORDER BY priority, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM ({sizes}) z"
+    return f"SELECT b.id, b.route, b.priority, CAST(o.ahead + row_number() OVER (PARTITION BY b.priority, b.block ORDER BY b.id) AS BIGINT) AS place FROM ({dealt}) b JOIN ({offsets}) o ON b.priority = o.priority AND b.block = o.block"
+
+
 @relation("route_decision")
 def batch_order(d):
     """Priority of each route, and the place of the segment in the whole order
     (numbered block by block, so no task sorts a route)."""
+    if d.name == "spark":
+        return dense_once(f"SELECT id, route, {PRIORITY} AS priority, coalesce(CAST(floor(id / {BLOCK}e0) AS BIGINT), -1) AS block FROM route_decision")
     numbered = dense(f"(SELECT id, route, {PRIORITY} AS priority FROM route_decision)", "id", "priority")
     return f"SELECT id, route, priority, place FROM ({numbered}) n"
 

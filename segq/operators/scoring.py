@@ -15,16 +15,22 @@ def features(d):
     among = lambda words: d.size(d.filter("hits", f"x IN ({quoted(words)})"))
     lists = {"polarity": L.POLARITY, "course": L.COURSE, "direction": L.DIRECTION, "diagnosis": L.DIAGNOSIS, "treatment": L.TREATMENT, "lab": L.LAB, "procedures": L.PROCEDURE, "medication": L.MEDICATION, "logic": L.LOGIC, "danger": L.DANGER, "degrees": L.DEGREES, "institution": L.INSTITUTION, "specialty": L.SPECIALTY, "titles": L.TITLE}
     every = quoted(sorted({w for words in lists.values() for w in words}))
-    roots = d.n("low", "|".join(L.ROOTS))
+    roots = d.n_any("low", L.ROOTS)
     pre, post = (" + ".join(f"CASE WHEN contains(padded, ' {w} ') THEN 1 ELSE 0 END" for w in words) for words in ([a for a, _, _ in L.FORBIDDEN], sorted({b for _, b, _ in L.FORBIDDEN})))
     suffix = d.size(d.filter("tok", " OR ".join(d.ends("x", f"'{s}'") for s in L.SUFFIXES)))
+    n_words, n_abbr = d.size("wrd"), d.size(d.filter("wrd", d.has("x", "^[A-Z]{2,6}[.,;:]?$")))
+    short_caps, words = d.size(d.filter("wrd", "length(x) <= 4 AND " + d.has("x", "^[A-Z]+$"))), f"{d.words(t)} AS wrd, "
+    if d.name == "spark":  # words are counted where they stand, without an array of them
+        space = r"[^ \t\n\x0b\f\r]"
+        n_words, words = d.n(t, f"{space}+"), ""
+        n_abbr, short_caps = (d.n(t, f"(?<!{space}){word}(?!{space})") for word in ("[A-Z]{2,6}[.,;:]?", "[A-Z]{1,4}"))
     counted = ", ".join(f"{among(words)} AS n_{name}" for name, words in lists.items())
     return f"""SELECT id, segment_order, block_type, project, source_text, n_words, length(trim(source_text)) AS n_chars,
 {d.n('low', f'[0-9]+([.,][0-9]+)? ?{unit}')} AS n_units, {d.n('source_text', '[0-9]+([.,][0-9]+)? ?[-–] ?[0-9]+')} AS n_ranges, {d.n('source_text', '[0-9]+')} AS n_numbers,
-{d.size(d.filter('wrd', d.has('x', '^[A-Z]{2,6}[.,;:]?$')))} AS n_abbr, {d.size(d.filter('wrd', 'length(x) <= 4 AND ' + d.has('x', '^[A-Z]+$')))} AS n_short_caps, {d.n('source_text', '[A-Z][.] ?[A-Z][a-z]+')} AS n_initials, {d.n('source_text', '[A-Z][a-z]+')} AS n_caps,
-{roots} AS n_roots, {suffix} AS n_suffixes, {d.n('source_text', '[/–-]')} AS n_marks, {d.n('source_text', '[|→←]')} AS n_pipes, {d.n('source_text', NESTED)} AS n_nested, {d.n('source_text', '[;,]')} AS n_separators, {d.n('source_text', '[(]')} AS n_parens,
+{n_abbr} AS n_abbr, {short_caps} AS n_short_caps, {d.n('source_text', '[A-Z][.] ?[A-Z][a-z]+')} AS n_initials, {d.n('source_text', '[A-Z][a-z]+')} AS n_caps,
+{roots} AS n_roots, {suffix} AS n_suffixes, {d.n_of(t, '[/–-]', '/–-')} AS n_marks, {d.n_of(t, '[|→←]', '|→←')} AS n_pipes, {d.n_of(t, NESTED, ('((', '[[', '{{'))} AS n_nested, {d.n_of(t, '[;,]', ';,')} AS n_separators, {d.n_of(t, '[(]', '(')} AS n_parens,
 {d.has('source_text', '[\\n\\t]')} AS has_breaks, {d.has('source_text', '^[A-Z]')} AS capital_start, {d.has('source_text', '[a-z]$')} AS letter_end, {counted}, {pre} AS n_forbidden_pre, {post} AS n_forbidden_post
-FROM (SELECT *, {d.size("wrd")} AS n_words, {d.filter("tok", f"x IN ({every})")} AS hits FROM (SELECT *, {d.tokens(t)} AS tok, {d.words(t)} AS wrd, {low} AS low, {d.padded(t)} AS padded FROM segments) a) s"""
+FROM (SELECT *, {n_words} AS n_words, {d.filter("tok", f"x IN ({every})")} AS hits FROM (SELECT *, {d.tokens(t)} AS tok, {words}{low} AS low, {d.padded(t)} AS padded FROM segments) a) s"""
 
 
 #: (feature test, points, label), in order; weights are fixed values.

@@ -105,9 +105,14 @@ def term_match_top15(d):
 row_number() OVER (PARTITION BY id ORDER BY {prio}, length(term) DESC, term) AS rn FROM term_ladder WHERE match_type IS NOT NULL) t WHERE rn <= 15"""
 
 
-@relation("term_ladder", query=False)
+@relation("term_ladder", "token_candidates", "segments", query=False)
 def term_counts(d):
-    """Matches of each segment, at most fifteen."""
+    """Matches of each segment, at most fifteen.  A term with all of its tokens
+    matches; only the others are looked for in the text, once a segment."""
+    if d.name == "spark":
+        by_id = "SELECT id, count_if(shared = term_tokens) AS whole, collect_list(CASE WHEN shared < term_tokens THEN term END) AS parts FROM token_candidates GROUP BY id"
+        found = "size(filter(parts, x -> contains(source_text, x) OR contains(lower(source_text), x)))"
+        return f"SELECT id, least(15, sum(n)) AS n FROM (SELECT c.id, whole + {found} AS n FROM ({by_id}) c JOIN segments s ON c.id = s.id) m GROUP BY id HAVING sum(n) > 0"
     return "SELECT id, least(15, count(*)) AS n FROM term_ladder WHERE match_type IS NOT NULL GROUP BY id"
 
 

@@ -36,6 +36,10 @@ class Spark:
     #: Rows where the test holds; null, as in DuckDB, where it is known for no row.
     count_if = staticmethod(lambda test: f"sum(CASE WHEN {test} THEN 1 WHEN NOT ({test}) THEN 0 END)")
 
+    #: Hash of an expression that is never null; Spark takes sha2 for nullable
+    #: and would compute it once more to filter a join key.
+    key = staticmethod(lambda x: f"coalesce(sha2({x}, 256), '')")
+
     @staticmethod
     def rx(p: str) -> str:
         return "r'" + p + "'"
@@ -43,6 +47,19 @@ class Spark:
     def n(self, col: str, p: str) -> str:
         return f"regexp_count({col}, {self.rx(p)})"
 
+    def n_any(self, col: str, words) -> str:
+        """Occurrences of the words; where all are of letters alone, a place is
+        first looked at by the letters that words begin with."""
+        if not words or not all(w.isalpha() for w in words):
+            return self.n(col, "|".join(words))
+        ahead = "".join(f"[{''.join(sorted(set(column)))}]" for column in zip(*words))
+        return self.n(col, f"(?={ahead})(?:{'|'.join(words)})")
+
+    def n_of(self, col: str, p: str, marks) -> str:
+        """Occurrences of plain marks, none of which overlaps another; ``p`` is
+        the pattern of them all."""
+        return " + ".join(f"CAST((length({col}) - length(replace({col}, '{m}', ''))) / {len(m)} AS INT)" for m in marks)
+
     def has(self, col: str, p: str) -> str:
         return f"({col} RLIKE {self.rx(p)})"
 
@@ -104,7 +121,7 @@ class Spark:
     def padded(self, text: str) -> str:
         """Tokens of the text, lower case, between single spaces: a phrase with
         boundaries is then a plain substring."""
-        return f"(' ' || {self.join(self.all(f"lower(coalesce({text}, ''))", r"[\p{L}\p{N}_]+"), ' ')} || ' ')"
+        return f"(' ' || trim({self.sub(f"lower(coalesce({text}, ''))", r"[^\p{L}\p{N}_]+", ' ')}) || ' ')"
 
     def whole_word(self, text: str, term: str) -> str:
         """Phrase test with boundaries, case folded, by padded token text."""
@@ -137,6 +154,7 @@ class Duck(Spark):
     item = staticmethod(lambda a, i: f"({a})[{i}]")
     json = staticmethod(lambda c, key: f"json_extract_string({c}, '$.{key}')")
     count_if = staticmethod(lambda test: f"count_if({test})")
+    key = staticmethod(lambda x: f"sha256({x})")
 
     @staticmethod
     def rx(p: str) -> str:
@@ -145,6 +163,15 @@ class Duck(Spark):
     def n(self, col: str, p: str) -> str:
         return f"len(regexp_extract_all({col}, {self.rx(p)}))"
 
+    def n_any(self, col: str, words) -> str:
+        return self.n(col, "|".join(words))
+
+    def n_of(self, col: str, p: str, marks) -> str:
+        return self.n(col, p)
+
+    def padded(self, text: str) -> str:
+        return f"(' ' || {self.join(self.all(f"lower(coalesce({text}, ''))", r"[\p{L}\p{N}_]+"), ' ')} || ' ')"
+
     def has(self, col: str, p: str) -> str:
         return f"regexp_matches({col}, {self.rx(p)})"
 
