@@ -56,11 +56,18 @@ def cost_estimate(d):
     return "SELECT id, total_tokens, translate_usd, qa_usd, backcheck_usd, safety_usd, mt_usd, round(translate_usd + qa_usd + backcheck_usd + safety_usd, 4) AS total_usd FROM step_cost"
 
 
+BASELINE = "translate_usd + qa_usd + CASE WHEN r.level IN ('HIGH', 'CRITICAL') THEN backcheck_usd ELSE 0e0 END + CASE WHEN r.level = 'CRITICAL' THEN safety_usd ELSE 0e0 END"
+
+
+def optimised():
+    """Cost of a priced row r by its route."""
+    gpt = "r.route NOT IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'HUMAN_REVIEW_REQUIRED', 'GOOGLE_SAFE', 'DUPLICATE_REPRESENTATIVE')"
+    return f"CASE WHEN r.route = 'GOOGLE_SAFE' THEN mt_usd WHEN r.route = 'DUPLICATE_REPRESENTATIVE' THEN translate_usd WHEN {gpt} THEN {BASELINE} ELSE 0e0 END"
+
+
 @relation("routed_base", query=False)
 def routed_cost(d):
-    gpt = "r.route NOT IN ('EXACT_TM', 'DUPLICATE_PROPAGATION_PENDING', 'HUMAN_REVIEW_REQUIRED', 'GOOGLE_SAFE', 'DUPLICATE_REPRESENTATIVE')"
-    base = "translate_usd + qa_usd + CASE WHEN r.level IN ('HIGH', 'CRITICAL') THEN backcheck_usd ELSE 0e0 END + CASE WHEN r.level = 'CRITICAL' THEN safety_usd ELSE 0e0 END"
-    return f"""SELECT r.id, r.route, r.level, r.total_tokens, {base} AS baseline, CASE WHEN r.route = 'GOOGLE_SAFE' THEN mt_usd WHEN r.route = 'DUPLICATE_REPRESENTATIVE' THEN translate_usd WHEN {gpt} THEN {base} ELSE 0e0 END AS optimised,
+    return f"""SELECT r.id, r.route, r.level, r.total_tokens, {BASELINE} AS baseline, {optimised()} AS optimised,
 CASE WHEN r.route = 'EXACT_TM' THEN translate_usd + qa_usd ELSE 0e0 END AS saved_tm, CASE WHEN r.route = 'DUPLICATE_PROPAGATION_PENDING' THEN translate_usd + qa_usd ELSE 0e0 END AS saved_duplicate, CASE WHEN r.route = 'GOOGLE_SAFE' THEN translate_usd - mt_usd ELSE 0e0 END AS saved_mt, CASE WHEN r.route = 'DUPLICATE_REPRESENTATIVE' THEN qa_usd ELSE 0e0 END AS saved_adaptive
 FROM (SELECT id, route, level, {costs()} FROM (SELECT id, route, level, {estimates()}, n_chars FROM routed_base) e) r"""
 

@@ -1,5 +1,6 @@
 """Preflight report and write-back, explanations and recommendations."""
 
+from segq.operators.cost import costs, estimates, optimised, token_columns
 from segq.plans.core import relation
 
 
@@ -19,6 +20,11 @@ def preflight_report(d):
 @relation("routed", "routed_cost")
 def preflight_write_back(d):
     """All preflight columns of a segment, in one rewrite of the table."""
+    if d.name == "spark":  # costs are columns of the routed row; rows of one id meet as in a join
+        own = "id, route, level, score, reasons, intent, density, medicality, entity, reversibility, criticality, safe_confidence, group_id, is_representative, depth"
+        priced = f"SELECT *, {costs()} FROM (SELECT *, {estimates()} FROM ({token_columns(d, 'SELECT * FROM routed')}) t) e"
+        by_id = f"SELECT id AS one, collect_list(struct({own})) AS rows, collect_list(struct(total_tokens, optimised)) AS prices FROM (SELECT {own}, total_tokens, {optimised()} AS optimised FROM ({priced}) r) p GROUP BY id"
+        return f"SELECT {', '.join('r.' + c for c in own.split(', '))}, c.total_tokens, round(c.optimised, 4) AS usd, 'analyzed' AS preflight_status FROM (SELECT r, explode(prices) AS c FROM (SELECT explode(rows) AS r, prices FROM ({by_id}) g) a) b"
     return "SELECT r.id, r.route, r.level, r.score, r.reasons, r.intent, r.density, r.medicality, r.entity, r.reversibility, r.criticality, r.safe_confidence, r.group_id, r.is_representative, r.depth, c.total_tokens, round(c.optimised, 4) AS usd, 'analyzed' AS preflight_status FROM routed r JOIN routed_cost c ON r.id = c.id"
 
 
