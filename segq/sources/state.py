@@ -97,7 +97,7 @@ def save(spark: SparkSession, state: State, path: str) -> int:
     versions = Versions(spark, path, "")
     number = versions.next()
     for name in SECTIONS:
-        getattr(state, name).write.json(f"{versions.folder(number)}/{name}")
+        getattr(state, name).write.json(f"{versions.folder(number)}/{name}", compression="gzip")
     return versions.publish(number)
 
 

@@ -36,7 +36,7 @@ def _legacy(spark, sf_dir, small: bool):
     glossary = terms.groupBy(F.floor(F.col("k") / DOC).alias("document")).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x.dropFields("k")).alias("glossary"))
     path = shared_path(spark, "legacy")
     for docs in (project, tm, glossary):
-        docs.write.mode("append").json(path)
+        docs.write.mode("append").json(path, compression="gzip")
     return path
 
 

@@ -100,3 +100,10 @@ def test_seed(spark, state):
     many = S.save_terms(state, spark.range(200).select(F.col("id").cast("string").alias("src"), F.lit("t").alias("tgt"), F.lit("").alias("cat"), F.lit(0).cast("long").alias("freq"), F.lit("").alias("conf"), F.lit(True).alias("is_new"), F.col("id").alias("seq")))
     got = S.seed_dump(many)
     assert [r.src for r in S.in_order(got.glossary).collect()] == [str(i) for i in range(199, 49, -1)] and got.tm.count() == 3
+
+
+def test_a_saved_state_is_compressed(spark, state, tmp_path):
+    number = S.save(spark, state, str(tmp_path / "s"))
+    files = [f for f in (tmp_path / "s" / "versions" / str(number)).rglob("part-*") if not f.name.endswith(".crc")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert cards(S.load(spark, str(tmp_path / "s"))) == cards(state)
