@@ -4,6 +4,9 @@ Burrows-Wheeler transforms.
 Rule: a byte goes if a ``SPAN``-byte string that covers it also starts in a
 document with a smaller id; strings are judged on the input.
 
+0. Of equal texts the smallest id's row goes through the steps below, the
+   others lose every window.  A Bloom filter of the smallest ids' rows spares
+   the others those steps; the few it lets through do no harm.
 1. Every SPAN-byte window owns an anchor, the smallest 16-byte gram hash in
    it, so equal windows have equal anchors.  Anchors are counted over all
    documents; windows whose anchor occurs in one document only cannot repeat
@@ -39,20 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segq.llm import counting
-from segq.llm.common import drop, free, release, slim, text_of, tune, written
+from segq.llm.common import drop, free, hot_join, release, slim, text_of, tune, written
+from segq.llm.filters import filter_of, lets_through, spot
 from segq.llm.hashing import mix, sliding_min
 
 SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, NO_ID = 50, 16, 12 << 20, 2 << 20, -(1 << 63)
 
 
 def anchors(data: bytes, span: int = SPAN) -> np.ndarray:
-    """The anchor hash of each window of ``span`` bytes."""
+    """The anchor of each window of ``span`` bytes: a minimum, so mix() it to deal it."""
     if len(data) < span:
         return np.zeros(0, np.uint64)
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
-        grams = mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(words[8:]))
-    return mix(sliding_min(grams, span - GRAM + 1))  # mixed again, as minima are small
+        grams = mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + words[8:] * np.uint64(0xD6E8FEB86659FD93))
+    return sliding_min(grams, span - GRAM + 1)
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +188,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).cast("bigint"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), doc.alias("doc"), F.xxhash64(doc, text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
 
+    # Of equal texts, rows under a larger id than the smallest lose all windows.
+    names = texts.select("doc", "row", F.md5("text").alias("same"), F.octet_length("text").alias("size"))
+    first = names.groupBy("same").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("row", "doc").alias("node"), F.count("*").alias("m"))
+    first = written(first, "texts")
+    later = hot_join(names, first.filter("first <> last").select("same", "first", "m"), "same", "m").filter((F.col("doc") > F.col("first")) & (F.col("size") >= span)).select("row", "size").distinct()
+    wanted = filter_of(first.select("node"))
+    work = texts.select("row", "doc", "text", spot("row"))
+
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, -(-total // (4 << 20)))
     deal = min(20, max(bits, (total // BUCKET_BYTES).bit_length()))  # bits of the shards' buckets: their size stays as the corpus grows
@@ -196,9 +208,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pd.DataFrame({"bucket": [b for b, _ in made], "blob": [x for _, x in made]})
 
         for pdf in batches:
-            for text in pdf["text"]:
+            for text in pdf.loc[lets_through(wanted.value, pdf["spot"]), "text"]:
                 low = anchors(_bytes(text), span)
-                held.append(np.unique(low[runs(low)[0]]))
+                held.append(mix(np.unique(low[runs(low)[0]])))
                 size += len(held[-1])
                 if size >= counting.CHUNK:
                     yield flush()
@@ -207,7 +219,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield flush()
         slim()
 
-    packed = written(texts.select("text").mapInPandas(counted_blocks, "bucket long, blob binary"), "anchors")
+    packed = written(work.select("text", "spot").mapInPandas(counted_blocks, "bucket long, blob binary"), "anchors")
     counted = spark.sparkContext.broadcast(counting.count(packed, bits, 1, 1 << 30))
     drop(packed)
     release(spark)
@@ -228,13 +240,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 }
 
         for pdf in batches:
-            for row, doc, text in zip(pdf["row"].tolist(), pdf["doc"].tolist(), pdf["text"]):
+            pdf = pdf[lets_through(wanted.value, pdf["spot"])]
+            read, keys = [], [np.zeros(0, np.uint64)]
+            for text in pdf["text"]:
                 data = _bytes(text)
                 low = anchors(data, span)
                 begin, end = runs(low)
-                keys = low[begin]
-                again = np.flatnonzero(counted.value.repeated(keys)) if len(keys) else begin
-                for s, e, key in zip(begin[again].tolist(), end[again].tolist(), keys[again].tolist()):
+                read.append((data, begin, end))
+                keys.append(low[begin])
+            keys = mix(np.concatenate(keys))
+            again, at = counted.value.repeated(keys), 0
+            for row, doc, (data, begin, end) in zip(pdf["row"].tolist(), pdf["doc"].tolist(), read):
+                own = slice(at, at := at + len(begin))
+                here = again[own]
+                for s, e, key in zip(begin[here].tolist(), end[here].tolist(), keys[own][here].tolist()):
                     mine = held.get(key >> (64 - deal))
                     if mine is None:
                         mine = held[key >> (64 - deal)] = ({}, array("q"))
@@ -305,16 +324,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             head = np.flatnonzero(gone & ((inside == 0) | ~np.concatenate([[False], gone[:-1]])))
             tail = np.flatnonzero(gone & ((inside == size[which] - 1) | ~np.concatenate([gone[1:], [False]])))
             out.append((row[part][which[head]], start[part][which[head]] + inside[head], tail - head + 1))
-        row, first, n = (np.concatenate(x) for x in zip(*out))
+        return by_target(*(np.concatenate(x) for x in zip(*out)))
+
+    def by_target(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         target = row % groups
         order = np.argsort(target, kind="stable")
         target, row, first, n = target[order], row[order], first[order], n[order]
         begin, end = runs(target)
         return pd.DataFrame({"target": target[begin], "row": [_blob(row[s:e], "<i8") for s, e in zip(begin, end)], "first": [_blob(first[s:e], "<i8") for s, e in zip(begin, end)], "n": [_blob(n[s:e], "<i8") for s, e in zip(begin, end)]})
 
-    gone = texts.select("row", "doc", "text").mapInPandas(shards, SHARD).groupBy("bucket").applyInPandas(settle, "target long, row binary, first binary, n binary")
-    gone = written(gone, "removals")
-    free(counted)
+    def whole(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield by_target(pdf["row"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), pdf["size"].to_numpy(np.int64) - span + 1)
+
+    removals = "target long, row binary, first binary, n binary"
+    gone = work.mapInPandas(shards, SHARD).groupBy("bucket").applyInPandas(settle, removals)
+    gone = written(gone.unionByName(later.mapInPandas(whole, removals)), "removals")
+    free(counted, wanted)
+    drop(first)
     release(spark)
 
     def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
